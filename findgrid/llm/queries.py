@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findgrid.llm import knn, langid, mixing, packing, quality, toxicity
+from findgrid.llm import knn, langid, minhash, mixing, packing, passages, quality, toxicity
 from findgrid.llm.common import documents, id_mod, n_words
 
 
@@ -40,13 +40,23 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=4)
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity": op5_toxicity,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE_SQL = {
