@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 
 from __future__ import annotations
 
-from findgrid.llm import mixing, packing, quality
+from findgrid.llm import minhash, mixing, packing, passages, quality
 from findgrid.llm.common import save
 
 
@@ -14,6 +14,16 @@ def quality_stage(spark, docs, sf_dir):
     return quality.keep(docs)
 
 
+def near_copies_stage(spark, docs, sf_dir):
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return minhash.keep(docs, words=5)
+
+
+def passages_stage(spark, docs, sf_dir):
+    """Documents without passages that a smaller doc_id has too; those that consist of nothing else go."""
+    return passages.strip(docs)
+
+
 def mix_stage(spark, docs, sf_dir):
     """Each document as often as the mix takes it."""
     return mixing.repeat(mixing.mix(docs))
@@ -26,6 +36,8 @@ def pack_stage(spark, docs, sf_dir):
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("near copies", near_copies_stage),
+    ("repeated passages", passages_stage),
     ("mixing", mix_stage),
     ("packing", pack_stage),
 ]
