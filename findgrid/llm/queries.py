@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findgrid.llm import knn, langid, minhash, mixing, packing, passages, quality, toxicity
-from findgrid.llm.common import documents, id_mod, n_words
+from findgrid.llm import knn, langid, licences, minhash, mixing, packing, passages, quality, tokencounts, toxicity
+from findgrid.llm.common import SPACE, documents, id_mod, n_words, save, shared_dir
+from findgrid.llm.tokens import WordIds
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,34 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after an insert of all documents under two tokenizers, a revision of one to words with a letter or digit, a
+    delete of documents of under 5 words, and a replay of the revision."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = WordIds()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "w": b["w"], "v": b["v"], "t": [len(x) // 4 for x in ids.many(list(b["text"]))]})
+
+    text = F.coalesce("text", F.lit(""))
+    wordy = F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", n_words(F.col("text")).alias("w"), wordy.alias("v"))
+    counted = save(docs.mapInPandas(count, "doc_id long, source string, lang string, w long, v long, t long"), "counted")
+    row = lambda op, name, n: counted.select(F.lit(op).alias("op"), "doc_id", F.lit(name).alias("tokenizer"), "source", "lang", F.col(n).alias("n_tokens"))
+    r = tokencounts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    revised = row("put", "words-1", "v").join(counted.filter("v <> w").select("doc_id"), "doc_id", "left_semi")
+    r.apply(1, row("put", "words-1", "w").unionByName(row("put", "word_bpe_49k", "t")))
+    r.apply(2, revised)
+    r.apply(3, row("delete", "words-1", "w").join(counted.filter("w < 5").select("doc_id"), "doc_id", "left_semi"))
+    r.apply(2, revised)
+    return r.totals()
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=4)
 
@@ -54,6 +87,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity": op5_toxicity,
+    "op6_licences": op6_licences,
+    "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_repeated_passages": op10_repeated_passages,
