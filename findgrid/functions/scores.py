@@ -22,6 +22,11 @@ def cascade(steps: list[tuple[Column, object]], default) -> Column:
     return out.otherwise(default)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def contains_any(text: Column, words) -> Column:
     on = F.lit(False)
     for w in words:

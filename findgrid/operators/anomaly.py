@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.functions.scores import cascade, contains_any, ladder
+from findgrid.functions.scores import cascade, contains_any, ladder, strip
 
 # Words of untrusted input, of dangerous calls and of sanitising.
 SOURCES = (
@@ -48,7 +48,7 @@ def _lower(words) -> list[str]:
 def flagged(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Lines with t (trimmed), low, code, source and sink. Unless strict, sinks are looked for as they are spelt in the
     lower-cased line, so those with a capital never match."""
-    t = F.trim("line")
+    t = strip(F.col("line"))
     l = lines.select("path", "ext", "line_no", t.alias("t"), F.lower(t).alias("low"), (~is_comment(t)).alias("code"))
     return l.withColumn("source", F.col("code") & contains_any(F.col("low"), _lower(SOURCES))).withColumn("sink", F.col("code") & contains_any(F.col("low"), _lower(SINKS) if strict else SINKS))
 
@@ -115,19 +115,19 @@ def function_name(trimmed: Column) -> Column:
     """Name after the first of `fn `, `function `, `def `, `func ` that is there with a parenthesis after it."""
 
     def after(k: str) -> Column:
-        name = F.trim(F.regexp_extract(trimmed, rf"(?i)^.*?{k}([^(]*)\(", 1))
-        return F.when(trimmed.rlike(rf"(?i)^.*?{k}[^(]*\("), F.trim(F.regexp_extract(name, r"^([^<]*)", 1)))
+        name = strip(F.regexp_extract(trimmed, rf"(?i)^.*?{k}([^(]*)\(", 1))
+        return F.when(trimmed.rlike(rf"(?i)^.*?{k}[^(]*\("), strip(F.regexp_extract(name, r"^([^<]*)", 1)))
 
     return F.coalesce(*(after(k) for k in ("fn ", "function ", "def ", "func ")), F.lit("<anonymous>"))
 
 
 def assigned_variable(line: Column) -> Column:
     """Variable that a line assigns: after a declaring keyword up to `=` or `:`, or a plain name before `=`."""
-    t = F.trim(line)
-    left = F.trim(F.regexp_extract(t, r"(?i)^(?:let mut |let |var |const |val |final )([^=]*)=", 1))
+    t = strip(line)
+    left = strip(F.regexp_extract(t, r"(?i)^(?:let mut |let |var |const |val |final )([^=]*)=", 1))
     declared = t.rlike(r"(?i)^(?:let mut |let |var |const |val |final )[^=]*=")
-    typed = F.trim(F.regexp_extract(left, r"^([^:]*):", 1))
-    plain = F.trim(F.regexp_extract(t, r"^([^=]*)=", 1))
+    typed = strip(F.regexp_extract(left, r"^([^:]*):", 1))
+    plain = strip(F.regexp_extract(t, r"^([^=]*)=", 1))
     bare = t.contains("=") & ~t.rlike(r"^(if|for|while)") & ~t.rlike(r"[=!<>]=")
     return cascade(
         [(declared & left.contains(":"), typed), (declared & left.rlike(r"[{(]|^\["), F.lit(None).cast("string")), (declared, left), (bare & (plain != "") & ~plain.rlike(r"[ (]"), plain)],

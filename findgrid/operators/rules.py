@@ -95,7 +95,7 @@ def match_rules(lines: DataFrame, rules: tuple[Rule, ...], source: str, ext: str
 
     todo = lines.filter(F.length("line") <= longest)
     if skip_comments:
-        todo = todo.filter(~is_comment_line(F.trim("line")))
-    hits = todo.select(F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), F.trim("line").alias("code_snippet"), F.explode(F.filter(F.array(*(hit(k, r) for k, r in enumerate(rules))), lambda x: x.isNotNull())).alias("r"))
+        todo = todo.filter(~is_comment_line(scores.strip(F.col("line"))))
+    hits = todo.select(F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), scores.strip(F.col("line")).alias("code_snippet"), F.explode(F.filter(F.array(*(hit(k, r) for k, r in enumerate(rules))), lambda x: x.isNotNull())).alias("r"))
     f = hits.select("file_path", "line_number", "code_snippet", "r.*").withColumn("source", F.lit(source))
     return f.withColumn("exploitability", scores.exploitability(F.col("severity"))).withColumn("cwe_id", scores.cwe_for_title(F.col("title"), F.col("finding_type")))

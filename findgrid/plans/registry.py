@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from findgrid.plans import queries_code, queries_findings
+from findgrid.plans import queries_code, queries_deps, queries_findings, queries_web
 
-_MODULES = (queries_findings, queries_code)
+_MODULES = (queries_findings, queries_code, queries_deps, queries_web)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "rule_scan_severity"

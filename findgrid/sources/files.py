@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findgrid.functions.scores import cascade, contains_any
+from findgrid.functions.scores import cascade, contains_any, strip
 
 # Excluded names, by substring of the lower-cased path or as suffix of "*...".
 EXCLUDED = (
@@ -105,7 +105,7 @@ def search_lines(l: DataFrame, pattern: str, ignore_case: bool = True, path_part
     hit = l.filter(F.col("line").rlike(("(?i)" if ignore_case else "") + pattern))
     if path_part:
         hit = hit.filter(F.col("path").contains(path_part))
-    hit = hit.select("path", "line_no", F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.trim("line")).alias("hit"))
+    hit = hit.select("path", "line_no", F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), strip(F.col("line"))).alias("hit"))
     return hit.orderBy("path", "line_no").limit(most) if most else hit
 
 
