@@ -33,9 +33,9 @@ from findgrid.llm.suffixes import suffix_array
 
 WINDOW, ANCHOR, CONTEXT = 50, 20, 35
 #: Bytes of text for each shard of anchors (about one anchor in 16 bytes), and of one suffix sort.
-SHARD, SORT = 48 << 20, 1 << 19
+SHARD, SORT = 24 << 20, 1 << 20
 #: Bytes of text of one batch of blocks, and of one stretch of a long text.
-BATCH, STRETCH = 16 << 20, 1 << 19
+BATCH, STRETCH = 8 << 20, 1 << 19
 _U = np.uint64
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=_U)
 _ODD = np.random.default_rng(51).integers(0, 1 << 63, 8, dtype=_U) * _U(2) + _U(1)
@@ -51,10 +51,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
+def _powers(n: int = STRETCH + 2 * WINDOW) -> list[np.ndarray]:
+    """Powers of the step and of its inverse, n at least, kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
         for base in (_STEP, _INVERSE):
-            p = np.full(STRETCH + 2 * WINDOW, base, _U)
+            p = np.full(n, base, _U)
             p[0] = 1
             _POWERS.append(np.multiply.accumulate(p))
     return _POWERS
@@ -215,7 +217,7 @@ def _pieces(shards: int):
     return run
 
 
-def _sorted_windows(keys: np.ndarray, docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_windows(docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of pieces: (piece, offset) of each window that a piece of a smaller document has too, by a suffix array of all pieces."""
     joined = b"\0".join(texts) + b"\0"
     symbols = [c + 2 for c in joined]
@@ -242,34 +244,66 @@ def _sorted_windows(keys: np.ndarray, docs: np.ndarray, texts: list[bytes]) -> t
     return piece[hit], off[hit]
 
 
+def _windows(doc: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of the covered windows of some keys' pieces: pieces are cut to the runs of windows whose hash two
+    documents have, equal runs are settled by their least document, and the suffix array decides about the rest."""
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts])
+    starts = np.cumsum(lengths) - lengths
+    up, down = _powers(len(joined) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[joined] * up[: len(joined)], dtype=_U)])
+    n = lengths - WINDOW + 1
+    piece = np.repeat(np.arange(len(texts)), n)
+    off = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[piece] + off
+    h = _mix((sums[at + WINDOW] - sums[at]) * down[at])
+    o = np.argsort(h)
+    cut = _runs(h[o])
+    d = doc[piece[o]]
+    shared = np.zeros(len(h), bool)
+    shared[o] = np.repeat(np.minimum.reduceat(d, cut[:-1]) != np.maximum.reduceat(d, cut[:-1]), np.diff(cut))
+    w = np.flatnonzero(shared)
+    if not len(w):
+        return w, w
+    first = np.concatenate([[True], (w[1:] != w[:-1] + 1) | (piece[w[1:]] != piece[w[:-1]])])
+    lo = w[first]
+    size = np.diff(np.concatenate([np.flatnonzero(first), [len(w)]]))
+    of, begin = piece[lo], off[lo]
+    runs = [texts[p][b : b + k + WINDOW - 1] for p, b, k in zip(of.tolist(), begin.tolist(), size.tolist(), strict=True)]
+    least: dict[bytes, int] = {}
+    for i in np.argsort(doc[of], kind="stable").tolist():
+        least.setdefault(runs[i], i)
+    owner = np.array([least[r] for r in runs])
+    again = doc[of] > doc[of[owner]]
+    once = np.array(sorted(least.values()))
+    k = size[again]
+    out = [(np.repeat(of[again], k), np.repeat(begin[again], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))]
+    if len(once) > 1:
+        r, x = _sorted_windows(doc[of[once]], [runs[i] for i in once.tolist()])
+        out.append((of[once][r], begin[once][r] + x))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one shard of pieces: rows (doc, rid, kind 2, positions of covered windows)."""
-    r = rows.sort_values(["key", "piece", "doc"], kind="stable")
-    key, doc, rid, pos, text = r["key"].to_numpy(), r["doc"].to_numpy(), r["rid"].to_numpy(), r["pos"].to_numpy(), r["piece"].to_numpy()
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(r):
-        cut = _runs(key)
-        lo, hi = np.minimum.reduceat(doc, cut[:-1]), np.maximum.reduceat(doc, cut[:-1])
-        keep = np.flatnonzero(np.repeat(lo != hi, np.diff(cut)))
-        key, doc, rid, pos, text = key[keep], doc[keep], rid[keep], pos[keep], text[keep]
-    # equal pieces of a key are sorted once, for their least document; the others are covered whole
-    first, spans = 0, []
-    for i in range(len(key)):
-        if not (i and key[i] == key[i - 1] and text[i] == text[i - 1]):
-            first = i
-            spans.append(i)
-        elif doc[i] > doc[first]:
-            n = len(text[i]) - WINDOW + 1
-            found.append((np.full(n, doc[i]), np.full(n, rid[i]), pos[i] + np.arange(n)))
+    o = np.argsort(rows["key"].to_numpy(), kind="stable")
+    key, doc, rid, pos = (rows[c].to_numpy()[o] for c in ("key", "doc", "rid", "pos"))
+    cut = _runs(key)
+    keep = np.repeat(np.minimum.reduceat(doc, cut[:-1]) != np.maximum.reduceat(doc, cut[:-1]), np.diff(cut)) if len(key) else np.zeros(0, bool)
+    o, key, doc, rid, pos = o[keep], key[keep], doc[keep], rid[keep], pos[keep]
+    text = rows["piece"].to_numpy()[o].tolist()
+    found = []
+    # some keys at a time, each whole
+    ends = _runs(key)[1:]
+    sizes = np.cumsum([len(t) for t in text])
     at = 0
-    while at < len(spans):
-        size, stop = 0, at
-        while stop < len(spans) and (size < SORT or key[spans[stop]] == key[spans[stop - 1]]):
-            size += len(text[spans[stop]]) + 1
-            stop += 1
-        ids = np.array(spans[at:stop])
-        piece, off = _sorted_windows(key[ids], doc[ids], [text[i] for i in ids])
-        found.append((doc[ids][piece], rid[ids][piece], pos[ids][piece] + off))
+    while at < len(key):
+        base = sizes[at - 1] if at else 0
+        k = np.searchsorted(sizes[ends - 1], base + SORT)
+        stop = int(ends[min(k, len(ends) - 1)])
+        piece, off = _windows(doc[at:stop], text[at:stop])
+        piece = piece + at
+        found.append((doc[piece], rid[piece], pos[piece] + off))
         at = stop
     if not found:
         return pd.DataFrame({"doc": [], "rid": [], "kind": [], "b": []})
