@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrid.llm.common import save
-from findgrid.llm.tokens import DEFAULT, WordIds
+from findgrid.llm.tokens import DEFAULT, word_ids
 
 CAPACITY = 4096
 END = 2
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY,
     """Rows (doc_id, row, start, length, ids_crc32, doc_tokens): each id of each document in exactly one piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tail = WordIds(tokenizer), np.array([end], "<u4").tobytes()
+        ids, tail = word_ids(tokenizer), np.array([end], "<u4").tobytes()
         for b in batches:
             out = []
             for doc_id, raw in zip(b["doc_id"], ids.many(list(b["text"])), strict=True):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from findgrid.llm import knn, langid, licences, minhash, mixing, packing, passages, quality, tokencounts, toxicity
 from findgrid.llm.common import SPACE, documents, id_mod, n_words, save, shared_dir
-from findgrid.llm.tokens import WordIds
+from findgrid.llm.tokens import word_ids
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     delete of documents of under 5 words, and a replay of the revision."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
+        ids = word_ids()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "w": b["w"], "v": b["v"], "t": [len(x) // 4 for x in ids.many(list(b["text"]))]})
 

@@ -6,6 +6,8 @@ blank-separated words in a row; words repeat, and only new ones reach the tokeni
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -73,3 +75,9 @@ class WordIds:
             get = self.cache.__getitem__
             out += [b"".join(map(get, ws)) for ws in split]
         return out
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(name: str = DEFAULT) -> WordIds:
+    """One cache for all tasks that a Python worker runs: later tasks find the words of earlier ones."""
+    return WordIds(name)
