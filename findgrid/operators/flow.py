@@ -293,29 +293,27 @@ def trace(files: DataFrame, depth: int = 4, callees: int = 2, question: str = ""
     calls = s.filter("kind = 'call'").join(target, "target").withColumn("near", F.col("path") == F.col("t_path"))
     w = Window.partitionBy("path", "start_line", "entry", "line", "target", "arg")
     ranked = calls.withColumn("any_near", F.max("near").over(w)).filter("near OR NOT any_near").withColumn("r", F.row_number().over(w.orderBy("t_path", "t_line"))).filter(F.col("r") <= callees)
-    step = save_table(ranked.select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), "hops", "t_path", "t_line", F.get("t_params", F.col("arg").cast("int")).alias("t_entry")).filter("t_entry IS NOT NULL").distinct(), "steps")
+    step = save_table(ranked.select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("hops").alias("add"), "t_path", "t_line", F.get("t_params", F.col("arg").cast("int")).alias("t_entry")).filter("t_entry IS NOT NULL").distinct(), "steps")
     sinks = s.filter("kind = 'sink'").select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("line").alias("sink_line"), F.col("target").alias("sink"), F.col("hops").alias("last_hops"))
     # roots read untrusted input themselves
     root = s.filter("entry IS NULL").select("path", "start_line", "entry").distinct()
-    front = root.select("path", "start_line", "entry", F.struct(F.lit(0).cast("long").alias("hops"), F.col("path").alias("r_path"), F.col("start_line").alias("r_line")).alias("root"))
+    front = root.select("path", "start_line", "entry", F.lit(0).cast("long").alias("hops"), F.col("path").alias("r_path"), F.col("start_line").alias("r_line"))
     at = (F.col("path") == F.col("s_path")) & (F.col("start_line") == F.col("s_line")) & F.col("entry").eqNullSafe(F.col("s_entry"))
-    seen, found = front, None
+    seen, found = front.select("path", "start_line", "entry"), None
     for level in range(depth + 1):
-        here = front.join(sinks, at).select("root", F.col("s_path").alias("sink_path"), "sink_line", "sink", (F.col("root.hops") + F.col("last_hops")).alias("hops"), F.lit(level).alias("calls"))
+        here = front.join(sinks, at).select("r_path", "r_line", F.col("s_path").alias("sink_path"), "sink_line", "sink", (F.col("hops") + F.col("last_hops")).alias("hops"), F.lit(level).alias("calls"))
         found = here if found is None else found.unionByName(here)
         if level == depth:
             break
-        moved = front.join(step, at)
-        moved = moved.select(F.col("t_path").alias("path"), F.col("t_line").alias("start_line"), F.col("t_entry").alias("entry"), F.struct((F.col("root.hops") + F.col("hops") + 1).alias("hops"), F.col("root.r_path").alias("r_path"), F.col("root.r_line").alias("r_line")).alias("root"))
-        moved = moved.groupBy("path", "start_line", "entry").agg(F.min("root").alias("root"))
-        old = seen.filter("entry IS NOT NULL").select("path", "start_line", "entry")
-        front = save_table(moved.join(old, ["path", "start_line", "entry"], "left_anti"), "frontier")
+        moved = front.join(step, at).select(F.col("t_path").alias("path"), F.col("t_line").alias("start_line"), F.col("t_entry").alias("entry"), (F.col("hops") + F.col("add") + 1).alias("hops"), "r_path", "r_line")
+        moved = moved.groupBy("path", "start_line", "entry").agg(F.min(F.struct("hops", "r_path", "r_line")).alias("m")).select("path", "start_line", "entry", "m.hops", "m.r_path", "m.r_line")
+        front = save_table(moved.join(seen, ["path", "start_line", "entry"], "left_anti"), "frontier")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front.select("path", "start_line", "entry"))
     k = F.col("sink")
     base = F.when(k.isin("exec", "system", "eval"), 9.0).when(k.isin("is_admin", "admin", "grant"), 8.5).when(k.contains("query") | k.isin("open", "write"), 7.5).otherwise(6.0)
-    return found.select(F.col("root.r_path").alias("source_path"), F.col("root.r_line").alias("source_line"), "sink_path", "sink_line", "sink", F.least(base + F.col("hops") * 0.3, F.lit(10.0)).alias("risk"), F.col("calls").cast("long").alias("calls"))
+    return found.select(F.col("r_path").alias("source_path"), F.col("r_line").alias("source_line"), "sink_path", "sink_line", "sink", F.least(base + F.col("hops") * 0.3, F.lit(10.0)).alias("risk"), F.col("calls").cast("long").alias("calls"))
 
 
 def dedup_paths(paths: DataFrame) -> DataFrame:
