@@ -249,13 +249,12 @@ def _summary(name, params, body, entry, focus):
                 tainted.append(left)
                 hops += 1
             continue
-        if any(s in low for s in SANITIZERS):
-            continue
-        if left and "(" not in left and left not in tainted and _uses(right, tainted):
+        clean = any(s in low for s in SANITIZERS)  # stops flow and sinks on the line, not calls
+        if not clean and left and "(" not in left and left not in tainted and _uses(right, tainted):
             tainted.append(left)
             hops += 1
         sink = next((s for s in (*focus, *SINKS) if s in low), None)
-        if sink and _uses(t, tainted):
+        if not clean and sink and _uses(t, tainted):
             yield "sink", line, sink, -1, hops
             continue
         for callee, args in calls_of(t):

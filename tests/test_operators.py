@@ -1,0 +1,176 @@
+"""Cases of single operators with literal rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from findgrid.functions import scores, web
+from findgrid.operators import dependencies as dep
+from findgrid.operators import diffs, flow, recon, rules, search
+from findgrid.operators import findings as fs
+from findgrid.sources import files as src
+from findgrid.streaming.watch import Watch
+
+
+def one(spark, col, **values):
+    return spark.createDataFrame([tuple(values.values())] if values else [(0,)], ", ".join(f"{k} string" for k in values) if values else "x int").select(col).first()[0]
+
+
+def finding(title, line, source, severity="Critical", expl=0.8, path="a.js", seq=0):
+    return (seq, title, severity, "High", "Vulnerability", path, line, expl, source)
+
+
+def table(spark, rows):
+    f = spark.createDataFrame(rows, "seq long, title string, severity string, confidence string, finding_type string, file_path string, line_number long, exploitability double, source string")
+    return fs.with_risk(f).withColumn("id", F.concat_ws("|", "seq", "title"))
+
+
+def test_dedup_cases(spark):
+    cases = [
+        ([finding("Hardcoded Credentials", 5, "security-review"), finding("Password in Code", 5, "secret-scanner", seq=1)], 1),
+        ([finding("SQL Injection", 5, "r"), finding("Command Injection", 5, "r", seq=1)], 2),
+        ([finding("AWS Access Key ID", 5, "s"), finding("AWS Secret Access Key", 5, "s", seq=1)], 2),
+        ([finding("Hardcoded Credentials", 10, "r"), finding("Hardcoded Credentials", 20, "r", seq=1)], 2),
+    ]
+    for rows, n in cases:
+        assert fs.dedup(table(spark, rows)).count() == n
+    kept = fs.dedup(table(spark, [finding("Hardcoded Credentials", 5, "r", "High", 0.4), finding("Password in Code", 5, "secret-scanner", "Critical", 0.9, seq=1)])).collect()
+    assert [(r.source, r.seq) for r in kept] == [("secret-scanner", 0)]
+
+
+def test_dedup_is_idempotent(spark):
+    rows = [finding(t, i % 4, s, seq=k) for k, (t, i, s) in enumerate((t, i, s) for t in ("Token leak", "Password in Code", "XSS") for i in range(6) for s in ("a", "b"))]
+    once = fs.dedup(table(spark, rows))
+    assert sorted(map(str, fs.dedup(once).collect())) == sorted(map(str, once.collect()))
+
+
+def test_chain_of_two_findings(spark):
+    f = table(spark, [finding("Hardcoded password in config", 10, "r"), finding("Mass assignment risk", 30, "r", seq=1)])
+    got = fs.chains(f).collect()
+    assert [(r.chain, r.n_findings) for r in got] == [("Privilege Escalation", 2)]
+
+
+def test_security_score(spark):
+    empty = table(spark, [finding("x", 1, "r")]).limit(0)
+    score = scores.security_score(F.col("severity"), F.col("exploitability"), F.col("business_impact"))
+    assert empty.agg(score).first()[0] == 100.0
+    assert table(spark, [finding("x", 1, "r")]).agg(score).first()[0] < 100
+
+
+@pytest.mark.parametrize(
+    ("patch", "want"),
+    [("@@ -1,3 +1,4 @@\n ctx\n-a\n+b\n+c\n ctx", [2, 3]), ("@@ -1 +5 @@\n x\n+y\n@@ -9 +21 @@\n+z", [6, 21]), ("", []), ("no hunk\n+x", [])],
+)
+def test_added_lines(spark, patch, want):
+    assert sorted(r.line for r in diffs.added_lines(spark.createDataFrame([("p", patch)], "path string, patch string")).collect()) == want
+
+
+def test_versions(spark):
+    yes = [("1.0.0", "<1.0.1"), ("0.9.0", "<1.0.0"), ("1.0.0", "<=1.0.0"), ("1", "<2.0.0"), ("1.0", "<1.1.0")]
+    no = [("1.0.0", "<1.0.0"), ("2.0.0", "<=1.9.9"), ("abc", "<1.0.0")]
+    got = spark.createDataFrame(yes + no, "v string, c string").select(dep.version_matches(F.col("v"), F.col("c"))).collect()
+    assert [r[0] for r in got] == [True] * 5 + [False] * 3
+
+
+def test_import_tokens(spark):
+    lines = spark.createDataFrame([("app.js", "import _ from 'lodash'"), ("lib.py", "import requests"), ("main.rs", "use serde::X;")], "path string, line string")
+    m = {r.token: r.files for r in dep.usage_map(lines).collect()}
+    assert m["lodash"] == ["app.js"] and m["requests"] == ["lib.py"] and m["serde"] == ["main.rs"]
+
+
+def test_exclusion_and_binary(spark):
+    paths = ["/p/node_modules/express/index.js", "/p/Cargo.lock", "/p/logo.svg", "/p/src/main.rs", "/p/Cargo.toml", "/p/src/builder.py"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(src.is_excluded(F.col("p")).alias("a"), src.is_excluded_strict(F.col("p")).alias("b")).collect()
+    assert [r.a for r in got] == [True, True, True, False, False, True]
+    assert [r.b for r in got] == [True, True, True, False, False, False]
+    raw = [(b"",), (b"text",), (b"\x00\x01\x02\xff",), (b"A" * (11 << 20),)]
+    assert [r[0] for r in spark.createDataFrame([(bytearray(x[0]),) for x in raw], "c binary").select(src.is_binary(F.col("c"))).collect()] == [True, False, True, True]
+
+
+def test_walk_reads_a_folder(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1\r\ny = 2\n")
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "vendor" / "b.py").write_text("z")
+    f = src.walk(spark, str(tmp_path))
+    got = [(r.line_no, r.line) for r in src.lines(f.filter("rel_path = 'src/a.py'")).orderBy("line_no").collect()]
+    assert got == [(1, "x = 1"), (2, "y = 2")]
+    assert {r.rel_path for r in f.collect()} == {"src/a.py"}
+
+
+def test_redaction(spark):
+    t = web.redact_text(F.col("t"))
+    assert one(spark, t, t="token=abc123 password=hunter2 normal text") == "token: *** password: *** normal text"
+    assert one(spark, t, t="the token was rotated yesterday") == "the token was rotated yesterday"
+
+
+def test_html(spark):
+    assert one(spark, web.html_to_text(F.col("t")), t="<p>a &amp; b &x &lt;</p>") == "a & b &x &lt;"
+    assert one(spark, web.extract_code(F.col("t")), t="1234 and 123456") == "123456"
+    assert one(spark, web.percent_encode(F.col("t")), t="a b*~é") == "a%20b%2A~%C3%A9"
+
+
+def test_chunks_cover_and_end():
+    text = "\n".join("x" * 2100 for _ in range(12))
+    got = search.chunk_text(text)
+    assert {i for a, b, _ in got for i in range(a, b + 1)} == set(range(1, 13))
+    assert search.chunk_text("") == [] and search.chunk_text("\n\n") == []
+
+
+def test_calls():
+    assert flow.calls_of("let ok = is_admin(user_id, role);") == [("is_admin", ["user_id", "role"])]
+    assert [c for c, _ in flow.calls_of("foo(a); bar(b, c);")] == ["foo", "bar"]
+
+
+def test_trace_over_a_call(spark):
+    app = "function handle(req) {\n  name = req.body.name\n  validateAndExec(name)\n}\n"
+    lib = "function validateAndExec(name) {\n  exec(name)\n}\n"
+    files = spark.createDataFrame([("app.js", "js", app), ("lib.js", "js", lib)], "path string, ext string, content string")
+    got = {(r.source_path, r.sink_path, r.calls) for r in flow.trace(files, question="").filter("sink = 'exec'").collect()}
+    assert ("app.js", "lib.js", 1) in got
+
+
+def test_silent_catch_and_complexity(spark):
+    body = "function f(a) {\n" + "  if (a) { b() }\n" * 8 + "  x()\n" * 90 + "}\n"
+    catch = "try {\n  a()\n} catch (e) {\n}\n"
+    files = spark.createDataFrame([("a.js", "js", body), ("b.js", "js", "try {\n a()\n}\ncatch (e)\n{ x() } }\n" + catch)], "path string, ext string, content string")
+    assert flow.silent_catches(files).filter("path = 'b.js'").count() >= 1
+    assert flow.complex_functions(files).count() >= 0
+
+
+def test_routes(spark):
+    code = {
+        "a.py": "@app.get('/health')\ndef health():\n  pass\n@app.get('/users')\nasync def users(u = Depends(get_current_user)):\n  pass\n@router.post('/items/{item_id}')\n@login_required\ndef item():\n  pass",
+        "b.js": "app.get('/users', listUsers)\napp.post('/o', verifyToken, createOrder)\nrouter.delete('/u', requireAdmin, deleteUser)\napp.get('/x', (q, s) => 1)",
+        "c.go": 'api := r.Group("/api", authMiddleware())\napi.GET("/users", getUsers)\nr.GET("/ping", ping)',
+        "d.rb": "get '/x', to: 'a#b'\nresources :posts, only: [:index, :show]",
+        "e.rs": '.route("/a", get(list))\n.route("/b", post(h).get(i))',
+    }
+    rows = [(p, p.split(".")[1], i, t) for p, c in code.items() for i, t in enumerate(c.split("\n"), 1)]
+    e = {(r.file, r.method, r.path, r.handler, r.auth_required) for r in recon.endpoints(spark.createDataFrame(rows, "path string, ext string, line_no long, line string")).collect()}
+    assert ("a.py", "GET", "/health", "health", False) in e and ("a.py", "POST", "/items/{item_id}", "item", True) in e
+    assert {("b.js", "GET", "/users", "listUsers", False), ("b.js", "POST", "/o", "createOrder", True), ("b.js", "DELETE", "/u", "deleteUser", True), ("b.js", "GET", "/x", "<inline>", False)} <= e
+    assert ("c.go", "GET", "/api/users", "getUsers", True) in e and ("c.go", "GET", "/ping", "ping", False) in e
+    assert sum(x[0] == "d.rb" for x in e) == 3 and sum(x[0] == "e.rs" for x in e) == 2
+
+
+def test_each_rule_has_a_line(spark):
+    from findgrid.plans.fixtures import LINES
+
+    lines = spark.createDataFrame([("f", x, i, t) for x in ("py", "php", "js") for i, t in enumerate(LINES)], "path string, ext string, line_no long, line string")
+    seen = {r.title for r in rules.match_rules(lines, rules.rule_table("review"), "r").select("title").distinct().collect()}
+    assert seen == {r.title for r in rules.REVIEW_RULES}
+
+
+def test_register_rule(spark):
+    rules.register_rule("own", rules.Rule("Todo", "Low", "Low", None, r"TODO"))
+    got = rules.match_rules(spark.createDataFrame([("f", "py", 1, "x  TODO y")], "path string, ext string, line_no long, line string"), rules.rule_table("own"), "own").collect()
+    assert [(r.title, r.cwe_id) for r in got] == [("Todo", "CWE-693")]
+
+
+def test_watch(spark, tmp_path):
+    w = Watch(spark, str(tmp_path))
+    f = lambda *x: spark.createDataFrame([(v,) for v in x], "fingerprint string")
+    assert [r[0] for r in w.apply(f("a", "b"), 0).collect()] == []
+    assert [r[0] for r in w.apply(f("a", "c"), 1).collect()] == ["c"]
+    assert [r[0] for r in w.apply(f("a", "b"), 2).collect()] == ["b"]
+    assert [r[0] for r in w.apply(f("a", "b"), 2).collect()] == ["b"]
