@@ -65,6 +65,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str,
                 return "und", 0.0, False
             blocks = [" ".join(dict.fromkeys(words[i : i + BLOCK])).encode("utf-8", "replace") for i in range(0, len(words), BLOCK)]
             sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for c, k in zip(made, names, strict=True))
+            if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:  # of equal sizes, the dictionary that has most of the words
+                have = {k: sum(f" {w} ".encode() in dictionaries[k] for w in dict.fromkeys(words[:BLOCK])) for n, k in sizes if n == sizes[0][0]}
+                sizes.sort(key=lambda x: (x[0], -have.get(x[1], 0), x[1]))
             if len(sizes) == 1:
                 return sizes[0][1], 1.0, True
             margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
