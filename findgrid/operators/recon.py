@@ -112,10 +112,78 @@ def rails_routes(lines: DataFrame) -> DataFrame:
     return verb.unionByName(table).withColumn("auth_required", F.lit(False)).withColumn("framework", F.lit("rails"))
 
 
+_IDENT = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
+_NEST = r"""@(Get|Post|Put|Delete|Patch|Options|Head)\s*(?:\(\s*['"]([^'"]*)['"]\s*\))?"""
+_SPRING = r"@(Get|Post|Put|Delete|Patch)Mapping"
+_QUOTED = r"""['"]([^'"]+)['"]"""
+
+
+def _annotated(lines: DataFrame, exts: tuple[str, ...], verb: str, scope: str, prefix: Column, guard: Column, method: Column, path: Column, framework: str, at_handler: bool) -> DataFrame:
+    """Handlers that an annotation precedes: the prefix of the last class annotation, and the next line that declares a name
+    before the next annotation of its kind; a guard counts between the class annotation (nest) or the handler's (spring) and it."""
+    l = lines.filter(F.col("ext").isin(*exts)).select(F.col("path").alias("file"), "line_no", strip(F.col("line")).alias("t"))
+    w = Window.partitionBy("file").orderBy("line_no")
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    t = F.col("t")
+    is_verb, is_scope = t.rlike(verb), t.rlike(scope) & ~t.rlike(verb)
+    name = F.regexp_extract(F.regexp_extract(t, r"^([^{=;]*)", 1), _IDENT, 1)
+    declares = ~t.startswith("@") & (name != "")
+    l = l.withColumn("base", F.last(F.when(is_scope, prefix), True).over(up)).withColumn("scope_at", F.last(F.when(is_scope, F.col("line_no")), True).over(up)).withColumn("guard_at", F.last(F.when(guard, F.col("line_no")), True).over(up))
+    l = l.withColumn("next", F.first(F.when(declares, F.struct("line_no", name.alias("name"), t.alias("t"), "guard_at")), True).over(down)).withColumn("other", F.first(F.when(is_verb | is_scope, F.col("line_no")), True).over(down))
+    l = l.filter(is_verb & F.col("next").isNotNull() & (F.col("other").isNull() | (F.col("other") > F.col("next.line_no"))))
+    inside = contains_any(F.col("next.t"), ("SecurityContext", "AuthenticationPrincipal", "RequestHeader", "Authorization")) | (F.col("next.guard_at") > F.col("line_no"))
+    auth = F.col("guard_at") > F.coalesce("scope_at", F.lit(0)) if at_handler else inside
+    return l.select(method.alias("method"), join_path(F.coalesce("base", F.lit("")), path).alias("path"), F.col("next.name").alias("handler"), "file", (F.col("next.line_no") if at_handler else F.col("line_no")).alias("line_no"), F.coalesce(auth, F.lit(False)).alias("auth_required"), F.lit(framework).alias("framework"))
+
+
+def nest_routes(lines: DataFrame) -> DataFrame:
+    """@Get(':id') below @Controller('users'), with @UseGuards between; the handler's line."""
+    t = F.col("t")
+    pre = F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract(t, _QUOTED, 1), "^/+", ""))
+    return _annotated(lines, ("ts",), _NEST, r"@Controller\s*\(", pre, t.rlike(r"@UseGuards\s*\(\s*[A-Za-z_]"), F.upper(F.regexp_extract(t, _NEST, 1)), F.regexp_extract(t, _NEST, 2), "nestjs", True)
+
+
+def spring_routes(lines: DataFrame) -> DataFrame:
+    """@GetMapping("/x") below a class's @RequestMapping; the annotation's line."""
+    t = F.col("t")
+    pre = F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract(t, _QUOTED, 1), "^/+", ""))
+    path = F.regexp_extract(t, _QUOTED, 1)
+    return _annotated(lines, ("java", "kt"), _SPRING, r"@RequestMapping\s*\(", pre, t.rlike(r"@PreAuthorize|@Secured|@RolesAllowed"), F.upper(F.regexp_extract(t, _SPRING, 1)), F.when(path == "", "/").otherwise(path), "spring", False)
+
+
+_LARAVEL = r"""Route::(get|post|put|patch|delete|options)\s*\(\s*['"]([^'"]+)['"]"""
+_ACTIX = r"""#\[(get|post|put|delete|patch|head|options)\(\s*"([^"]+)"\s*\)\]"""
+
+
+def laravel_routes(lines: DataFrame) -> DataFrame:
+    """Route::get('/x', [C::class, 'm']); middleware on the line, or of the group that is open above it, counts."""
+    l = lines.filter("ext = 'php'").select(F.col("path").alias("file"), "line_no", "line")
+    w = Window.partitionBy("file").orderBy("line_no")
+    opens = F.col("line").rlike(r"->group\s*\(|Route::group\s*\(")
+    group = F.last(F.when(opens, is_auth_word(F.regexp_extract("line", r"middleware['\"]?\s*(?:\(|=>)([^)]*)", 1))).when(F.col("line").rlike(r"^\s*\}\s*\)"), F.lit(False)), True).over(w)
+    l = l.withColumn("group_auth", F.coalesce(group, F.lit(False))).filter(F.col("line").rlike(_LARAVEL))
+    handler = F.regexp_extract("line", r"""['"]([A-Za-z_][A-Za-z0-9_@\\\\]*)['"]\s*\]?\s*\)""", 1)
+    auth = F.col("group_auth") | is_auth_word(F.regexp_extract("line", r"->middleware\(([^)]*)", 1))
+    return l.select(F.upper(F.regexp_extract("line", _LARAVEL, 1)).alias("method"), join_path(F.lit(""), F.regexp_extract("line", _LARAVEL, 2)).alias("path"), handler.alias("handler"), "file", "line_no", auth.alias("auth_required"), F.lit("laravel").alias("framework"))
+
+
+def actix_routes(lines: DataFrame) -> DataFrame:
+    """#[get("/x")] and the next function; web::resource("/x") as GET, the compat behaviour."""
+    l = lines.filter("ext = 'rs'").select(F.col("path").alias("file"), "line_no", "line")
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, 8)
+    name = F.regexp_extract("line", r"\bfn\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
+    l = l.withColumn("handler", F.coalesce(F.first(F.when(name != "", name), True).over(w), F.lit("")))
+    res = r"""web::resource\(\s*"([^"]+)"\s*\)"""
+    attr = F.col("line").rlike(_ACTIX)
+    l = l.filter(attr | F.col("line").rlike(res))
+    to = F.regexp_extract("line", r"\.to\(\s*([A-Za-z_][A-Za-z0-9_:]*)", 1)
+    return l.select(F.when(attr, F.upper(F.regexp_extract("line", _ACTIX, 1))).otherwise("GET").alias("method"), F.when(attr, F.regexp_extract("line", _ACTIX, 2)).otherwise(F.regexp_extract("line", res, 1)).alias("path"), F.when(attr, F.col("handler")).otherwise(to).alias("handler"), "file", "line_no", F.lit(False).alias("auth_required"), F.lit("actix").alias("framework"))
+
+
 def endpoints(lines: DataFrame) -> DataFrame:
     """All routes, one for each method, path, file and line."""
     out = python_routes(lines)
-    for parse in (express_routes, axum_routes, gin_routes, rails_routes):
+    for parse in (express_routes, axum_routes, gin_routes, rails_routes, nest_routes, spring_routes, laravel_routes, actix_routes):
         out = out.unionByName(parse(lines))
     return out.dropDuplicates(["method", "path", "file", "line_no"])
 
