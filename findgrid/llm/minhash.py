@@ -5,11 +5,12 @@ A document's set holds the hashes of its distinct word shingles. One fixed permu
 places shifted by k, so two permutations give all coordinates. Documents that agree on all rows of a band are candidates;
 a link stands only if the full sets have the similarity.
 
-Equal sets are one class with its least doc_id as representative, so copies never meet each other. Within a bucket every
-representative is first compared with one leader; buckets whose members are then in one component need no more, as a
-further link would change nothing. The others get another leader, until `stars` rounds are over, and then all pairs of
-different components that were not compared yet. So no link between components of a bucket is lost, and none is emitted
-twice. With 32 bands of 4 rows a pair of similarity 0.8 misses every band with probability 5e-8.
+Equal sets are one class with its least doc_id as representative, so copies never meet each other. A bucket's leader is
+its least representative; each representative is first compared with the leader that it meets in most buckets. Where all
+members of a bucket are then in one component, a further link would change nothing. In other buckets all pairs of different
+components are compared if the bucket is small; members of large ones are joined exactly by prefixes of their sets in an
+order that puts rare elements first (_prefix_pairs says why this loses no link and doesn't multiply out groups of copies).
+With 32 bands of 4 rows a pair of similarity 0.8 misses every band with probability 5e-8.
 
 Null and empty texts and texts without a word have an empty set and stay alone. Rows that repeat a doc_id count as one
 document. An empty table gives no rows. Columns other than doc_id and text are not read.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrid.llm.common import save
@@ -30,7 +31,8 @@ from findgrid.llm.components import components
 BANDS, ROWS = 32, 4
 PLACES = 1 << 21
 PERCENT = 80
-STARS = 3
+#: Members up to which all open pairs of a bucket are compared.
+SMALL = 12
 _K = BANDS * ROWS
 _U = np.uint64
 
@@ -127,7 +129,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,15 +137,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             ok = []
             for x, y in zip(p["x"], p["y"], strict=True):
                 u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+                union = len(np.union1d(u, v))
+                ok.append(100 * (len(u) + len(v) - union) >= percent * union)
             yield p.loc[ok, ["a", "b"]]
 
     with_b = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     return with_b.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (doc, n, comp) of different components that can have the similarity, by prefixes and positions.
+
+    All sets are read in one order, elements that few documents have first. Sets of sizes m and n with the similarity share
+    t = percent * (m + n) / (100 + percent) elements, so the first element they share is among the first m - t + 1 of one and
+    n - t + 1 of the other. Changes that a copy has alone come first in that order and fill the prefix of a distant copy, so
+    copies of one text that aren't similar don't meet, however many there are."""
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for doc, n, comp, x in zip(p["doc"], p["n"], p["comp"], p["set"], strict=True):
+                yield pd.DataFrame({"doc": doc, "n": n, "comp": comp, "e": np.frombuffer(x, np.int64)})
+
+    rows = save(docs.join(sets, "doc").mapInPandas(elements, "doc long, n long, comp long, e long"), "elements")
+    often = rows.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    # an element of one document can't be shared, but it takes its place at the front
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("df", "e")) - 1
+    placed = rows.join(often, "e", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).filter("df > 1")
+    x = placed.select("e", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("at").alias("pa"))
+    y = placed.select("e", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("at").alias("pb"))
+    t = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    on = (x["e"] == y["e"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("pa") <= F.col("na") - t) & (F.col("pb") <= F.col("nb") - t)
+    return x.join(y, on).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs."""
     sig = save(signatures(docs, words), "signatures")
     full = sig.filter("n_shingles > 0")
@@ -151,38 +178,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, sta
     member = save(full.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "n_shingles", "rep"), "classes")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     rows = full.join(reps, "doc_id").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    inside = save(rows.join(shared, "bucket"), "buckets")  # a few rows for each document that shares a bucket
+    lead = rows.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    inside = save(rows.join(lead, "bucket"), "buckets")  # (bucket, doc, n, lead, c): documents that share a bucket
     wanted = inside.select(F.col("doc").alias("doc_id")).distinct()
     sets = save(_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), words), "sets")
-
-    label = inside.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    done: DataFrame | None = None
-    links: DataFrame | None = None
-    for turn in range(stars + 1):
-        r = inside.join(label.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc")
-        mixed = r.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("first"), "doc", "comp", "n")).alias("lead")).filter("lo <> hi")
-        if turn < stars:
-            lead = mixed.select("bucket", F.col("lead.doc").alias("a0"), F.col("lead.comp").alias("ca"), F.col("lead.n").alias("na"))
-            both = r.join(lead, "bucket")
-        else:
-            open_ = r.join(mixed.select("bucket"), "bucket")
-            both = open_.join(open_.select("bucket", F.col("doc").alias("a0"), F.col("comp").alias("ca"), F.col("n").alias("na")), "bucket").filter("a0 < doc")
-        # different components, and sizes that allow the similarity
-        pairs = both.filter("comp <> ca").filter((100 * F.least("n", "na")) >= percent * F.greatest("n", "na")).select(F.least("a0", "doc").alias("a"), F.greatest("a0", "doc").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < stars:
-                continue
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        found = save(verified(pairs, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
-        label = inside.select(F.col("doc").alias("node")).distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        label = save(label, "components")
-    ids = member.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # every document and the leader that it meets most often
+    met = inside.filter("lead <> doc").groupBy("doc", "lead").agg(F.count("*").alias("k")).groupBy("doc").agg(F.max(F.struct("k", (-F.col("lead")).alias("m"))).alias("x"))
+    links = save(similar(met.select((-F.col("x.m")).alias("a"), F.col("doc").alias("b")), sets, percent), "linked")
+    comps = components(links)
+
+    # buckets whose members are not yet one component
+    r = inside.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", "n", "c", F.coalesce("component", "doc").alias("comp"))
+    mixed = r.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    open_ = save(r.join(mixed, "bucket"), "open")
+    few = open_.filter(F.col("c") <= small)
+    x = few.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = few.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    on = (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = x.join(y, on).select("a", "b")
+    far = _prefix_pairs(open_.filter(F.col("c") > small).select("doc", "n", "comp").distinct(), sets, percent)
+    found = save(similar(near.unionByName(far).distinct(), sets, percent), "linked")
+    if not found.isEmpty():
+        comps = components(links.unionByName(found))
+    ids = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
