@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findgrid.functions.shared import save_table as save
+from findgrid.functions.shared import shared_dir
+
+__all__ = ["any_of", "documents", "id_mod", "let", "n_words", "save", "shared_dir", "words"]
+
 #: Java and RE2 class body of the separators of all word rules here: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests on one machine) a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="findgrid-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to a new table in the shared folder and return a read of it, which cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -57,6 +43,3 @@ def id_mod(doc_id: Column, n: int) -> Column:
 def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols, F.lit(False))
 
-
-def partitions_for(n: int, each: int, least: int = 1) -> int:
-    return max(least, -(-n // each))
