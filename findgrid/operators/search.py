@@ -91,3 +91,26 @@ def pack_context(ranked: DataFrame, budget: int = CONTEXT_BYTES) -> DataFrame:
     """Of (rank, content): the leading rows that fit the byte budget, stopping at the first that does not. A report's few rows."""
     size = F.sum(F.octet_length("content")).over(Window.orderBy("rank"))
     return ranked.withColumn("used", size).filter(F.col("used") <= budget)
+
+
+def save_index(files: DataFrame, root: str, key: str = "path") -> None:
+    """Writes the tables chunks, postings and idf of files (path, content) below root, over an older index."""
+    spark = files.sparkSession
+    chunks(files).withColumn("chunk", F.concat_ws("#", key, F.col("ord").cast("string"))).write.mode("overwrite").parquet(f"{root}/chunks")
+    c = spark.read.parquet(f"{root}/chunks")
+    postings(c, "chunk", "content").write.mode("overwrite").parquet(f"{root}/postings")
+    idf(spark.read.parquet(f"{root}/postings"), c.count()).write.mode("overwrite").parquet(f"{root}/idf")
+
+
+def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{root}/{t}") for t in ("chunks", "postings", "idf")}
+
+
+def index_status(index: dict[str, DataFrame]) -> DataFrame:
+    """One row: files, chunks, terms and bytes of an index."""
+    a = index["chunks"].agg(F.count_distinct("path").alias("files"), F.count("*").alias("chunks"), F.sum(F.octet_length("content")).alias("bytes"))
+    return a.crossJoin(index["idf"].agg(F.count("*").alias("terms")))  # one row each
+
+
+def token_estimate(text: Column) -> Column:
+    return F.floor(F.octet_length(text) / 4) + 1

@@ -174,3 +174,41 @@ def test_watch(spark, tmp_path):
     assert [r[0] for r in w.apply(f("a", "c"), 1).collect()] == ["c"]
     assert [r[0] for r in w.apply(f("a", "b"), 2).collect()] == ["b"]
     assert [r[0] for r in w.apply(f("a", "b"), 2).collect()] == ["b"]
+
+
+def test_totp_vector(spark):
+    from findgrid.functions import codes
+
+    assert codes.totp_at(b"12345678901234567890", 59, 8) == "94287082"
+    assert spark.createDataFrame([("GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ", 59), ("1!", 59)], "s string, t long").select(codes.totp("s", "t")).collect() == [("287082",), (None,)]
+
+
+def test_line_diff(spark):
+    from findgrid.functions import codes
+
+    d = spark.createDataFrame([("a\nb\nc", "a\nx\nc")], "a string, b string").select(codes.line_diff("a", "b")).first()[0]
+    assert [(x.op, x.line) for x in d] == [("equal", "a"), ("delete", "b"), ("insert", "x"), ("equal", "c")]
+
+
+def test_annotated_routes(spark):
+    ts = "@Controller('users')\n@UseGuards(AuthGuard)\nexport class U {\n@Get(':id')\nfindOne(@Param() id) {\n@Post()\ncreate() {"
+    java = '@RequestMapping("/api")\nclass C {\n@GetMapping("/x")\n@PreAuthorize("y")\npublic String x() {\n@PostMapping\npublic void y() {'
+    php = "Route::get('/a', [C::class, 'index']);\nRoute::post('/b', [C::class, 'save'])->middleware('auth');"
+    rs = '#[get("/h")]\nasync fn h() -> X {\nweb::resource("/r").route(web::get().to(r))'
+    rows = [(f"f.{e}", e, i, t) for e, c in (("ts", ts), ("java", java), ("php", php), ("rs", rs)) for i, t in enumerate(c.split("\n"), 1)]
+    e = {(r.framework, r.method, r.path, r.handler, r.auth_required) for r in recon.endpoints(spark.createDataFrame(rows, "path string, ext string, line_no long, line string")).collect()}
+    assert {("nestjs", "GET", "/users/:id", "findOne", True), ("nestjs", "POST", "/users", "create", True)} <= e
+    assert {("spring", "GET", "/api/x", "x", True), ("spring", "POST", "/api/", "y", False)} <= e
+    assert {("laravel", "GET", "/a", "index", False), ("laravel", "POST", "/b", "save", True)} <= e
+    assert {("actix", "GET", "/h", "h", False), ("actix", "GET", "/r", "r", False)} <= e
+
+
+def test_cli(spark, tmp_path, capsys):
+    from findgrid import cli
+
+    (tmp_path / "a.py").write_text("password = 'abc12345'\nrequests.get(u, verify=False)\n")
+    (tmp_path / "requirements.txt").write_text("flask==1.0.0\n")
+    assert cli.main(["ci", str(tmp_path), "--fail-on", "critical"]) == 1
+    assert cli.main(["review", str(tmp_path)]) == 0
+    assert "Hardcoded Credentials" in capsys.readouterr().out
+    assert cli.main(["deps", str(tmp_path)]) == 0 and "flask" in capsys.readouterr().out
