@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 #: Bound of the training sample: documents of each class, those of least hash.
 PER_CLASS = 2000
 #: Lengths of letter groups within words.
-GROUPS = (5, 6, 7)
+GROUPS = (4, 5, 6, 7)
 PRIOR = 50.0
-LEAST_Z = 5.0
-LEAST_LOG_ODDS = 2.0
+#: (z-score, log-odds) that a feature needs: a small effect must be much more certain, as copies of documents repeat words.
+KEPT = ((5.0, 2.0), (15.0, 1.2))
 LEAST_DOCS = 5
 SIGNIFICANT_E = 0.01
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -147,7 +148,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     a1, a0 = F.col("n1") + prior, F.col("n0") + prior
     delta = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
     z = delta / F.sqrt(1 / a1 + 1 / a0)
-    kept = counts.filter(F.col("d0") + F.col("d1") >= LEAST_DOCS).select("t", "n0", delta.alias("w"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_LOG_ODDS)).toPandas()
+    kept = counts.filter(F.col("d0") + F.col("d1") >= LEAST_DOCS).select("t", "n0", delta.alias("w"), z.alias("z")).filter(reduce(lambda a, b: a | b, ((F.col("z") >= z) & (F.col("w") >= w) for z, w in KEPT))).toPandas()
     if kept.empty:
         return Model()
     weights = dict(zip(kept["t"], kept["w"].astype(float), strict=True))
