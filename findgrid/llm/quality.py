@@ -104,7 +104,7 @@ def measures(docs: DataFrame, carry: str = "doc_id", text: str = "text") -> Data
         F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
         (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
         F.size(F.filter(w, lambda x: x.endswith("!!"))).cast("long").alias("n_bang"),
-        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_doubled"),
+        F.size(let(w, lambda ws: F.filter(ws, lambda x, i: x == F.get(ws, i - 1)))).cast("long").alias("n_doubled"),
     )
 
 
@@ -140,18 +140,22 @@ def quality_rules(docs: DataFrame, rules=RULES, carry: str = "doc_id", text: str
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows that pass, with all their columns."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
-    return quality_rules(whole, rules, carry="row").filter("kept").select("row.*")
+    # not a filter: pushed below the measures it would evaluate them all anew
+    return quality_rules(whole, rules, carry="row").select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 #: DuckDB SQL for quality_rules(documents) with RULES.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ 	-]+'), lambda x: x <> '') AS w,
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
         len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop,
