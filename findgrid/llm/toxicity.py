@@ -31,7 +31,7 @@ PER_CLASS = 2000
 GROUPS = (4, 5, 6, 7)
 PRIOR = 50.0
 #: (z-score, log-odds) that a feature needs: a small effect must be much more certain, as copies of documents repeat words.
-KEPT = ((5.0, 2.0), (15.0, 1.2))
+KEPT = ((4.0, 3.0), (5.0, 2.0), (15.0, 1.2))
 LEAST_DOCS = 5
 SIGNIFICANT_E = 0.01
 _TOKEN = re.compile(r"[^\W\d_]+")
