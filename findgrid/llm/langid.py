@@ -61,7 +61,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], carry: tuple[str,
 
         def one(text) -> tuple[str, float, bool]:
             words = _WORD.findall(text.lower()) if text is not None and names else []
-            if not words:
+            if not any(c.isalpha() for w in words for c in w):
                 return "und", 0.0, False
             blocks = [" ".join(dict.fromkeys(words[i : i + BLOCK])).encode("utf-8", "replace") for i in range(0, len(words), BLOCK)]
             sizes = sorted((sum(len(c.compress(b)) for b in blocks), k) for c, k in zip(made, names, strict=True))
