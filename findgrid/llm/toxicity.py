@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findgrid.llm.common import save
+
 #: Bound of the training sample: documents of each class, those of least hash.
 PER_CLASS = 2000
 #: Lengths of letter groups within words.
@@ -119,7 +121,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
         return Model()
     share = {y: min(1.0, per_class / c) for y, c in n.items()}
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.filter(u < F.when(F.col("y"), share[True]).otherwise(share[False]))
+    sample = save(rows.filter(u < F.when(F.col("y"), share[True]).otherwise(share[False])), "sample")  # read three times
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[str, list[int]] = {}
