@@ -98,6 +98,18 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
+def _least(parts: np.ndarray, doc: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks sorted by (block, doc, rid), where parts marks those unlike the one before: the first of each row of the least
+    document that has the block, and those of larger documents."""
+    if not len(doc):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    new = np.concatenate([[True], parts])
+    least = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    again = doc > doc[least]
+    new[1:] |= ~again[1:] & (rid[1:] != rid[:-1])
+    return new, again
+
+
 def _answers(doc: np.ndarray, rid: np.ndarray, b: np.ndarray, kind: int) -> pd.DataFrame:
     """A row for each document: its block hashes as bytes."""
     o = np.lexsort((rid, doc))
@@ -120,11 +132,9 @@ def _deal(shards: int):
         sizes = [len(g[2]) for g in got]
         h, b = (np.concatenate([g[i] for g in got]) for i in (2, 3))
         doc, rid = (np.repeat(np.array([g[i] for g in got], np.int64), sizes) for i in (0, 1))
-        o = np.lexsort((doc, b))
+        o = np.lexsort((rid, doc, b))
         h, b, doc, rid = h[o], b[o], doc[o], rid[o]
-        new = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
-        least = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
-        again = ~new & (doc > doc[least])
+        new, again = _least(b[1:] != b[:-1], doc, rid)
         shard = ((h >> _U(32)) % _U(shards)).astype(np.int64)
         rows = []
         for pick, here in ((new, True), (again, False)):
@@ -158,8 +168,8 @@ def _deal(shards: int):
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: answers for blocks that a smaller document has whole, and for one document of each block whose anchor has
-    several blocks."""
+    """Of one shard: answers for blocks that a smaller document has whole, and for the least document of each block (all rows of
+    its doc_id) whose anchor has several blocks."""
     parts: dict[str, list] = {k: [] for k in ("h", "b", "doc", "rid")}
     done = []
     for h, b, doc, rid, n in zip(rows["h"], rows["b"], rows["doc"], rows["rid"], rows["n"], strict=True):
@@ -179,11 +189,9 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
         same[:-1] |= hs[1:] == hs[:-1]
         o = o[same]
         h, b, doc, rid = h[o], b[o], doc[o], rid[o]
-        o = np.lexsort((doc, b, h))
+        o = np.lexsort((rid, doc, b, h))
         h, b, doc, rid = h[o], b[o], doc[o], rid[o]
-        new = np.concatenate([[True], (b[1:] != b[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
-        least = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        again = ~new & (doc > doc[least])
+        new, again = _least((b[1:] != b[:-1]) | (h[1:] != h[:-1]), doc, rid)
         done.append(_answers(doc[again], rid[again], b[again], WHOLE))
         hf, bf, df, rf = h[new], b[new], doc[new], rid[new]
         cut = _runs(hf)
@@ -280,7 +288,13 @@ def _windows(doc: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     out = [(np.repeat(of[again], k), np.repeat(begin[again], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))]
     if len(once) > 1:
         r, x = _sorted_windows(doc[of[once]], [runs[i] for i in once.tolist()])
-        out.append((of[once][r], begin[once][r] + x))
+        # what holds for an owner holds for each run of its own document that equals it
+        held = np.flatnonzero(~again)
+        held = held[np.argsort(owner[held], kind="stable")]
+        s = np.searchsorted(owner[held], once[r])
+        n = np.searchsorted(owner[held], once[r], "right") - s
+        alike = held[np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        out.append((of[alike], begin[alike] + np.repeat(x, n)))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 

@@ -259,6 +259,29 @@ def test_passages(spark):
     assert passages.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_passages_twice_in_one_document(spark):
+    r = random.Random(13)
+    made = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for k in range(60):
+        x, i = made(60), 10 * k
+        # only both ends together cover x
+        rows += [(i, x[:55] + made(9)), (i + 1, made(9) + x[5:]), (i + 2, f"{made(40)}{x}{made(40)}{x}{made(40)}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, passages.remove_repeats(d).collect())) == brute_removed(rows)
+
+
+def test_passages_in_two_rows_of_one_doc_id(spark):
+    r = random.Random(14)
+    made = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for k in range(60):
+        x, i = made(60), 10 * k
+        rows += [(i, x[:55] + made(9)), (i + 1, made(9) + x[5:]), (i + 2, made(40) + x + made(40)), (i + 2, x + made(40))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, passages.remove_repeats(d).collect())) == brute_removed(rows)
+
+
 def test_strip_keeps_columns(spark):
     p = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf again"
     got = {x.doc_id: x for x in passages.strip(docs(spark, [p, p, "own words " + p, None, "tiny"])).collect()}
