@@ -3,9 +3,11 @@
 train() fits a multinomial logistic regression on the driver: classes are the licence families of TEMPLATES and `unknown`.
 Its examples are the templates with words left out or put around them, decoys, and a sample of at most `negatives`
 paragraphs of the corpus. A proximal step keeps the weights sparse; a temperature found on held-out examples calibrates
-the probabilities. scan() is DataFrame code only: paragraphs are lines; those that hold no n-gram which speaks for a family
-can't be anything but unknown, and are left out by one regular expression before their n-grams are joined with the weights
-(a table as small as the templates). The best family is confirmed if a paragraph has most words of one of its templates.
+the probabilities. scan() is DataFrame code only: paragraphs are runs of lines with a letter or digit (so comment marks alone
+part them). Each line is classified, and so are paragraphs of several lines as a whole, in overlapping stretches of words, as
+statements are wrapped. Paragraphs and lines that hold no n-gram which speaks for a family can't be anything but unknown, and
+are left out by one regular expression before their n-grams are joined with the weights (a table as small as the templates).
+The best family is confirmed if a line or stretch has most words of one of its templates.
 
 Null and empty texts have no paragraph. Repeated rows are each scanned; an empty table gives no rows. The input's other
 columns are not read.
@@ -17,7 +19,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -47,6 +49,8 @@ TOKEN = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
 NEGATIVES = 2000
 LEAST = 0.6  # calibrated probability of a family
 CONFIRM = 0.7  # share of a template's words
+#: Words of a stretch of a wrapped paragraph, and from one to the next.
+STRETCH, STEP = 96, 48
 STOP = ("the", "of", "and", "to", "in", "a", "is", "or", "any", "this", "for", "by", "be", "are", "may", "with", "on", "as", "an", "not", "no", "at", "all", "you", "v")
 
 
@@ -64,14 +68,19 @@ def _grams(line: str) -> set[str]:
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 6) -> Model:
-    """Model from TEMPLATES, DECOYS and at most `negatives` paragraphs: the first line of least hash in each hash cell."""
+    """Model from TEMPLATES, DECOYS and at most `negatives` paragraphs: one by hash of the document of least hash in each cell."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(negatives))
-    pick = docs.filter("text IS NOT NULL").select(cell.alias("c"), F.xxhash64("doc_id").alias("h"), F.left(F.element_at(F.split("text", "\n"), 1), F.lit(400)).alias("line"))
-    corpus = [r["line"] for r in pick.groupBy("c").agg(F.min(F.struct("h", "line")).alias("m")).select("m.line").collect()]
     known = {g for ts in TEMPLATES.values() for t in ts for g in _grams(t)}
-    filler = [w for line in corpus for w in re.findall(TOKEN, line.lower())][:5000] or ["x"]
+    h = F.xxhash64("doc_id")
+    keyed = docs.filter("text IS NOT NULL").select(F.pmod(h, F.lit(negatives)).alias("c"), h.alias("h"), "text")
+    least = keyed.groupBy("c").agg(F.min("h").alias("h"))
+    parts = keyed.join(F.broadcast(least), ["c", "h"]).select("c", "h", F.split("text", _BLANK).alias("ps"))
+    picked = parts.select("c", _tokens(F.get("ps", F.pmod(F.xxhash64("h"), F.size("ps")).cast("int"))).alias("t"))
+    # of a paragraph only what the templates have too, and some words to put around them
+    picked = picked.select("c", F.struct(F.array_sort(F.array_intersect(F.concat("t", _pairs("t")), F.array(*map(F.lit, sorted(known))))).alias("grams"), F.slice("t", 1, 60).alias("words")).alias("m"))
+    corpus = [r["m"] for r in picked.groupBy("c").agg(F.min("m").alias("m")).orderBy("c").collect()]
+    filler = [w for m in corpus for w in m["words"]][:5000] or ["x"]
     rows, y, held = [], [], []
     for k, f in enumerate(families):
         for t in TEMPLATES[f]:
@@ -83,8 +92,8 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 6) -> Model:
                 rows.append(_grams(" ".join([*around[:half], *(w for w, d in zip(ws, drop, strict=True) if not d), *around[half:]])))
                 y.append(k)
                 held.append(i % 4 == 3)
-    for i, line in enumerate([*DECOYS * 4, *(c for c in corpus if not _looks_licensed(c))]):
-        rows.append(_grams(line))
+    for i, g in enumerate([*map(_grams, DECOYS * 4), *(g for g in (set(m["grams"]) for m in corpus) if not _looks_licensed(g))]):
+        rows.append(g)
         y.append(len(families))
         held.append(i % 4 == 3)
     grams = sorted(known)
@@ -116,8 +125,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 6) -> Model:
     return Model(families, [g for g, u in zip(grams, used, strict=True) if u], d[used], np.minimum(e, -0.5))
 
 
-def _looks_licensed(line: str) -> bool:
-    g = _grams(line)
+def _looks_licensed(g: set[str]) -> bool:
     return any(len(g & _grams(t)) >= 0.5 * len(_grams(t)) for ts in TEMPLATES.values() for t in ts)
 
 
@@ -130,27 +138,52 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def _pairs(t: str) -> Column:
+    return F.zip_with(F.col(t), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+#: Between paragraphs: lines without a letter or digit; and the same with the number of each line before it.
+_BLANK = r"(?:^|\n)[^\p{L}\p{N}\n]*(?=\n|\z)"
+_NUMBERED_BLANK = r"(?:^|\n)\d+\x00[^\p{L}\p{N}\n]*(?=\n|\z)"
+
+
 def scan(docs: DataFrame, m: Model, least: float = LEAST) -> DataFrame:
-    """Rows (doc_id, paragraph, predicted, score, confirmed, family): the paragraphs (1-based lines) predicted as other than
-    unknown; family is the prediction if a template confirms it, else unknown."""
+    """Rows (doc_id, paragraph, predicted, score, confirmed, family): the lines (1-based) predicted as other than unknown, and
+    the wrapped paragraphs that say more than their lines, at their first line with a word that speaks for a family; family is
+    the prediction if a template confirms it, else unknown."""
     speaks = [g for g, w in zip(m.grams, m.weights, strict=True) if w.max() > 0]
     words = sorted({max((w for w in g.split() if w not in STOP), key=len) for g in speaks})
     gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in words) + r")(?![a-z0-9])" if words else r"$^"
-    lines = docs.filter(F.col("text").rlike(gate)).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(gate))
-    lines = lines.select("doc_id", "rid", (F.col("paragraph") + 1).alias("paragraph"), _tokens(F.col("line")).alias("t"))
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\0"), x)), "\n")
+    paragraphs = docs.filter(F.col("text").rlike(gate)).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split(numbered, _NUMBERED_BLANK)).alias("block", "p")).filter(F.col("p").rlike(gate))
+    number = lambda x, after="": F.regexp_extract(x, r"(?dm)^(\d+)\x00" + after, 1).cast("int")
+    own = lambda x: F.regexp_replace(x, r"(?dm)^\d+\x00", "")
+    lines = paragraphs.select("doc_id", "rid", "block", F.explode(F.split("p", "\n")).alias("line")).filter(F.col("line").rlike(gate))
+    lines = lines.select("doc_id", "rid", "block", number(F.col("line")).alias("paragraph"), F.lit(-1).alias("stretch"), _tokens(own(F.col("line"))).alias("t"))
+    wrapped = paragraphs.filter(F.col("p").rlike(r"[^\n]\n[^\n]")).select("doc_id", "rid", "block", number(F.col("p"), r"[^\n]*?" + gate).alias("paragraph"), _tokens(own(F.col("p"))).alias("all"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("all") - STRETCH) / STEP), F.lit(0)).cast("int"))
+    wrapped = wrapped.select("doc_id", "rid", "block", "paragraph", F.posexplode(F.transform(starts, lambda k: F.slice("all", k * STEP + 1, F.lit(STRETCH)))).alias("stretch", "t"))
+    lines = lines.unionByName(wrapped)
     # how much of the best template of each family the paragraph has
     shares = F.array(*(F.array_max(F.array(*(F.size(F.array_intersect(F.array(*map(F.lit, ws)), F.col("t"))) / len(ws) for ws in ({*re.findall(TOKEN, t.lower())} for t in TEMPLATES[f])))) for f in m.families))
-    pairs = F.zip_with(F.col("t"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.explode(F.array_distinct(F.concat("t", pairs)))
+    grams = F.explode(F.array_distinct(F.concat("t", _pairs("t"))))
     table = docs.sparkSession.createDataFrame([(g, [float(x) for x in w]) for g, w in zip(m.grams, m.weights, strict=True)], "gram string, w array<double>")
-    keyed = lines.select("doc_id", "rid", "paragraph", shares.alias("shares"), grams.alias("gram")).join(F.broadcast(table), "gram")  # a row for each n-gram of the templates
-    sums = keyed.groupBy("doc_id", "rid", "paragraph").agg(F.first("shares").alias("shares"), *(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(m.families))))
+    keyed = lines.select("doc_id", "rid", "block", "paragraph", "stretch", shares.alias("shares"), grams.alias("gram")).join(F.broadcast(table), "gram")  # a row for each n-gram of the templates
+    sums = keyed.groupBy("doc_id", "rid", "block", "paragraph", "stretch").agg(F.first("shares").alias("shares"), *(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(m.families))))
     z = [F.col(f"z{i}") + float(b) for i, b in enumerate(m.bias)]
     total = sum((F.exp(F.least(x, F.lit(50.0))) for x in z), F.lit(1.0))
     best = F.array_max(F.array(*(F.struct(x.alias("z"), F.lit(-i).alias("i")) for i, x in enumerate(z))))
-    got = sums.select("doc_id", "paragraph", "shares", best.alias("best"), total.alias("total")).withColumn("k", -F.col("best.i"))
+    got = sums.select("doc_id", "rid", "block", "paragraph", "stretch", "shares", best.alias("best"), total.alias("total")).withColumn("k", -F.col("best.i"))
     score = F.exp(F.least(F.col("best.z"), F.lit(50.0))) / F.col("total")
-    return got.select(
-        "doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.element_at(F.array(*map(F.lit, m.families)), F.col("k") + 1).alias("predicted"),
+    got = got.select(
+        "doc_id", "rid", "block", F.col("paragraph").cast("long").alias("paragraph"), "stretch", F.element_at(F.array(*map(F.lit, m.families)), F.col("k") + 1).alias("predicted"),
         score.alias("score"), (F.element_at("shares", F.col("k") + 1) >= CONFIRM).alias("confirmed"),
-    ).filter(F.col("score") >= least).withColumn("family", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN))
+    ).filter(F.col("score") >= least)
+    # a stretch counts once a family, where no line of its paragraph says so; lines that it confirms are part of it
+    of = Window.partitionBy("doc_id", "rid", "block", "predicted")
+    line = F.col("stretch") < 0
+    sure = lambda x: F.coalesce(F.max(F.when(x, F.col("confirmed"))).over(of), F.lit(False))
+    got = got.withColumns({"by_line": sure(line), "by_stretch": sure(~line), "any_line": F.max(line).over(of), "r": F.row_number().over(of.orderBy(line, F.desc("confirmed"), F.desc("score"), "stretch"))})
+    whole = ~line & (F.col("r") == 1) & F.when(F.col("confirmed"), ~F.col("by_line")).otherwise(~F.col("any_line"))
+    got = got.filter(whole | line & (F.col("confirmed") | F.col("by_line") | ~F.col("by_stretch")))
+    return got.select("doc_id", "paragraph", "predicted", "score", "confirmed", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"))

@@ -167,6 +167,19 @@ def test_licences(spark):
     assert licences.scan(docs(spark, []), m).count() == 0
 
 
+def test_licences_wrapped(spark):
+    r = random.Random(8)
+    noise = [" ".join(r.choice("the cat mit runs over house of der und license plate".split()) for _ in range(12)) for _ in range(30)]
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation files"
+    bsd = "// Redistribution and use in source and binary\n// forms, with or without\n// modification, are permitted provided that"
+    own = "\n".join("plain words of a text that goes on" for _ in range(40))
+    texts = [*noise, gpl, f"/*\n * Copyright someone\n *\n{mit}\n */", f"x\n\n{bsd}", f"{own}\n{mit}\n{own}\n{bsd}"]
+    d = docs(spark, texts)
+    got = {(x.doc_id, x.family) for x in licences.scan(d, licences.train(d)).collect() if x.confirmed}
+    assert got == {(30, "gpl-3.0"), (31, "mit"), (32, "bsd"), (33, "mit"), (33, "bsd")}
+
+
 def test_token_counts(spark, tmp_path):
     r = tokencounts.Rollup(spark, str(tmp_path))
     rows = lambda *x: spark.createDataFrame(list(x), tokencounts.BATCH)
