@@ -90,9 +90,9 @@ def snippets(spark, sf_dir):
 
 @query()
 def chain_flow(spark, sf_dir):
-    """Chains whose files a taint path connects, with risk raised by 1.5, 10 at most."""
+    """All chains; the risk of those whose files a taint path connects is raised by 1.5, 10 at most."""
     f = found(spark, sf_dir)
-    c = fs.chains(f).orderBy(F.desc("risk"), "chain", "entry_title", "target_title").limit(8)
+    c = fs.chains(f)
     paths = flow.trace(files(spark, sf_dir)).select("source_path", "sink_path").distinct()
     at = f.select("title", "file_path").distinct()
     hit = paths.join(at.select(F.col("title").alias("entry_title"), F.col("file_path").alias("source_path")), "source_path").join(at.select(F.col("title").alias("target_title"), F.col("file_path").alias("sink_path")), "sink_path")

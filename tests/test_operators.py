@@ -7,6 +7,9 @@ from findgrid.functions import scores, web
 from findgrid.operators import dependencies as dep
 from findgrid.operators import diffs, flow, recon, rules, search
 from findgrid.operators import findings as fs
+from findgrid.plans.fixtures import files
+from findgrid.plans.queries_findings import found
+from findgrid.plans.queries_misc import chain_flow
 from findgrid.sources import files as src
 from findgrid.streaming.watch import Watch
 
@@ -49,6 +52,23 @@ def test_chain_of_two_findings(spark):
     assert [(r.chain, r.n_findings) for r in got] == [("Privilege Escalation", 2)]
 
 
+def test_chain_flow_keeps_all_chains(spark):
+    sf = "/root/testdata/sf0.001"
+    f = found(spark, sf)
+    chains = [(r.chain, r.entry_title, r.target_title, r.risk) for r in fs.chains(f).collect()]
+    at = {}
+    for r in f.select("title", "file_path").distinct().collect():
+        at.setdefault(r.title, set()).add(r.file_path)
+    paths = {(r.source_path, r.sink_path) for r in flow.trace(files(spark, sf)).collect()}
+    want = []
+    for chain, e, t, risk in chains:
+        n = sum(a in at[e] and b in at[t] for a, b in paths)
+        want.append((chain, e, t, round(min(risk + 1.5, 10.0) if n else risk, 6), n))
+    assert len(want) > 8
+    got = [(r.chain, r.entry_title, r.target_title, round(r.risk, 6), r.paths) for r in chain_flow(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_security_score(spark):
     empty = table(spark, [finding("x", 1, "r")]).limit(0)
     score = scores.security_score(F.col("severity"), F.col("exploitability"), F.col("business_impact"))
