@@ -7,6 +7,7 @@ blank-separated words in a row; words repeat, and only new ones reach the tokeni
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,13 @@ DEFAULT = "word_bpe_49k.json"
 #: Words a cache holds before it starts anew.
 MOST = 1_200_000
 _TAIL = ".,!?;:"
+#: These are blanks to Python and none to the tokenizer.
+_MARKS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"[\S{_MARKS}]+")
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text) if any(c in text for c in _MARKS) else text.split()
 
 
 class WordIds:
@@ -66,7 +74,7 @@ class WordIds:
             split, n = [], 0
             while i < len(texts) and n < at_once:
                 n += len(texts[i] or "")
-                split.append((texts[i] or "").split())
+                split.append(_words(texts[i] or ""))
                 i += 1
             words, cache = set().union(*split), self.cache
             new = [w for w in words if w not in cache]

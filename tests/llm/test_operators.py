@@ -81,6 +81,14 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == (t.encode(x, add_special_tokens=False).ids if x else [])
 
 
+def test_word_ids_of_control_characters():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    texts = [f"a{chr(c)}b {chr(c)} Cd.{chr(c)}\u3000x{chr(c)}" for c in [*range(33), *range(127, 161), 0x1680, 0x180E, 0x200B, 0x2028, 0xFEFF]]
+    for got, x in zip(WordIds().many(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     r = random.Random(4)
     texts = [None, "", "a", *(" ".join(r.choice(["word", "other", "x", "thing"]) for _ in range(r.randint(1, 70))) for _ in range(120)), "b " * 300]
