@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from findgrid.functions.shared import save_table as save
 from findgrid.functions.shared import shared_dir
 
-__all__ = ["any_of", "documents", "id_mod", "let", "n_words", "save", "shared_dir", "words"]
+__all__ = ["any_of", "documents", "id_mod", "let", "n_words", "packed", "raw_texts", "save", "shared_dir", "small_batches", "unpacked", "words"]
 
 #: Java and RE2 class body of the separators of all word rules here: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +25,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch: rows here are whole texts, and 10,000 of them (Spark's default) are too many for an executor.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, whose session hands Python at most `rows` rows at once (Spark also ends a batch at 64 MB)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The UTF-8 bytes of an Arrow column of strings, without decoding."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def packed(docs: DataFrame, column: str = "text") -> DataFrame:
+    """docs with `column` as zstandard bytes (null stays null): half of what a shuffle of plain texts writes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            i = b.schema.get_field_index(column)
+            z = pa.array([None if t is None else pack.compress(t) for t in raw_texts(b.column(i))], pa.binary())
+            yield b.set_column(i, pa.field(column, pa.binary()), z)
+
+    schema = StructType([StructField(f.name, BinaryType(), True) if f.name == column else f for f in docs.schema])
+    return small_batches(docs).mapInArrow(run, schema)
+
+
+def unpacked(docs: DataFrame, column: str = "text") -> DataFrame:
+    """What packed() took, back again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            i = b.schema.get_field_index(column)
+            t = pa.array([None if z is None else unpack.decompress(z) for z in b.column(i).to_pylist()], pa.binary()).cast(pa.string())
+            yield b.set_column(i, pa.field(column, pa.string()), t)
+
+    schema = StructType([StructField(f.name, StringType(), True) if f.name == column else f for f in docs.schema])
+    return small_batches(docs).mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row: a lambda variable bound through a one-element array."""
     return F.transform(F.array(value), body)[0]

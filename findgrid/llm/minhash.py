@@ -12,8 +12,10 @@ components are compared if the bucket is small; members of large ones are joined
 order that puts rare elements first (_prefix_pairs says why this loses no link and doesn't multiply out groups of copies).
 With 32 bands of 4 rows a pair of similarity 0.8 misses every band with probability 5e-8.
 
-Null and empty texts and texts without a word have an empty set and stay alone. Rows that repeat a doc_id count as one
-document. An empty table gives no rows. Columns other than doc_id and text are not read.
+Null and empty texts and texts without a word have an empty set and stay alone, as do rows without doc_id (component_id null,
+kept). Rows that repeat a doc_id are one document, whose text is the least of theirs. A very long text is one set in one task,
+8 bytes a word. Ties don't arise: the least doc_id of a component stands for it. An empty table gives no rows. Columns other
+than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import save
+from findgrid.llm.common import packed, raw_texts, save, small_batches, unpacked
 from findgrid.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -63,9 +67,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: bytes | str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words of a text, A-Z as a-z; fewer words: of the whole run."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer(text.encode() if isinstance(text, str) else text or b"", np.uint8)
     if not len(raw):
         return np.empty(0, _U)
     inside = ~_IS_SPACE[raw]
@@ -106,43 +110,57 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+_INT64, _KEYS = pa.int64(), ("doc_id", "n_shingles", "key1", "key2")
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Rows (doc_id, n_shingles, key1, key2, bands) of each row; the keys tell sets apart, bands is empty for an empty set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), raw_texts(b.column("text")), strict=True):
                 s = shingle_set(text, words)
                 k1, k2 = (int(_mix(s + _U(c)).sum(dtype=_U).view(np.int64)) for c in (1, 2))
-                rows.append((doc_id, len(s), k1, k2, _bands(signature(s)) if len(s) else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key1", "key2", "bands"])
+                rows.append((doc_id, len(s), k1, k2, _bands(signature(s)) if len(s) else np.empty(0, np.int64)))
+            ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
+            bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows] or [np.empty(0, np.int64)]), _INT64))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], _INT64) for i in range(4)), bands], [*_KEYS, "bands"])
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
+def _sets(z: DataFrame, words: int) -> DataFrame:
+    """Rows (doc, set) of packed documents (doc_id, text)."""
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc_id"], "set": [shingle_set(t, words).tobytes() for t in b["text"]]})
+            sets = [shingle_set(unpack.decompress(t), words).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "set"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc long, set binary")
+    return small_batches(z).mapInArrow(run, "doc long, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by a: its set is read once for all its partners that come in a row
+        at, u = None, np.empty(0, _U)
         for p in batches:
             ok = []
-            for x, y in zip(p["x"], p["y"], strict=True):
-                u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                union = len(np.union1d(u, v))
-                ok.append(100 * (len(u) + len(v) - union) >= percent * union)
-            yield p.loc[ok, ["a", "b"]]
+            for a, x, y in zip(p.column("a").to_pylist(), p.column("x"), p.column("y"), strict=True):
+                if a != at:
+                    at, u = a, np.frombuffer(x.as_py(), _U)
+                v = np.frombuffer(y.as_buffer(), _U)
+                place = np.searchsorted(u, v)
+                both = int((u[np.minimum(place, len(u) - 1)] == v).sum()) if len(u) else 0
+                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_b = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-    return with_b.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").mapInPandas(run, "a long, b long")
+    with_b = small_batches(pairs).select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+    return with_b.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,16 +190,22 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs."""
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        one = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+        found = save(near_duplicates(one, words, percent, small), "once")
+        without = near_duplicates(docs.filter("doc_id IS NULL"), words, percent, small)
+        return docs.select("doc_id").join(found, "doc_id").unionByName(without)
     sig = save(signatures(docs, words), "signatures")
-    full = sig.filter("n_shingles > 0")
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    full = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    # sums are written before they meet their rows, so that both sides of the join are plain shuffles, whose hot keys Spark splits
+    classes = save(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "sums")
     member = save(full.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "n_shingles", "rep"), "classes")
     reps = member.filter("doc_id = rep").select("doc_id").distinct()
     rows = full.join(reps, "doc_id").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    lead = rows.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    lead = save(rows.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).filter("c > 1"), "sums")
     inside = save(rows.join(lead, "bucket"), "buckets")  # (bucket, doc, n, lead, c): documents that share a bucket
     wanted = inside.select(F.col("doc").alias("doc_id")).distinct()
-    sets = save(_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), words), "sets")
+    sets = save(_sets(packed(docs.select("doc_id", "text").filter("text IS NOT NULL")).join(wanted, "doc_id"), words), "sets")
     # every document and the leader that it meets most often
     met = inside.filter("lead <> doc").groupBy("doc", "lead").agg(F.count("*").alias("k")).groupBy("doc").agg(F.max(F.struct("k", (-F.col("lead")).alias("m"))).alias("x"))
     links = save(similar(met.select((-F.col("x.m")).alias("a"), F.col("doc").alias("b")), sets, percent), "linked")
@@ -189,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, sma
 
     # buckets whose members are not yet one component
     r = inside.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", "n", "c", F.coalesce("component", "doc").alias("comp"))
-    mixed = r.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    mixed = save(r.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"), "sums")
     open_ = save(r.join(mixed, "bucket"), "open")
     few = open_.filter(F.col("c") <= small)
     x = few.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
@@ -201,12 +225,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, sma
     if not found.isEmpty():
         comps = components(links.unionByName(found))
     ids = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return ids.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = sig.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return ids.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies, with its columns: the one of least doc_id, once if its row is repeated."""
-    kept = save(near_duplicates(docs, words, percent).filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    once = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    return once if kept.filter("copies > 1").isEmpty() else once.dropDuplicates(["doc_id"])
+    kept = save(near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
+    once = unpacked(packed(docs).join(kept.select("doc_id"), "doc_id", "left_semi"))
+    if not kept.filter("copies > 1").isEmpty():  # of the rows of one doc_id one with the text that stood for it
+        least = once.groupBy("doc_id").agg(F.min("text").alias("least"))
+        once = once.join(least, "doc_id").filter(F.col("text").eqNullSafe(F.col("least"))).dropDuplicates(["doc_id"]).select(docs.columns)
+    return once.unionByName(docs.filter("doc_id IS NULL"))

@@ -13,8 +13,9 @@ documents meet by anchor:
 Equal blocks in one batch go to a shard once, so a passage that a third of all documents share is as many rows as batches.
 Whole-block answers rest on 64-bit hashes of at most 81 bytes; the rest compares bytes.
 
-Null text: no bytes. Texts under 50 bytes keep everything. Rows that repeat a doc_id don't count against each other. An
-empty table gives no rows. Extra columns are carried under other names, so they can't clash.
+Null text: no bytes (strip() keeps it null). Texts under 50 bytes keep everything. Rows that repeat a doc_id don't count
+against each other. Rows without doc_id come after all others and don't count against each other. Very long texts are cut to
+stretches that overlap by a window. An empty table gives no rows. Extra columns are carried under other names, so they can't clash.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import save
+from findgrid.llm.common import packed, save, small_batches
 from findgrid.llm.suffixes import suffix_array
 
 WINDOW, ANCHOR, CONTEXT = 50, 20, 35
@@ -36,6 +38,9 @@ WINDOW, ANCHOR, CONTEXT = 50, 20, 35
 SHARD, SORT = 24 << 20, 1 << 20
 #: Bytes of text of one batch of blocks, and of one stretch of a long text.
 BATCH, STRETCH = 8 << 20, 1 << 19
+#: Stands for no doc_id.
+LAST = (1 << 63) - 1
+_MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 _U = np.uint64
 _BYTE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=_U)
 _ODD = np.random.default_rng(51).integers(0, 1 << 63, 8, dtype=_U) * _U(2) + _U(1)
@@ -207,11 +212,13 @@ def _pieces(shards: int):
     anchor go by the 35 bytes that end with it, the others by the 35 bytes that start with it."""
     before = CONTEXT - ANCHOR
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, rid, z, asked in zip(batch["doc_id"], batch["rid"], batch["z"], batch["asked"], strict=True):
+            for doc, rid, z, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "asked")), strict=True):
+                if asked is None or z is None:
+                    continue
                 text = unpack.decompress(z)
                 first, last, p, _, b = blocks(np.frombuffer(text, np.uint8))
                 take = np.isin(b, np.frombuffer(b"".join(asked), _U))
@@ -220,7 +227,8 @@ def _pieces(shards: int):
                         if lo <= hi:
                             key = int.from_bytes(hashlib.blake2b(text[c : c + CONTEXT], digest_size=8).digest(), "little", signed=True)
                             rows.append((key % shards, key, doc, rid, lo, text[lo : hi + WINDOW]))
-            yield pd.DataFrame(rows, columns=["shard", "key", "doc", "rid", "pos", "piece"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["shard", "key", "doc", "rid", "pos", "piece"])
 
     return run
 
@@ -328,47 +336,41 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), text: bool = Fa
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each row of docs; with text also what is left of it,
     without characters that a cut went through, as `kept_text`, after the columns `carry` as c0, c1, ..."""
     rid = F.xxhash64("doc_id", "text").alias("rid")
+    # no doc_id: after all others
+    doc = F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc_id")
     n = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(8, -(-n // SHARD))
-    src = docs.select("doc_id", rid, "text")
+    src = small_batches(docs).select(doc, rid, "text")
     dealt = src.mapInPandas(_deal(shards), _DEALT)
     answers = dealt.groupBy("shard").applyInPandas(_settle, _ANSWER)
     answers = save(answers, "answers")
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            b["z"] = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]
-            yield b.drop(columns="text")
-
     kinds = dict(docs.dtypes)
     extra = [(f"c{i}", c) for i, c in enumerate(carry)]
-    small = docs.select("doc_id", rid, "text", *(F.col(f"`{c}`").alias(k) for k, c in extra)).mapInPandas(packed, "doc_id long, rid long, " + "".join(f"{k} {kinds[c]}, " for k, c in extra) + "z binary")
+    # both joins below take all columns of `small` on the same keys, so that its texts are shuffled once for both
+    small = packed(docs.select(doc, rid, *(F.col(f"`{c}`").alias(k) for k, c in extra), "text"))
     asked = answers.filter(F.col("kind") == SHOW).groupBy(F.col("doc").alias("doc_id"), "rid").agg(F.collect_list("b").alias("asked"))
-    pieces = small.select("doc_id", "rid", "z").join(asked, ["doc_id", "rid"])
-    pieces = pieces.mapInPandas(_pieces(shards), "shard long, key long, doc long, rid long, pos long, piece binary")
+    pieces = small.join(asked, ["doc_id", "rid"], "left").mapInArrow(_pieces(shards), "shard long, key long, doc long, rid long, pos long, piece binary")
     starts = pieces.groupBy("shard").applyInPandas(_compare, _ANSWER)
     both = answers.filter(F.col("kind") == WHOLE).unionByName(starts)
     both = both.groupBy(F.col("doc").alias("doc_id"), "rid").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("b"))).alias(a) for k, a in ((WHOLE, "whole"), (2, "starts"))))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for z, whole, at in zip(batch["z"], batch["whole"], batch["starts"], strict=True):
-                raw = unpack.decompress(z)
+            for z, whole, at in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "starts")), strict=True):
+                raw = unpack.decompress(z) if z is not None else b""
                 removed = spans = 0
                 left = raw
-                has = [x is not None and len(x) > 0 for x in (whole, at)]
-                if any(has):
+                if whole or at:
                     a = np.frombuffer(raw, np.uint8)
                     edge = np.zeros(len(a) + 1, np.int32)
-                    if has[0]:
+                    if whole:
                         first, last, _, _, b = blocks(a)
                         take = np.isin(b, np.frombuffer(b"".join(whole), _U))
                         np.add.at(edge, first[take], 1)
                         np.add.at(edge, last[take] + WINDOW, -1)
-                    if has[1]:
+                    if at:
                         s = np.frombuffer(b"".join(at), np.int64)
                         np.add.at(edge, s, 1)
                         np.add.at(edge, s + WINDOW, -1)
@@ -376,14 +378,16 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), text: bool = Fa
                     removed = int(gone.sum())
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                     left = a[~gone].tobytes()
-                out.append((len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if text else None))
-            res = batch[["doc_id", *(k for k, _ in extra)]].copy()
-            for i, k in enumerate(["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 if text else 4]):
-                res[k] = [o[i] for o in out]
-            yield res
+                out.append((len(raw), removed, spans, hashlib.sha256(left).hexdigest(), (left if not removed else left.decode("utf-8", "ignore").encode()) if text and z is not None else None))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            made = [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
+            if text:
+                made.append(pa.array(cols[4], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(k) for k, _ in extra), *made], ["doc_id", *(k for k, _ in extra), *_MADE[: len(made)]])
 
     schema = "doc_id long, " + "".join(f"{k} {kinds[c]}, " for k, c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
-    return small.join(both, ["doc_id", "rid"], "left").mapInPandas(cut, schema)
+    done = small.join(both, ["doc_id", "rid"], "left").mapInArrow(cut, schema)
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -392,4 +396,4 @@ def strip(docs: DataFrame) -> DataFrame:
     others = tuple(c for c in docs.columns if c != "text")
     done = remove_repeats(docs, others, text=True)
     back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)}
-    return done.filter("n_removed = 0 OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(*(F.col("kept_text").alias(c) if c == "text" else back[c] for c in docs.columns))
+    return done.filter("n_removed = 0 OR kept_text IS NULL OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(*(F.col("kept_text").alias(c) if c == "text" else back[c] for c in docs.columns))
