@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findgrid.llm import knn, langid, licences, minhash, mixing, packing, passages, quality, tokencounts, toxicity
-from findgrid.llm.common import SPACE, documents, id_mod, n_words, save, shared_dir
+from findgrid.llm.common import SPACE, documents, id_mod, n_words, save, shared_dir, small_batches
 from findgrid.llm.tokens import word_ids
 
 
@@ -54,15 +54,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after an insert of all documents under two tokenizers, a revision of one to words with a letter or digit, a
     delete of documents of under 5 words, and a replay of the revision."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = word_ids()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, kept = word_ids(), ["doc_id", "source", "lang", "w", "v"]
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "lang": b["lang"], "w": b["w"], "v": b["v"], "t": [len(x) // 4 for x in ids.many(list(b["text"]))]})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([len(x) for x in ids.many(b.column("text"))], pa.int64())], [*kept, "t"])
 
     text = F.coalesce("text", F.lit(""))
     wordy = F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long")
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", n_words(F.col("text")).alias("w"), wordy.alias("v"))
-    counted = save(docs.mapInPandas(count, "doc_id long, source string, lang string, w long, v long, t long"), "counted")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", n_words(F.col("text")).alias("w"), wordy.alias("v"), "text")
+    counted = save(small_batches(docs).mapInArrow(count, "doc_id long, source string, lang string, w long, v long, t long"), "counted")
     row = lambda op, name, n: counted.select(F.lit(op).alias("op"), "doc_id", F.lit(name).alias("tokenizer"), "source", "lang", F.col(n).alias("n_tokens"))
     r = tokencounts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     revised = row("put", "words-1", "v").join(counted.filter("v <> w").select("doc_id"), "doc_id", "left_semi")

@@ -72,21 +72,28 @@ def test_language(spark):
 
 
 def test_word_ids_equal_the_tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    ids = WordIds(most=6)
+    texts = ["It's 12,5 don't. ÀB, İst ΑΣ. ﬁ x́.", "<|endoftext|> hi\tx 's, n't!", "ab<|endoftext|>Cd.<|STARTOFTEXT|>, <|startoftext|>!", "", None, "a" * 50, "日本語。テスト 12３ ①.", "İ. don't can't've A1b2-c_d é. e\u0301. x=\u0338 <|", " lead\u00a0and\u3000tail "]
     r = random.Random(3)
-    texts = ["It's 12,5 don't. ÀB, İst ΑΣ. ﬁ x́.", "<|endoftext|> hi\tx 's, n't!", "", None, "a" * 50, "日本語。テスト 12３ ①.", *(" ".join(r.choice(["Ab,", "ab", "c.", "d;e", "ß:"]) for _ in range(20)) for _ in range(20))]
-    for got, x in zip(ids.many(texts, at_once=30), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == (t.encode(x, add_special_tokens=False).ids if x else [])
+    texts += [" ".join(r.choice(["Ab,", "ab", "c.", "d;e", "ß:", "<|endoftext|>,"]) for _ in range(20)) for _ in range(20)]
+    for special in (False, True):
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        t.encode_special_tokens = special
+        ids = WordIds(most=6, special_as_text=special)
+        for at_once in (7, 30, 1 << 20):
+            for got, x in zip(ids.many(texts, at_once=at_once), texts, strict=True):
+                assert got.tolist() == (t.encode(x, add_special_tokens=False).ids if x else [])
 
 
 def test_word_ids_of_control_characters():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     texts = [f"a{chr(c)}b {chr(c)} Cd.{chr(c)}\u3000x{chr(c)}" for c in [*range(33), *range(127, 161), 0x1680, 0x180E, 0x200B, 0x2028, 0xFEFF]]
     for got, x in zip(WordIds().many(texts), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_word_ids_refuse_tokenizers_that_keep_white_space():
+    with pytest.raises(ValueError):
+        WordIds("byte_bpe_50k.json")
 
 
 def test_packing(spark):
@@ -108,6 +115,20 @@ def test_packing(spark):
     assert sorted(g.sequence_id.unique()) == list(range(g.sequence_id.nunique()))
     assert len(p[p.doc_id == 5]) == 2 * len(p[p.doc_id == 5].drop_duplicates("start"))
     assert packing.pack(docs(spark, [])).count() == 0
+    none = packing.pack(spark.createDataFrame([(None, "a b c", "x"), ((1 << 62) + 1, None, "y")], "doc_id long, text string, length string")).collect()
+    assert sorted((str(x.doc_id), x.length) for x in none) == [("4611686018427387905", 1), ("None", 4)]
+
+
+@pytest.mark.parametrize("histogram", [{1: 1_000_000}, {100: 100_000}, {k: 1000 for k in range(100, 110)}, {1500: 7, 2600: 9, 40: 5000}, {k: 3 for k in range(1, 4097)}])
+def test_histogram_packing_leaves_little_room(histogram):
+    s = packing.pack_histogram(histogram, 4096)
+    last = 0
+    for length, first, copies, base in zip(s.length, s.first, s.copies, s.base, strict=True):
+        later = s.first[(s.length == length) & (s.first > first)]
+        pieces = int((later.min() if len(later) else histogram[int(length)]) - first)
+        last = max(last, int(base) + pieces // int(copies))
+    tokens = sum(k * n for k, n in histogram.items())
+    assert len(s.length) <= 4 * len(histogram) + 4 and tokens / (4096 * last) > 0.95
 
 
 def test_histogram_packing_places_every_piece_once():
