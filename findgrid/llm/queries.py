@@ -36,8 +36,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within a source, documents are likelier to be taken the longer they are, by the logarithm of their words."""
     docs = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("n"))
-    return mixing.mix(docs, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, odds=F.log2(F.col("n") + 2), size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

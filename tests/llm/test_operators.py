@@ -235,9 +235,36 @@ def test_mixing(spark):
     for _, g in one.groupby("source", dropna=False):
         assert g["size"].sum() == g.source_size.iloc[0] and abs(g.taken.sum() - g.target.iloc[0]) <= 30
     assert mixing.repeat(mixing.mix(d)).count() == one.copies.sum()
+    # 300 equal rows are taken by their fraction, not together
+    same = docs(spark, ["a b"] * 8, source=lambda i: "x").limit(1)
+    many = same.crossJoin(spark.range(300)).drop("id").unionByName(docs(spark, ["c d"] * 300, source=lambda i: "y").filter("doc_id >= 0"))
+    copies = mixing.mix(many, weights=(1, 3)).filter("row.source = 'x'").groupBy("copies").count().collect()
+    assert {x.copies: x["count"] for x in copies} == {0: 150, 1: 150}
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_takes_documents_by_their_odds(spark):
+    r = random.Random(19)
+    rows = [(i, "s", r.randint(5, 15), r.choice([1.0, 2.0, 4.0, 8.0, 64.0, None])) for i in range(400)] + [(1000 + i, "t", 10, 1.0) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n long, w double").repartition(4).persist()
+    size = sum(x[2] for x in rows if x[1] == "s")
+    total, seeds = {}, 16
+    for seed in range(seeds):
+        got = mixing.mix(d, weights=(1, 2), seed=seed, odds=F.col("w"), size=F.col("n")).filter("row.source = 's'").select("doc_id", "copies", "taken", "target").collect()
+        assert abs(sum(x.taken for x in got) - got[0].target) <= 8 and max(x.copies for x in got) <= 3
+        for x in got:
+            total.setdefault(x.doc_id, []).append(x.copies)
+    target = got[0].target
+    c = mixing._scale({k: sum(x[2] for x in rows if x[1] == "s" and round(16 * np.log2(x[3] or 2.0**-100)) == k) for k in (-1600, 0, 16, 32, 48, 96)}, target, 3)
+    assert abs(sum(x[2] * min(3.0, c * (x[3] or 0)) for x in rows if x[1] == "s") - target) < 1e-3 * size
+    for w in (1.0, 2.0, 4.0, 8.0, 64.0, None):
+        ids = [x[0] for x in rows if x[1] == "s" and x[3] == w]
+        mean = np.mean([np.mean(total[i]) for i in ids])
+        want = min(3.0, c * (w or 0))
+        assert abs(mean - want) < 0.09, (w, mean, want)
+        assert all(np.floor(want + 1e-9) <= k <= np.ceil(want - 1e-9) for i in ids for k in total[i])
+
+
 def test_top_k(spark):
     r = np.random.default_rng(10)
     x = r.normal(size=(300, 8)).astype("float32")
