@@ -5,8 +5,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from findgrid.llm import minhash, mixing, packing, passages, quality
-from findgrid.llm.common import save
+from findgrid.llm.common import n_words, save
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -25,8 +27,8 @@ def passages_stage(spark, docs, sf_dir):
 
 
 def mix_stage(spark, docs, sf_dir):
-    """Each document as often as the mix takes it."""
-    return mixing.repeat(mixing.mix(docs))
+    """Each document as often as the mix takes it; longer ones are likelier, by the logarithm of their words."""
+    return mixing.repeat(mixing.mix(docs, odds=F.log2(n_words(F.col("text")) + 2)))
 
 
 def pack_stage(spark, docs, sf_dir):
