@@ -107,6 +107,8 @@ def pieces(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY,
                     crc.append(zlib.crc32(raw[4 * s : 4 * (s + capacity)]))
                     size.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, length, crc, size))], _PIECE)
+        ids.clear()
+        pa.default_memory_pool().release_unused()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE))
 

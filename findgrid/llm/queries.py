@@ -59,6 +59,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids, kept = word_ids(), ["doc_id", "source", "lang", "w", "v"]
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([len(x) for x in ids.many(b.column("text"))], pa.int64())], [*kept, "t"])
+        ids.clear()
 
     text = F.coalesce("text", F.lit(""))
     wordy = F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long")

@@ -40,13 +40,13 @@ class WordIds:
             raise ValueError(f"{name} keeps white space; words can't be encoded one by one")
         if self._plain("Ab") != self._plain("ab"):
             raise ValueError(f"{name} tells capitals apart; words can't be looked up in lower case")
-        self._clear()
+        self.clear()
 
     def _plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _clear(self) -> None:
-        """A word's number is its place in `begin` and `count`, which say where its ids are in `ids`."""
+    def clear(self) -> None:
+        """Forget all words. A word's number is its place in `begin` and `count`, which say where its ids are in `ids`."""
         self.cache: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -73,7 +73,7 @@ class WordIds:
         new = [w for w in words if w not in self.cache]
         if new:
             if len(self.cache) + len(new) > self.most:
-                self._clear()
+                self.clear()
                 new = [w for w in words if w]
             self._learn(new)
         return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
@@ -138,5 +138,5 @@ def _stretches(raw: bytes, at_once: int) -> list[str]:
 
 @functools.lru_cache(maxsize=1)
 def word_ids(name: str = DEFAULT) -> WordIds:
-    """One cache for all tasks that a Python worker runs: later tasks find the words of earlier ones."""
+    """One tokenizer for all tasks that a Python worker runs. A task clears its words at its end, as idle workers keep memory."""
     return WordIds(name)
