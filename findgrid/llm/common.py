@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from findgrid.functions.shared import save_table as save
 from findgrid.functions.shared import shared_dir
 
-__all__ = ["any_of", "documents", "id_mod", "let", "n_words", "packed", "raw_texts", "save", "shared_dir", "small_batches", "unpacked", "words"]
+__all__ = ["any_of", "appended", "documents", "id_mod", "let", "n_words", "packed", "raw_texts", "save", "shared_dir", "small_batches", "unpacked", "words"]
 
 #: Java and RE2 class body of the separators of all word rules here: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
@@ -70,6 +70,21 @@ def unpacked(docs: DataFrame, column: str = "text") -> DataFrame:
     return small_batches(docs).mapInArrow(run, schema)
 
 
+def appended(docs: DataFrame, carry: tuple[str, ...], ddl: str, types: dict[str, pa.DataType], make: Callable[[], Callable[[list[str | None]], list[tuple]]]) -> DataFrame:
+    """The columns `carry` as they are, and new ones. make() is called once a task and gives a function from the texts of a batch
+    to a tuple of new values for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = make()
+        for b in batches:
+            got = list(zip(*answer(b.column(b.num_columns - 1).to_pylist()), strict=True)) or [()] * len(types)
+            made = [pa.array(x, t) for x, t in zip(got, types.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *made], [*carry, *types])
+
+    kinds = dict(docs.dtypes)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in carry), "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + ddl)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row: a lambda variable bound through a one-element array."""
     return F.transform(F.array(value), body)[0]

@@ -26,8 +26,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    m = toxicity.fit(docs.join(labels, "doc_id").filter(id_mod(F.col("doc_id"), 5) != 0))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(id_mod(F.col("doc_id"), 5) != 0)
+    m = toxicity.fit(docs, labels)
     return toxicity.scan(docs, m).select("doc_id", (id_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_passages")
 
 

@@ -1,14 +1,20 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated by the extreme-value law of such segments.
 
 fit() counts the words, and the letter groups within words, of a bounded sample of labelled documents and gives each the
-log-odds of the toxic class against the other with an informative Dirichlet prior, kept where its z-score is significant.
-A token's score is the largest that it or a letter group in it has; every other token has one small negative score. scan() finds all maximal scoring segments of a text in one linear pass (Ruzzo and Tompa). With
-lambda, the positive root of E[exp(lambda s)] = 1 over background tokens, a segment of score S in n tokens has
-E = K n exp(-lambda S) chance hits; the document's score is a logistic curve of its largest -log E and of the sum of all
-that are above 0, fitted on the sample.
-
-Null and empty texts have no segment and get the lowest score. Repeated rows get equal scores; an empty table gives no
-rows; without labelled rows of both classes every score is 0.
+log-odds of the toxic class against the other with an informative Dirichlet prior, kept where its z-score is significant. A
+token's score is the largest that it or a letter group in it has; without such, the token's own negative log-odds if that is
+significant, else one small negative score. scan() finds all maximal scoring segments of a text in one linear pass (Ruzzo and
+Tompa). With lambda, the positive root of E[exp(lambda s)] = 1 over background tokens, a segment of score S in n tokens has
+E = K n exp(-lambda S) chance hits; K is the likeliest one for the best segments of the background sample, of which those
+without a segment are censored. The document's score is a logistic curve of its largest -log E and of the sum of all that are
+above 0, fitted on the sample.
+
+The sample: of the labelled ids the `per_class` of least hash of each class, picked from the labels alone; only their texts
+are fetched, by a broadcast of at most 2 * per_class ids.
+
+Null and empty texts have no segment and get the lowest score. Very long texts are scanned whole, one at a time. Repeated rows
+get equal scores; of rows that repeat a sampled doc_id one text is learnt from, the least. Extra columns are carried as they
+are. An empty table gives no rows; without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -22,10 +28,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import save
+from findgrid.llm.common import appended, save, small_batches
 
 #: Bound of the training sample: documents of each class, those of least hash.
 PER_CLASS = 2000
@@ -41,17 +48,21 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)  # above 0 of words and letter groups, below 0 of words
     gap: float = -1.0  # score of a token without a weight
-    lam: float = 1.0
+    lam: float = 1.0  # lambda and K of the law of chance segments
     k: float = 0.1
     curve: tuple[float, float, float] = (0.0, 0.0, -50.0)  # logistic: by the largest -log E, by their sum, constant
 
 
 def segments(scores: list[tuple[int, float]], n: int, gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of n tokens of which only `scores` (position, score) differ from
-    `gap` < 0. Linear: each candidate is pushed once, and merged into its predecessor at most once."""
-    stack: list[list] = []  # start, end, sum before, sum after
+    `gap` < 0.
+
+    Each candidate points to the nearest one before it whose left sum is smaller; the search for a candidate's own goes along
+    these pointers, so that each is passed once. Where there is none, all candidates before are final."""
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, pointer
     total, last = 0.0, -1
     for pos, s in scores:
         total += gap * (pos - last - 1)
@@ -60,16 +71,18 @@ def segments(scores: list[tuple[int, float]], n: int, gap: float) -> list[tuple[
             total += s
             continue
         start, left, total = pos, total, total + s
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= total:
-                break
-            start, left = stack[j][0], stack[j][2]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < total:  # merged, it starts where that one does, and so has that one's pointer
+            start, _, left, _, before = stack[j]
             del stack[j:]
-        stack.append([start, pos + 1, left, total])
-    return [(a, b, r - x) for a, b, x, r in stack]
+            j = before
+        if j < 0:
+            done += [(a, b, r - x) for a, b, x, r, _ in stack]
+            stack.clear()
+        stack.append((start, pos + 1, left, total, j))
+    return done + [(a, b, r - x) for a, b, x, r, _ in stack]
 
 
 def features(token: str) -> set[str]:
@@ -87,10 +100,17 @@ class Scores(dict):
         if len(self) >= self.most:
             self.clear()
         w = self.weights
-        x = self[token] = max((w[f] for f in features(token) if f in w), default=0.0)
+        x = max((w[f] for f in features(token) if f in w), default=0.0)
+        x = self[token] = x if x > 0 else w.get("=" + token, 0.0)
         return x
 
 
+def best(tokens: list[str], m: Model, scores: Scores) -> float:
+    """The largest score of a segment, 0 if there is none."""
+    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, tokens)) if s]
+    return max((s for _, _, s in segments(hits, len(tokens), m.gap)), default=0.0)
+
+
 def evidence(tokens: list[str], m: Model, scores: Scores) -> tuple[float, float, list[tuple[int, int, float]]]:
     """Largest -log E of a segment of the text (no segment: -10), the sum of those above 0, and the significant segments."""
     n = len(tokens)
@@ -113,15 +133,22 @@ def _lambda(values: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Model from rows (doc_id, text, toxic): at most about per_class documents of each class, picked by hash."""
-    rows = labelled.filter("toxic IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", (F.col("toxic") == 1).alias("y"))
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def _constant(n: np.ndarray, s: np.ndarray, lam: float, least: float) -> float:
+    """K for which K n exp(-lambda S) are likeliest unit exponentials, with texts that have no segment censored at `least`."""
+    u = n * np.exp(-lam * np.maximum(s, least))
+    return max(1e-9, float(max((s > 0).sum(), 1) / max(u.sum(), 1e-300)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Model from documents (doc_id, text) and labels (doc_id, toxic): per_class documents of each class at most."""
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("y"))
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(n) != {True, False}:
         return Model()
-    share = {y: min(1.0, per_class / c) for y, c in n.items()}
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
-    sample = save(rows.filter(u < F.when(F.col("y"), share[True]).otherwise(share[False])), "sample")  # read three times
+    ids = [known.filter(y).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(per_class) for y in (F.col("y"), ~F.col("y"))]
+    picked = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * per_class rows at most
+    sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = small_batches(save(sample, "sample"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[str, list[int]] = {}
@@ -141,6 +168,7 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
         yield pd.DataFrame([[k, *v] for k, v in got.items()], columns=["t", "n0", "n1", "d0", "d1"])
 
     counts = sample.mapInPandas(count, "t string, n0 long, n1 long, d0 long, d1 long").groupBy("t").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")))
+    counts = save(counts, "counts")  # of at most 2 * per_class documents
     total = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     n0, n1 = total["n0"] or 0, total["n1"] or 0
     if not n0 or not n1:
@@ -150,8 +178,10 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     a1, a0 = F.col("n1") + prior, F.col("n0") + prior
     delta = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
     z = delta / F.sqrt(1 / a1 + 1 / a0)
-    kept = counts.filter(F.col("d0") + F.col("d1") >= LEAST_DOCS).select("t", "n0", delta.alias("w"), z.alias("z")).filter(reduce(lambda a, b: a | b, ((F.col("z") >= z) & (F.col("w") >= w) for z, w in KEPT))).toPandas()
-    if kept.empty:
+    speaks = reduce(lambda a, b: a | b, ((F.col("z") >= z) & (F.col("w") >= w) for z, w in KEPT))
+    against = (F.col("z") <= -KEPT[0][0]) & F.col("t").startswith("=")
+    kept = counts.filter(F.col("d0") + F.col("d1") >= LEAST_DOCS).select("t", delta.alias("w"), z.alias("z")).filter(speaks | against).toPandas()
+    if not (kept["w"] > 0).any():
         return Model()
     weights = dict(zip(kept["t"], kept["w"].astype(float), strict=True))
     m = Model(weights, gap=0.0)
@@ -170,7 +200,15 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     m.gap = -max(0.05, 2 * float((values * probs).sum()) + 0.02)
     values = np.where(values == 0, m.gap, values)
     m.lam = _lambda(values, probs)
-    m.k = max(1e-6, float(probs[values > 0].sum()))
+
+    def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(weights)
+        for b in batches:
+            tokens = [_TOKEN.findall(t.lower()) for t in b["text"]]
+            yield pd.DataFrame({"n": [float(len(t)) for t in tokens], "s": [best(t, m, scores) for t in tokens]})
+
+    chance = sample.filter(~F.col("y")).mapInPandas(highest, "n double, s double").filter("n > 0").toPandas()  # per_class rows at most
+    m.k = _constant(chance["n"].to_numpy(float), chance["s"].to_numpy(float), m.lam, float(values[values > 0].min())) if len(chance) and (values > 0).any() else 0.1
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(weights)
@@ -203,18 +241,20 @@ def scan(docs: DataFrame, m: Model, carry: tuple[str, ...] = ("doc_id",), passag
     """The columns `carry` with score, predicted and n_passages; with passages also the array of significant passages
     (start, end token, log E)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scores = Scores(m.weights)
-        for b in batches:
-            got = [evidence(_TOKEN.findall(t.lower()) if t is not None else [], m, scores) for t in b["text"]]
-            x, s = (np.array([g[i] for g in got], float) for i in (0, 1))
-            out = b[list(carry)].copy()
-            out["score"] = 1 / (1 + np.exp(-np.clip(m.curve[0] * x + m.curve[1] * s + m.curve[2], -30, 30)))
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            out["n_passages"] = [len(g[2]) for g in got]
-            if passages:
-                out["passages"] = [[{"start": a, "end": z, "log_e": e} for a, z, e in g[2]] for g in got]
-            yield out
-
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry) + ", score double, predicted int, n_passages long"
-    return docs.select(*carry, "text").mapInPandas(run, schema + (", passages array<struct<start: int, end: int, log_e: double>>" if passages else ""))
+
+        def one(text: str | None) -> tuple:
+            x, s, found = evidence(_TOKEN.findall(text.lower()) if text is not None else [], m, scores)
+            score = 1 / (1 + math.exp(-min(max(m.curve[0] * x + m.curve[1] * s + m.curve[2], -30.0), 30.0)))
+            row = score, int(score >= 0.5), len(found)
+            return (*row, [{"start": a, "end": z, "log_e": e} for a, z, e in found]) if passages else row
+
+        return lambda texts: map(one, texts)
+
+    types = {"score": pa.float64(), "predicted": pa.int32(), "n_passages": pa.int64()}
+    ddl = "score double, predicted int, n_passages long"
+    if passages:
+        types["passages"] = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("log_e", pa.float64())]))
+        ddl += ", passages array<struct<start: int, end: int, log_e: double>>"
+    return appended(docs, carry, ddl, types, make)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -149,19 +150,40 @@ def test_histogram_packing_places_every_piece_once():
             assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(n for _, n in x) <= 100
 
 
+def all_maximal(s):
+    """All maximal scoring segments by their definition: the best one (leftmost, shortest), then those of both sides."""
+    best = max(((sum(s[a:b]), -a, a - b, a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    x, _, _, a, b = best
+    return [*all_maximal(s[:a]), (a, b, x), *((p + b, q + b, y) for p, q, y in all_maximal(s[b:]))]
+
+
 def test_segments_against_brute_force():
     r = random.Random(6)
-    for _ in range(400):
-        n = r.randint(1, 12)
-        s = [r.choice([-2.0, -1.0, 1.0, 2.0, 3.0]) for _ in range(n)]
+    for _ in range(1500):
+        n = r.randint(1, 14)
+        s = [r.choice([-2.3, -1.0, 1.1, 2.7, 3.05, 0.6]) + r.random() * 1e-3 for _ in range(n)]
+        s = [-1.0 if x < -0.9 and x > -1.1 else x for x in s]
         got = toxicity.segments([(i, x) for i, x in enumerate(s) if x != -1.0], n, -1.0)
-        best = max(sum(s[a:b]) for a in range(n) for b in range(a + 1, n + 1))
-        if best > 0:
-            assert max(x for _, _, x in got) == pytest.approx(best)
-        for a, b, x in got:
-            assert x == pytest.approx(sum(s[a:b]))
-            assert all(sum(s[a:k]) > 0 for k in range(a + 1, b + 1)) and all(sum(s[k:b]) > 0 for k in range(a, b))
-        assert all(p[1] <= q[0] for p, q in zip(got, got[1:], strict=False))
+        want = all_maximal(s)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [x for _, _, x in got] == pytest.approx([x for _, _, x in want])
+
+
+@pytest.mark.parametrize("gap", [-1.0, -10.0, -0.001])
+def test_segments_take_linear_time(gap):
+    t = time.process_time()
+    got = toxicity.segments([(3 * i, 3.0 - 1e-6 * i) for i in range(200_000)], 600_000, gap)
+    assert got and time.process_time() - t < 10
+
+
+def test_extreme_value_constant():
+    r = np.random.default_rng(7)
+    n, lam, k = r.integers(50, 5000, 4000).astype(float), 0.8, 0.05
+    s = np.log(k * n / r.exponential(size=4000)) / lam  # K n exp(-lambda S) is a unit exponential
+    assert toxicity._constant(n, s, lam, -50.0) == pytest.approx(k, rel=0.05)
+    assert toxicity._constant(n, np.where(s < 3, 0.0, s), lam, 3.0) == pytest.approx(k, rel=0.1)
 
 
 def test_toxicity(spark):
@@ -174,15 +196,19 @@ def test_toxicity(spark):
         if bad:
             for k in range(4):
                 t[20 + 2 * k] = r.choice(["nastiest", "vilewords"])
-        rows.append((i, " ".join(t), int(bad)))
-    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    m = toxicity.fit(d.filter("doc_id % 4 <> 0"))
+        rows.append((i, " ".join(t), int(bad), "x"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    m = toxicity.fit(d.select("doc_id", "text").unionByName(d.limit(9).select("doc_id", "text")), d.filter("doc_id % 4 <> 0"))
     got = toxicity.scan(d.filter("doc_id % 4 = 0"), m, ("doc_id", "toxic"), passages=True).collect()
     assert all(x.predicted == x.toxic for x in got)
     assert all(x.passages[0].start >= 15 and x.passages[0].end <= 32 for x in got if x.toxic)
-    odd = toxicity.scan(docs(spark, [None, ""]), m).collect()
-    assert all(x.predicted == 0 and 0 <= x.score <= 1 for x in odd)
-    assert toxicity.scan(docs(spark, ["a"]), toxicity.fit(d.limit(0))).first().predicted == 0
+    odd = toxicity.scan(docs(spark, [None, "", "nastiest " * 50_000, "nastiest vilewords nastiest"]).unionByName(docs(spark, [""])), m).orderBy("doc_id").collect()
+    assert [x.predicted for x in odd] == [0, 0, 0, 1, 1] and all(0 <= x.score <= 1 for x in odd)
+    assert toxicity.scan(docs(spark, []), m).count() == 0
+    nothing = toxicity.fit(d, d.limit(0))
+    assert toxicity.scan(docs(spark, ["a"]), nothing).first().predicted == 0
+    one = toxicity.fit(d, d.filter("toxic = 0").withColumn("toxic", F.when(F.col("doc_id") > 5, F.col("toxic"))))
+    assert toxicity.scan(docs(spark, ["a"]), one).first().predicted == 0
 
 
 def test_licences(spark):
