@@ -308,6 +308,33 @@ def test_top_k(spark):
     few = knn.top_k(v.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
     assert [x["rank"] for x in sorted(few)] == [1, 2]
     assert knn.top_k(v.limit(0), F.lit(True)).count() == 0
+    assert knn.top_k(v, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_top_k_of_unequal_lengths_and_large_components(spark):
+    r = random.Random(15)
+    rows = [(i, [r.randint(-(1 << 31), 1 << 31) if i % 3 else r.randint(-9, 9) for _ in range(r.choice([0, 3, 5, 5, 5, 6]))]) for i in range(120)]
+    rows += [(200, [1 << 62] * 3), (201, [1 << 62] * 4)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 10 == 0, pivots=6, probes=9, per_slice=16, per_block=3).collect()
+    want = []
+    for i, v in rows:
+        if i % 10 == 0:
+            score = lambda x: min(max(sum(a * b for a, b in zip(v, x)), -(1 << 63)), (1 << 63) - 1)  # noqa: B023, E731
+            best = sorted((-score(x), j) for j, x in rows if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_top_k_replicates_little(spark):
+    r = np.random.default_rng(16)
+    middle = r.normal(size=(12, 16)) * 40
+    x = middle[r.integers(0, 12, 3000)] + r.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, [int(c) for c in np.floor(256 * y)]) for i, y in enumerate(x)], "vec_id long, v array<long>")
+    queries, data = knn.deal(v, F.col("vec_id") % 50 == 0, per_block=20)
+    # three blocks of queries; without bounds every vector would go to all of them, and every query to all of 64 cells
+    sent, asked = data.count() / 3000, queries.count() / 60
+    print(f"each vector is sent {sent:.2f} times, each query {asked:.2f} times")
+    assert sent < 2 and asked < 20
 
 
 def test_suffix_array():
