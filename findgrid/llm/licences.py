@@ -9,8 +9,9 @@ statements are wrapped. Paragraphs and lines that hold no n-gram which speaks fo
 are left out by one regular expression before their n-grams are joined with the weights (a table as small as the templates).
 The best family is confirmed if a line or stretch has most words of one of its templates.
 
-Null and empty texts have no paragraph. Repeated rows are each scanned; an empty table gives no rows. The input's other
-columns are not read.
+Null and empty texts have no paragraph. Repeated rows are each scanned and give equal rows; an empty table gives no rows. Very
+long texts are read whole: each paragraph in stretches. Families of equal score go by name. The input's other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Our own short statements of each family.
+#: Short statements of each family, and the sentences that notices of it consist of.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the GNU GPL v3 or any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl-2.0": ["Licensed under the GNU General Public License, version 2.", "This program is free software under the GNU GPL v2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License.", "This library is free software under the LGPL.", "SPDX-License-Identifier: LGPL-2.1"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Licensed under the 3-Clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License.", "Unless required by applicable law or agreed to in writing, software distributed under the Apache License is distributed on an AS IS basis.", "SPDX-License-Identifier: Apache-2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
+    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the GNU GPL v3 or any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl-2.0": ["Licensed under the GNU General Public License, version 2.", "This program is free software under the GNU GPL v2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.", "SPDX-License-Identifier: GPL-2.0-only"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License.", "This library is free software under the LGPL.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-2.1"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.", "Licensed under the 3-Clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
     "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -155,15 +157,21 @@ def scan(docs: DataFrame, m: Model, least: float = LEAST) -> DataFrame:
     words = sorted({max((w for w in g.split() if w not in STOP), key=len) for g in speaks})
     gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in words) + r")(?![a-z0-9])" if words else r"$^"
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\0"), x)), "\n")
-    paragraphs = docs.filter(F.col("text").rlike(gate)).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split(numbered, _NUMBERED_BLANK)).alias("block", "p")).filter(F.col("p").rlike(gate))
+    # a number for each row, as rows may repeat
+    numbered_rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text").filter(F.col("text").rlike(gate))
+    paragraphs = numbered_rows.select("doc_id", "rid", F.posexplode(F.split(numbered, _NUMBERED_BLANK)).alias("block", "p")).filter(F.col("p").rlike(gate))
     number = lambda x, after="": F.regexp_extract(x, r"(?dm)^(\d+)\x00" + after, 1).cast("int")
     own = lambda x: F.regexp_replace(x, r"(?dm)^\d+\x00", "")
-    lines = paragraphs.select("doc_id", "rid", "block", F.explode(F.split("p", "\n")).alias("line")).filter(F.col("line").rlike(gate))
-    lines = lines.select("doc_id", "rid", "block", number(F.col("line")).alias("paragraph"), F.lit(-1).alias("stretch"), _tokens(own(F.col("line"))).alias("t"))
-    wrapped = paragraphs.filter(F.col("p").rlike(r"[^\n]\n[^\n]")).select("doc_id", "rid", "block", number(F.col("p"), r"[^\n]*?" + gate).alias("paragraph"), _tokens(own(F.col("p"))).alias("all"))
+    line = lambda x: F.struct(F.lit(-1).alias("stretch"), number(x).alias("paragraph"), _tokens(own(x)).alias("t"))
+    wraps = F.col("p").rlike(r"[^\n]\n[^\n]")
+    both = paragraphs.select(
+        "doc_id", "rid", "block", F.transform(F.filter(F.split("p", "\n"), lambda x: x.rlike(gate)), line).alias("lines"),
+        F.when(wraps, number(F.col("p"), r"[^\n]*?" + gate)).alias("at"), F.when(wraps, _tokens(own(F.col("p")))).alias("all"),
+    )
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("all") - STRETCH) / STEP), F.lit(0)).cast("int"))
-    wrapped = wrapped.select("doc_id", "rid", "block", "paragraph", F.posexplode(F.transform(starts, lambda k: F.slice("all", k * STEP + 1, F.lit(STRETCH)))).alias("stretch", "t"))
-    lines = lines.unionByName(wrapped)
+    stretches = F.transform(starts, lambda k: F.struct(k.alias("stretch"), F.col("at").alias("paragraph"), F.slice("all", k * STEP + 1, F.lit(STRETCH)).alias("t")))
+    none = F.array().cast("array<struct<stretch:int,paragraph:int,t:array<string>>>")
+    lines = both.select("doc_id", "rid", "block", F.inline(F.concat("lines", F.when(F.col("all").isNotNull(), stretches).otherwise(none))))
     # how much of the best template of each family the paragraph has
     shares = F.array(*(F.array_max(F.array(*(F.size(F.array_intersect(F.array(*map(F.lit, ws)), F.col("t"))) / len(ws) for ws in ({*re.findall(TOKEN, t.lower())} for t in TEMPLATES[f])))) for f in m.families))
     grams = F.explode(F.array_distinct(F.concat("t", _pairs("t"))))

@@ -3,10 +3,14 @@
 A batch holds inserts, revised counts and deletes of (doc_id, tokenizer). apply() joins it with the ledger of the last known
 count of each pair, turns it into signed deltas and writes three tables under the batch's number: ledger rows, deltas summed
 by (source, lang, tokenizer), and last a commit mark. Only marked batches count, and applying a marked batch again does
-nothing, so a retry after a crash or a replay changes no total; totals are sums of the batches' sums.
+nothing, so a retry after a crash or a replay changes no total; totals are sums of the batches' sums. Batches come in order: a
+number below the last commit that was never committed is refused. compact() writes the ledger's live rows and the totals as a
+new base, after which older batches aren't read; apply() calls it every `compact_every` batches.
 
-Rows: op is `put` (insert or revise) or `delete`. Null source or lang are groups of their own. Rows of one pair repeated in a
-batch count once, the largest count wins, a delete before any. Deleting an unknown pair does nothing. Empty batches commit.
+Rows: op is `put` (insert or revise) or `delete`; rows of another op, or without doc_id or tokenizer, are left out, as nothing
+could revise them. Null source or lang are groups of their own; a null count is 0. Rows of one pair repeated in a batch count
+once, the largest (count, source, lang) wins, a delete before any. Deleting an unknown pair does nothing. Empty batches commit.
+Texts are not read here; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,42 +21,59 @@ from pyspark.sql import functions as F
 
 LEDGER = "doc_id long, tokenizer string, source string, lang string, n_tokens long, live boolean, batch long"
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long, batch long"
-COMMITS = "batch long"
+COMMITS = "batch long, base boolean"
 BATCH = "op string, doc_id long, tokenizer string, source string, lang string, n_tokens long"
 
 
 class Rollup:
     """The three tables under one folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 32):
+        self.spark, self.root, self.compact_every = spark, root, compact_every
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def committed(self) -> DataFrame:
+        """Rows (batch, base): committed batches, and those that a base stands for them and all before."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/*")
+            return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits/*")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], COMMITS)
 
-    def committed(self) -> DataFrame:
-        return self._read("commits", COMMITS)
+    def _parts(self) -> list[str]:
+        """Names of the last base and the batches since: a few numbers, as apply() compacts."""
+        base = self.committed().filter("base").agg(F.max("batch").alias("b")).first()["b"]
+        later = self.committed().filter(~F.col("base") & (F.col("batch") > F.lit(base if base is not None else -(1 << 62)))).select("batch").distinct().collect()
+        return ([f"base{base}"] if base is not None else []) + [f"b{r['batch']}" for r in sorted(later)]
 
     def _of_committed(self, table: str, schema: str) -> DataFrame:
-        # a number for each batch: compact() keeps them few
-        return self._read(table, schema).join(F.broadcast(self.committed()), "batch", "left_semi")
+        parts = self._parts()
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{table}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         """The last known row of each (doc_id, tokenizer)."""
         last = F.max_by(F.struct("source", "lang", "n_tokens", "live"), "batch").alias("x")
         return self._of_committed("ledger", LEDGER).groupBy("doc_id", "tokenizer").agg(last).select("doc_id", "tokenizer", "x.*")
 
+    def compact(self) -> None:
+        """Write live rows and totals up to the last commit as a new base. A crash before its mark leaves the old state."""
+        last = self.committed().agg(F.max("batch").alias("b")).first()["b"]
+        if last is not None and not self._parts() == [f"base{last}"]:
+            number = F.lit(last).cast("long").alias("batch")
+            self.ledger().filter("live").select("doc_id", "tokenizer", "source", "lang", "n_tokens", "live", number).write.mode("overwrite").parquet(f"{self.root}/ledger/base{last}")
+            self.totals().select("source", "lang", "tokenizer", "docs", "tokens", number).write.mode("overwrite").parquet(f"{self.root}/deltas/base{last}")
+            self.spark.range(1).select(number, F.lit(True).alias("base")).write.mode("overwrite").parquet(f"{self.root}/commits/base{last}")
+
     def apply(self, batch: int, rows: DataFrame) -> bool:
         """Commit rows as batch number `batch`; False if that number was committed before."""
         if not self.committed().filter(F.col("batch") == batch).isEmpty():
             return False
+        last = self.committed().agg(F.max("batch").alias("b")).first()["b"]
+        if last is not None and batch < last:
+            raise ValueError(f"batch {batch} comes after batch {last}, which is committed")
+        rows = rows.filter("op IN ('put', 'delete') AND doc_id IS NOT NULL AND tokenizer IS NOT NULL").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
         put = F.col("op") == "put"
-        best = F.max_by(F.struct("source", "lang", "n_tokens", put.alias("live")), F.struct(~put, "n_tokens")).alias("x")
+        best = F.max_by(F.struct("source", "lang", "n_tokens", put.alias("live")), F.struct(~put, "n_tokens", "source", "lang")).alias("x")
         new = rows.groupBy("doc_id", "tokenizer").agg(best).select("doc_id", "tokenizer", F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.n_tokens").alias("n_tokens"), F.col("x.live").alias("live"))
         old = self.ledger().filter("live").select("doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("was"))
         both = new.join(old, ["doc_id", "tokenizer"], "left")
@@ -64,7 +85,9 @@ class Rollup:
         number = F.lit(batch).cast("long").alias("batch")
         deltas.select("source", "lang", "tokenizer", "docs", "tokens", number).write.mode("overwrite").parquet(f"{self.root}/deltas/b{batch}")
         new.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "live", number).write.mode("overwrite").parquet(f"{self.root}/ledger/b{batch}")
-        self.spark.range(1).select(number).write.mode("overwrite").parquet(f"{self.root}/commits/b{batch}")
+        self.spark.range(1).select(number, F.lit(False).alias("base")).write.mode("overwrite").parquet(f"{self.root}/commits/b{batch}")
+        if len(self._parts()) > self.compact_every:
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:

@@ -12,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from findgrid.llm import knn, langid, licences, mixing, packing, passages, quality, suffixes, tokencounts, toxicity
+from findgrid.llm import knn, langid, licences, mixing, packing, passages, quality, queries, suffixes, tokencounts, toxicity
 from findgrid.llm.tokens import WordIds
 
+SF = "/root/testdata/sf0.01"
+
 SCHEMA = "doc_id long, text string, lang string, source string, size long, kept string, row string"
 
 
@@ -70,6 +72,20 @@ def test_language(spark):
     assert [x.lang_pred for x in odd] == ["und", "und", "und", "fr"]
     assert [x.lang_pred for x in langid.identify(docs(spark, ["abc"]), {}).collect()] == ["und"]
     assert langid.learn(docs(spark, [])) == {}
+    assert langid.identify(docs(spark, []), learnt).count() == 0
+    # a rare label cuts no other dictionary, long texts are read to their end
+    more = d.unionByName(docs(spark, ["zzz yyy", "xxx"], lang=lambda i: "it").withColumn("doc_id", F.col("doc_id") + 900))
+    assert {k: v for k, v in langid.learn(more.filter("doc_id < 30 OR doc_id >= 900"), per_lang=8).items() if k != "it"} == learnt
+    long = langid.identify(docs(spark, ["the house " * 20 + make("fr") * 300, "neverseen " * 900 + "la maison que", "neverseen"]), learnt, ("doc_id", "size")).orderBy("doc_id").collect()
+    assert [x.lang_pred for x in long[:2]] == ["fr", "fr"] and long[0].size == 7
+
+
+def test_language_held_out(spark):
+    rows = {x.doc_id: x.lang for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [x for x in queries.op2_language_id(spark, SF).collect() if x.held_out and x.lang_pred != "und" and rows[x.doc_id]]
+    right = sum(x.lang_pred == rows[x.doc_id] for x in got) / len(got)
+    print(f"language: {right:.4f} of {len(got)} held-out documents")
+    assert right > 0.95
 
 
 def test_word_ids_equal_the_tokenizer():
@@ -220,6 +236,33 @@ def test_licences(spark):
     got = {(x.doc_id, x.paragraph, x.family) for x in licences.scan(d, m).collect() if x.confirmed}
     assert got == {(30, 2, "apache-2.0"), (31, 1, "mit"), (32, 3, "cc-by-nc")}
     assert licences.scan(docs(spark, []), m).count() == 0
+    # equal rows are scanned each by itself
+    two = licences.scan(docs(spark, ["Released under the MIT License."]).unionByName(docs(spark, ["Released under the MIT License."])), m).collect()
+    one = licences.scan(docs(spark, ["Released under the MIT License."]), m).collect()
+    assert two == one * 2
+
+
+def test_licences_held_out(spark):
+    """Templates with words left out and put around, in documents of given texts that the model hasn't seen, and those texts alone."""
+    r = random.Random(23)
+    given = [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(400).collect()]
+    m = licences.train(docs(spark, given[:200]))
+    plain = [t for t in given[200:] if not re.search("licen|rights|copyright|spdx|permi", t.lower())]
+    made = []
+    for family, statements in licences.TEMPLATES.items():
+        for s in statements:
+            if len(s.split()) > 5:
+                for _ in range(3):
+                    words = s.split()
+                    del words[r.randrange(len(words))]
+                    around = r.choice(plain).split()[:12]
+                    made.append((family, " ".join([*around[:6], *words, *around[6:]])))
+    got = licences.scan(docs(spark, [t for _, t in made] + plain), m).collect()
+    found = {(x.doc_id, x.family) for x in got if x.confirmed}
+    right = sum((i, f) in found for i, (f, _) in enumerate(made))
+    wrong = sum(i >= len(made) or made[i][0] != f for i, f in found)
+    print(f"licences: recall {right}/{len(made)}, precision {len(found) - wrong}/{len(found)}, {len(plain)} plain documents")
+    assert right > 0.85 * len(made) and wrong <= 0.08 * len(found)
 
 
 def test_licences_wrapped(spark):
@@ -245,7 +288,37 @@ def test_token_counts(spark, tmp_path):
     again = rows(("put", 1, "t", "b", "en", 11), ("delete", 3, "t", None, None, 0), ("delete", 9, "t", None, None, 0))
     assert r.apply(2, again) and get() == [("None", 1, 5), ("b", 1, 11)]
     assert not r.apply(2, again) and get() == [("None", 1, 5), ("b", 1, 11)]
-    assert r.apply(3, rows(("put", 3, "t", "b", "en", 4))) and get() == [("None", 1, 5), ("b", 2, 15)]
+    assert r.apply(5, rows(("put", 3, "t", "b", "en", 4))) and get() == [("None", 1, 5), ("b", 2, 15)]
+    with pytest.raises(ValueError):
+        r.apply(3, rows(("put", 3, "t", "b", "en", 7)))
+    r.compact()
+    r.compact()
+    assert get() == [("None", 1, 5), ("b", 2, 15)] and not r.apply(5, again) and not r.apply(2, again)
+    assert r.apply(6, rows(("delete", 3, "t", None, None, None), ("put", None, "t", "z", "en", 9), ("put", 7, None, "z", "en", 9), ("other", 7, "t", "z", "en", 9), ("put", 8, "t", "c", "en", None)))
+    assert get() == [("None", 1, 5), ("b", 1, 11), ("c", 1, 0)]
+    # of equal counts the greatest source, whatever the order
+    for k, part in ((7, 1), (8, 3)):
+        assert r.apply(k, rows(("put", 20, "t", "p", "en", 3), ("put", 20, "t", "q", "en", 3), ("put", 20, "t", "o", "en", 3)).repartition(part))
+        assert get()[-1] == ("q", 1, 3)
+
+
+def test_token_counts_against_a_plain_ledger(spark, tmp_path):
+    r, know = random.Random(18), {}
+    roll = tokencounts.Rollup(spark, str(tmp_path), compact_every=2)
+    for batch in range(1, 6):
+        rows = [(r.choice(["put", "put", "delete"]), d, r.choice("tu"), r.choice(["a", "b", None]), "en", r.randint(0, 9)) for d in r.sample(range(30), 12)]
+        assert roll.apply(batch, spark.createDataFrame(rows, tokencounts.BATCH))
+        assert not roll.apply(batch, spark.createDataFrame(rows, tokencounts.BATCH))
+        for op, d, t, s, lang, n in rows:
+            know.pop((d, t), None)
+            if op == "put":
+                know[d, t] = (s, lang, n)
+    want = {}
+    for (_, t), (s, lang, n) in know.items():
+        x = want.setdefault((s, lang, t), [0, 0])
+        x[0] += 1
+        x[1] += n
+    assert {(x.source, x.lang, x.tokenizer): [x.docs, x.tokens] for x in roll.totals().collect()} == want
 
 
 def test_mixing(spark):
