@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else (on one machine only) a new temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a new temporary folder if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="findgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,3 +25,19 @@ def save_table(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, *by: Column | str, number: str = "_no") -> DataFrame:
+    """df with the number (from 1) of each row in the order of `by`: ranges are sorted by many tasks, and offsets come from a
+    count of each range, so no task sees all rows. Rows that are equal in `by` get any order."""
+    ranges = save_table(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # a row for each range
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranges.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn(number, F.col("_before") + place + 1).drop("_at", "_part", "_before")
+
+
+def before_it(df: DataFrame, value: Column, name: str, number: str = "_no") -> DataFrame:
+    """df of in_order() with the value of the row before, null for the first."""
+    return df.join(df.select((F.col(number) + 1).alias(number), value.alias(name)), number, "left")

@@ -76,6 +76,38 @@ def html_links(html: Column) -> Column:
     return F.array_distinct(F.slice(F.regexp_extract_all(html, F.lit(r"""(?i)<a\s+[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1)), 1, 20))
 
 
+def html_attr(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag's text, null if it has none."""
+    quoted = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    has = tag.rlike(quoted)
+    return F.when(has, F.concat(*(F.coalesce(F.regexp_extract(tag, quoted, i), F.lit("")) for i in (1, 2, 3))))
+
+
+def html_forms(html: Column) -> Column:
+    """Array of forms (action, method, inputs), inputs being (name, input_type, value), in order. A form ends at its end tag, or
+    with the page."""
+    forms = F.regexp_extract_all(html, F.lit(r"(?is)(<form(?:\s[^>]*)?>.*?(?:</form\s*>|\z))"), F.lit(1))
+
+    def one(form: Column) -> Column:
+        tag = F.regexp_extract(form, r"(?is)^(<form[^>]*>)", 1)
+        inputs = F.transform(F.regexp_extract_all(form, F.lit(r"(?is)(<input(?:\s[^>]*)?>)"), F.lit(1)), lambda x: F.struct(F.coalesce(html_attr(x, "name"), F.lit("")).alias("name"), F.coalesce(html_attr(x, "type"), F.lit("text")).alias("input_type"), F.coalesce(html_attr(x, "value"), F.lit("")).alias("value")))
+        return F.struct(F.coalesce(html_attr(tag, "action"), F.lit("")).alias("action"), F.coalesce(html_attr(tag, "method"), F.lit("GET")).alias("method"), inputs.alias("inputs"))
+
+    return F.transform(forms, one)
+
+
+def html_scripts(html: Column, most: int = 10) -> Column:
+    """Sources of the first scripts that have one."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<script\s[^>]*>)"), F.lit(1))
+    return F.slice(F.filter(F.transform(tags, lambda x: F.trim(html_attr(x, "src"))), lambda x: x.isNotNull()), 1, most)
+
+
+def pull_number(given: Column, ref: Column) -> Column:
+    """The number given, else that of refs/pull/N/...; null without one that fits 32 bits."""
+    n = F.try_to_number(F.regexp_extract(ref, r"^refs/pull/\+?([0-9]{1,10})(?:/|$)", 1), F.lit("9999999999")).cast("long")
+    return F.coalesce(given.cast("long"), F.when(n < 1 << 32, n))
+
+
 def html_title(html: Column) -> Column:
     t = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     return F.when(t != "", t)

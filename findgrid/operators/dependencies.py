@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findgrid.functions import scores
 from findgrid.functions.scores import cascade, contains_any, strip
+from findgrid.functions.shared import before_it, in_order
 from findgrid.sources.files import file_name, split_lines
 
 # The advisories (ecosystem, package, constraint, description, severity).
@@ -43,6 +45,41 @@ def is_manifest(path: Column) -> Column:
     return file_name(path).isin(*MANIFESTS)
 
 
+# Folders below the root in which manifests are looked for, folders that are skipped there, and the names.
+MANIFEST_DIRS = ("src", "app", "server", "client", "backend", "frontend", "api", "lib", "cmd", "pkg", "internal", "modules", "packages")
+SKIPPED_DIRS = ("node_modules", "target", ".git", "vendor", "build", "dist")
+MANIFEST_NAMES = ("cargo.toml", "package.json", "requirements.txt", "gemfile", "go.mod", "composer.json", "pubspec.yaml", "cargo.lock", "package-lock.json", "yarn.lock", "gemfile.lock", "go.sum", "pom.xml", "build.gradle")
+MANIFEST_DEPTH = 3
+
+
+def find_manifests(files: DataFrame, rel: str = "rel_path") -> DataFrame:
+    """Files whose name, in any case, is a manifest's: in the root, or up to three folders below one of the named ones."""
+    parts = F.split(rel, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    below = F.slice(folders, 2, F.greatest(F.size(folders) - 1, F.lit(0)))
+    at = (F.size(folders) == 0) | (F.get(folders, F.lit(0)).isin(*MANIFEST_DIRS) & (F.size(below) <= MANIFEST_DEPTH) & ~F.arrays_overlap(below, F.array(*map(F.lit, SKIPPED_DIRS))))
+    return files.filter(F.lower(F.element_at(parts, -1)).isin(*MANIFEST_NAMES) & at)
+
+
+def dependency_findings(deps: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
+    """Findings of vulnerable dependencies with their usage in lines: what the dependency scan reports."""
+    f = vulnerable(deps, known).withColumn("exploitability", scores.exploitability(F.col("severity")))
+    f = f.withColumn("file_path", F.col("manifest_file")).withColumn("title", F.concat(F.lit("Vulnerable dependency: "), "name", F.lit(" "), "version"))
+    return annotate_usage(f.withColumn("finding_type", F.lit("Dependency")).withColumn("source", F.lit("dependency-scanner")), lines)
+
+
+def dependency_listing(deps: DataFrame, f: DataFrame) -> DataFrame:
+    """deps with n, the findings whose file path contains the dependency's name. Every part of a path whose length some name has
+    is joined by equality; paths are counted first, so a manifest with many findings is one row."""
+    paths = f.filter("file_path IS NOT NULL").groupBy("file_path").agg(F.count("*").alias("k"))
+    names = deps.select("name").distinct()
+    sizes = names.agg(F.array_sort(F.collect_set(F.length("name"))).alias("sizes"))  # one row: lengths of names
+    parts = paths.crossJoin(F.broadcast(sizes)).select("k", "file_path", F.explode("sizes").alias("n")).filter((F.col("n") > 0) & (F.col("n") <= F.length("file_path")))
+    parts = parts.select("k", "file_path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("file_path") - F.col("n") + 1), lambda i: F.substr("file_path", i, F.col("n"))))).alias("name"))
+    hits = parts.join(names, "name").groupBy("name").agg(F.sum("k").alias("n"))
+    return deps.join(hits, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def _rows(df: DataFrame, name: Column, version: Column, ecosystem: str, dev: Column) -> DataFrame:
     return df.select(name.alias("name"), version.alias("version"), F.lit(ecosystem).alias("ecosystem"), F.col("path").alias("manifest_file"), dev.alias("is_dev"))
 
@@ -185,14 +222,11 @@ def vulnerable(deps: DataFrame, known: DataFrame) -> DataFrame:
 
 def dedup_adjacent(deps: DataFrame, ecosystem: bool = False) -> DataFrame:
     """Drops a row whose name equals that of the row before it in any case; rows by name (by ecosystem and name for bills of
-    materials). Only neighbours count: Django and django both stay if another name sorts between them.
-
-    The order over all names is taken within groups of the lower-cased name's first letter only if that keeps neighbours
-    together; a plain order by name of upper and lower case would mix groups, so names are first aggregated."""
+    materials). Only neighbours count: Django and django both stay if another name sorts between them."""
     keys = (["ecosystem"] if ecosystem else []) + ["name"]
     first = deps.groupBy(*keys).agg(F.min(F.struct("manifest_file", "version")).alias("m"))
-    w = Window.partitionBy("ecosystem").orderBy("name") if ecosystem else Window.orderBy("name")
-    kept = first.withColumn("_p", F.lower(F.lag("name").over(w))).filter("_p IS NULL OR _p <> lower(name)")
+    ordered = before_it(in_order(first, *keys), F.struct(F.col("ecosystem") if ecosystem else F.lit(""), F.lower("name")), "_p")
+    kept = ordered.filter(~F.col("_p").eqNullSafe(F.struct(F.col("ecosystem") if ecosystem else F.lit(""), F.lower("name"))))
     return kept.select(*keys, "m.manifest_file", "m.version")
 
 
@@ -210,8 +244,20 @@ def import_tokens(line: Column) -> Column:
 
 def usage_map(lines: DataFrame) -> DataFrame:
     """Rows (token, files): the inverted index of import tokens, files in order of path."""
-    t = lines.select("path", F.explode(import_tokens(F.col("line"))).alias("token")).distinct()
-    return t.groupBy("token").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return imports(lines).groupBy("token").agg(F.array_sort(F.collect_list("path")).alias("files"))
+
+
+def imports(lines: DataFrame) -> DataFrame:
+    """The same index as rows (token, path): what scales when a token is in every file."""
+    return lines.select(F.explode(import_tokens(F.col("line"))).alias("token"), "path").distinct()
+
+
+def usage_counts(lines: DataFrame, shown: int = 4) -> DataFrame:
+    """Rows (token, n_files, files): the count and the first `shown` paths of each token. Files are counted by parts of a token's
+    paths, each of which gives its first ones, so that a token of every file is no single task's."""
+    part = F.pmod(F.xxhash64("path"), F.lit(64))
+    some = imports(lines).withColumn("_part", part).groupBy("token", "_part").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, shown).alias("f"))
+    return some.groupBy("token").agg(F.sum("n").alias("n_files"), F.slice(F.array_sort(F.flatten(F.collect_list("f"))), 1, shown).alias("files"))
 
 
 def annotate_usage(findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -221,10 +267,9 @@ def annotate_usage(findings: DataFrame, lines: DataFrame) -> DataFrame:
     f = findings.withColumn("_id", F.xxhash64(*findings.columns))
     full = F.lower("name")
     keys = f.select("_id", F.explode(F.array_distinct(F.array(full, F.regexp_extract(full, r"([^/]*)$", 1)))).alias("token")).distinct()
-    imports = lines.select("path", F.explode(import_tokens(F.col("line"))).alias("token")).distinct()
-    used = imports.join(keys, "token").select("_id", "path").distinct()
-    rank = F.row_number().over(Window.partitionBy("_id").orderBy("path"))
-    shown = used.withColumn("r", rank).groupBy("_id").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(F.when(F.col("r") <= 4, F.col("path")))).alias("shown"))
+    used = imports(lines).join(keys, "token").select("_id", "path").distinct()
+    part = used.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(64))).groupBy("_id", "_part").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, 4).alias("f"))
+    shown = part.groupBy("_id").agg(F.sum("n").alias("n_files"), F.slice(F.array_sort(F.flatten(F.collect_list("f"))), 1, 4).alias("shown"))
     j = f.join(shown, "_id", "left").drop("_id").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     more = F.when(F.col("n_files") > 4, F.concat(F.lit(" (+"), (F.col("n_files") - 4).cast("string"), F.lit(" more)"))).otherwise("")
     text = F.concat(F.lit("used in "), F.col("n_files").cast("string"), F.lit(" file(s): "), F.array_join("shown", ", "), more)
@@ -241,7 +286,7 @@ def components(deps: DataFrame) -> DataFrame:
     """Rows of a bill of materials: deduplicated, with purl, and a position for the SPDX id."""
     d = dedup_adjacent(deps, ecosystem=True)
     d = d.withColumn("purl", purl(F.col("ecosystem"), F.col("name"), F.col("version")))
-    return d.withColumn("spdx_id", F.concat(F.lit("SPDXRef-Package-"), F.row_number().over(Window.orderBy("ecosystem", "name")).cast("string")))
+    return in_order(d, "ecosystem", "name").withColumn("spdx_id", F.concat(F.lit("SPDXRef-Package-"), F.col("_no").cast("string"))).drop("_no")
 
 
 def cyclonedx(deps: DataFrame, serial: str = "urn:uuid:00000000-0000-0000-0000-000000000000", timestamp: str = "1970-01-01T00:00:00Z") -> DataFrame:

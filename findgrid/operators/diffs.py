@@ -36,3 +36,17 @@ def split_findings(f: DataFrame, changed: DataFrame) -> DataFrame:
     lines = added_lines(changed).withColumnRenamed("line", "line_number").distinct().withColumn("added", F.lit(True))
     verdict = hit.join(lines, ["path", "line_number"], "left").select("id", (F.coalesce("added", F.lit(False)) | ~F.col("has_patch") | F.col("line_number").isNull()).alias("v"))
     return f.join(verdict, "id", "left").withColumn("in_diff", F.coalesce("v", F.lit(True))).drop("v")
+
+
+def resolve_paths(f: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (id, path) of the known files (path) whose path, in any case, is the end of the finding's at a slash, by equality on
+    every suffix."""
+    keyed = f.select("id", F.explode(_suffixes(F.col("file_path"))).alias("suffix"))
+    return keyed.join(known.select(F.lower("path").alias("suffix"), "path").distinct(), "suffix").select("id", "path")
+
+
+def inline_candidates(f: DataFrame, changed: DataFrame, most: int = 10) -> DataFrame:
+    """The `most` riskiest findings that are critical or high, have a place, and lie in a changed file (path, patch) with a patch."""
+    severe = f.filter(F.col("severity").isin("Critical", "High") & F.col("file_path").isNotNull() & F.col("line_number").isNotNull())
+    patched = changed.filter("patch IS NOT NULL").select(F.col("path").alias("file_path")).distinct()
+    return severe.join(patched, "file_path", "left_semi").orderBy(F.desc("risk"), "id").limit(most)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from findgrid.functions import scores
 from findgrid.functions.scores import cascade, contains_any, ladder
+from findgrid.sources.files import split_lines
 
 BATCH = 15
 _FINDING = "struct<title: string, description: string, severity: string, confidence: string, file_path: string, line_number: long, cwe: string>"
@@ -109,6 +110,11 @@ def retest(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(a, ["endpoint", "bug_class"], "left").withColumn("verdict", F.when(F.col("_hit"), "STILL VULNERABLE").otherwise("FIXED")).drop("_hit")
 
 
+def retest_finding(title: str, proofs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """proofs (title, endpoint, bug_class) of the finding of that title, in any case, with their verdict."""
+    return retest(proofs.filter(F.lower("title") == title.lower()), fresh)
+
+
 def stage_reached(stage: Column, other: str) -> Column:
     return ladder(stage, [(s, i) for i, s in enumerate(STAGES)], None) >= STAGES.index(other)
 
@@ -138,6 +144,28 @@ def replace_lines(content: Column, first: Column, last: Column, new: Column) ->
     return F.array_join(F.concat(F.slice(l, 1, F.greatest(first - 1, F.lit(0))), F.split(new, "\n"), F.slice(l, last + 1, F.greatest(F.size(l) - last, F.lit(0)))), "\n")
 
 
+def guarded_replacement(content: Column, first: Column, last: Column, new: Column, slack: int = 4) -> Column:
+    """replace_lines(), null if the new text has over `slack` lines more or less than those it replaces."""
+    n = lambda x: F.size(split_lines(x))
+    had = F.least(last, n(content)) - first + 1
+    return F.when(F.abs(n(new) - had) <= slack, replace_lines(content, first, last, new))
+
+
+def history(messages: DataFrame) -> DataFrame:
+    """Rows (conv_id, history, turns): the turns (conv_id, turn, role, text) of a conversation as one text, each whole."""
+    g = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("l")))).alias("x"), F.count("*").alias("turns"))
+    return g.select("conv_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("history"), "turns")
+
+
+def newest_message(messages: DataFrame, thread: str, order: str, subject: str | None = None, sender: str | None = None) -> DataFrame:
+    """The newest message of each thread whose subject and sender contain the given words, in any case."""
+    for column, word in (("subject", subject), ("sender", sender)):
+        if word:
+            messages = messages.filter(F.contains(F.lower(column), F.lit(word.lower())))
+    last = messages.groupBy(thread).agg(F.max(order).alias(order))
+    return messages.join(last, [thread, order])
+
+
 def pack_queries(ranked: DataFrame, budget: int = 20_000) -> DataFrame:
     """Context of several queries: rows (query, rank, chunk, bytes) taken in order of query and rank. A chunk counts once; one that
     overflows ends its query only, so later queries may add smaller ones. A fold over a report's few rows."""

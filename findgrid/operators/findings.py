@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores
+from findgrid.functions.shared import save_table
 
 
 def with_risk(f: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def dedup(f: DataFrame) -> DataFrame:
     f = f.select("*", *_key())
     keys = ["k_path", "k_line", "k_bucket"]
     row = F.struct(*cols)
-    plain = f.filter("k_bucket <> 'credential'").groupBy(*keys).agg(F.min("seq").alias("seq"), F.max_by(row, F.struct("risk", -F.col("seq"))).alias("r"))
+    plain = f.filter("k_bucket <> 'credential'").groupBy(*keys).agg(F.min("seq").alias("seq"), F.min_by(row, F.struct((-F.col("risk")).alias("r"), "seq")).alias("r"))
     item = F.struct("seq", "risk", F.lower("title").alias("t"), F.col("source").alias("s"), row.alias("r"))
     lists = f.filter("k_bucket = 'credential'").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("l"))
     same = lambda a, x: (a["t"] == x["t"]) | (a["s"] != x["s"])
@@ -90,6 +91,52 @@ def dedup(f: DataFrame) -> DataFrame:
     return plain.select("seq", "r.*").unionByName(fold.select("x.seq", "x.r.*"))
 
 
+def deduped_all(f: DataFrame) -> DataFrame:
+    """Riskiest first, and of each issue the first: seq says the order. Findings of one key and one title (or, as credentials, of
+    different scanners) are one issue. Within a key the fold of dedup() runs over the order of risk."""
+    best = Window.partitionBy("k_path", "k_line", "k_bucket").orderBy(F.desc("risk"), "seq")
+    ranked = f.select("*", *_key()).withColumn("_r", F.row_number().over(best))
+    plain = ranked.filter("k_bucket <> 'credential' AND _r = 1")
+    # a credential stays unless a riskier one that stays has its title or is of another scanner
+    item = F.struct("_r", F.lower("title").alias("t"), F.col("source").alias("s"))
+    kept = ranked.filter("k_bucket = 'credential'").groupBy("k_path", "k_line", "k_bucket").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    keep = lambda acc, x: F.when(F.exists(acc, lambda a: (a["t"] == x["t"]) | (a["s"] != x["s"])), acc).otherwise(F.concat(acc, F.array(x)))
+    kept = kept.select("k_path", "k_line", "k_bucket", F.explode(F.aggregate(F.slice("l", 2, F.size("l")), F.slice("l", 1, 1), keep)["_r"]).alias("_r"))
+    creds = ranked.join(kept, ["k_path", "k_line", "k_bucket", "_r"], "left_semi")
+    return plain.unionByName(creds).drop("k_path", "k_line", "k_bucket", "_r")
+
+
+def merge_and_rank(f: DataFrame) -> DataFrame:
+    """dedup(), riskiest first, equals by seq."""
+    return dedup(f).orderBy(F.desc("risk"), "seq")
+
+
+def scanner_feed(f: DataFrame, min_severity: str = "medium", most: int = 100) -> DataFrame:
+    """Rows (risk, line) as an agent's tool shows them: deduplicated findings of the level or above, the `most` (1 to 500)
+    riskiest. An unknown level filters nothing."""
+    return feed_lines(dedup(f), min_severity).orderBy(F.desc("risk"), "seq").limit(min(max(most, 1), 500)).select("risk", "line")
+
+
+def feed_lines(kept: DataFrame, min_severity: str) -> DataFrame:
+    """kept with the tool's line, without findings below the level."""
+    if min_severity.lower() in ("critical", "high", "medium", "low", "info"):
+        kept = at_least(kept, min_severity.capitalize())
+    place = F.when(F.col("file_path").isNull(), "<unknown>").otherwise(F.concat("file_path", F.lit(":"), F.coalesce(F.col("line_number").cast("string"), F.lit("?"))))
+    line = F.concat(F.lit("["), "severity", F.lit("] "), "title", F.lit(" — "), place, F.lit(" (CWE "), F.coalesce("cwe_id", F.lit("-")), F.lit(")"))
+    return kept.withColumn("line", line)
+
+
+def by_layer(f: DataFrame, layer: str = "layer") -> DataFrame:
+    """Rows (layer, place, title, severity, risk, total): findings of each layer by risk, place 1 the riskiest, equals by seq."""
+    own = Window.partitionBy(layer)
+    return f.withColumn("place", F.row_number().over(own.orderBy(F.desc("risk"), "seq"))).withColumn("total", F.count("*").over(own))
+
+
+def severity_histogram(f: DataFrame, layer: str = "layer") -> DataFrame:
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    return f.groupBy(layer).agg(F.count("*").alias("total"), *map(n, ("Critical", "High", "Medium", "Low", "Info")))
+
+
 def merge_scanners(*tables: DataFrame) -> DataFrame:
     """All findings in the order of the tables, with seq."""
     out = None
@@ -141,6 +188,8 @@ CHAIN_RULES = (
     ChainRule("Credential Theft", 0.95, ("github", "token", "secret", "api_key", "aws_access", "private key"), ("ssrf", "debug", "path traversal", "open redirect")),
 )
 SAME_FILE = 1.5
+# Title words of findings that come first between the ends of a chain.
+THEME = ("sql", "inject", "exec", "token", "secret")
 
 
 def _tagged(f: DataFrame, side: str) -> DataFrame:
@@ -154,6 +203,8 @@ def chains(f: DataFrame) -> DataFrame:
     The risk of a pair is the mean of both times the rule's factor, half as much again within one file, 10 at most; a merged
     chain has the largest. Pairs within a file are joined by file; over files only the largest risk of each title on each
     side counts, so both sides are aggregated first and no pair of single findings over files is made."""
+    # both sides from one table that is written once: the scan behind it is not repeated for each use
+    f = save_table(f.select("id", "title", "file_path", "risk"), "chained")
     e, t = _tagged(f, "entry"), _tagged(f, "target")
     peak = lambda x, p: x.groupBy("chain", "factor", "title").agg(F.max_by(F.struct("risk", "file_path"), F.struct("risk", "id")).alias("m"), F.count_distinct("id").alias("n")).select("chain", "factor", F.col("title").alias(f"{p}_title"), F.col("m.risk").alias(f"{p}_risk"), F.col("n").alias(f"{p}_n"))
     capped = lambda x: F.least(x, F.lit(10.0))
@@ -166,10 +217,53 @@ def chains(f: DataFrame) -> DataFrame:
     return best.join(n, ["chain", "entry_title", "target_title"])
 
 
+def chain_members(f: DataFrame, c: DataFrame) -> DataFrame:
+    """Rows (chain, entry_title, target_title, id) of the findings that each merged chain unites, and so its steps: those of the
+    entry's title and those of the target's. One row a finding, so no chain is held by one task."""
+    of = f.select("id", "title").distinct()
+    ends = c.select("chain", "entry_title", "target_title", F.explode(F.array_distinct(F.array("entry_title", "target_title"))).alias("title"))
+    return ends.join(of, "title").select("chain", "entry_title", "target_title", "id").distinct()
+
+
+def filter_chains(c: DataFrame, want: str) -> DataFrame:
+    """Chains whose name contains the word in any case, with or without its blanks."""
+    low = F.lower("chain")
+    return c.filter(low.contains(want.lower()) | F.replace(low, F.lit(" "), F.lit("")).contains(want.lower()))
+
+
+def with_flow(c: DataFrame, f: DataFrame, paths: DataFrame, bonus: float = 1.5) -> DataFrame:
+    """All chains with `paths`, the number of taint paths (source_path, sink_path) from a file of the entry's title to one of the
+    target's; the risk of those that have one is raised, 10 at most."""
+    at = f.select("title", "file_path").distinct()
+    hit = paths.select("source_path", "sink_path").distinct().join(at.select(F.col("title").alias("entry_title"), F.col("file_path").alias("source_path")), "source_path")
+    hit = hit.join(at.select(F.col("title").alias("target_title"), F.col("file_path").alias("sink_path")), "sink_path").groupBy("entry_title", "target_title").agg(F.count("*").alias("paths"))
+    j = c.join(hit, ["entry_title", "target_title"], "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
+    return j.withColumn("risk", F.when(F.col("paths") > 0, F.least(F.col("risk") + bonus, F.lit(10.0))).otherwise(F.col("risk")))
+
+
+def session_merge(sessions: DataFrame, name: str | None = None) -> DataFrame:
+    """Findings of sessions (session, findings) as rows: of one, or of all."""
+    s = sessions.filter(F.col("session") == name) if name is not None else sessions
+    return s.select("session", F.explode("findings").alias("f")).select("session", "f.*")
+
+
+def ci_totals(f: DataFrame, n_chains: DataFrame | None = None) -> DataFrame:
+    """step_table(), with a step for chains if their table is given, and a total of the findings that are left after dedup()."""
+    t = step_table(f)
+    total = step_table(dedup(f).withColumn("source", F.lit("total")))
+    out = t.unionByName(total)
+    if n_chains is not None:
+        k = n_chains.agg(F.count("*").alias("total"))
+        zero = [F.lit(0).cast("long").alias(c) for c in ("critical", "high", "medium", "low", "info")]
+        out = out.unionByName(k.select(F.lit("attack-chains").alias("source"), "total", *zero, F.when(F.col("total") > 0, "warn").otherwise("pass").alias("status")))
+    return out
+
+
 def intermediates(ends: DataFrame, f: DataFrame, depth: int) -> DataFrame:
     """Findings strictly between two lines of one file: rows of ends (chain_id, file_path, lo, hi) with the first depth - 2
-    findings between lo and hi, by line."""
+    findings between lo and hi, those of the theme first, then by line."""
     x = f.select("file_path", F.col("line_number").alias("line"), F.col("title").alias("between_title"))
     j = ends.join(x, "file_path").filter((F.col("line") > F.col("lo")) & (F.col("line") < F.col("hi")))
-    w = Window.partitionBy("chain_id").orderBy("line", "between_title")
+    themed = scores.contains_any(F.lower("between_title"), THEME)
+    w = Window.partitionBy("chain_id").orderBy(F.desc(themed.cast("int")), "line", "between_title")
     return j.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= max(0, depth - 2))

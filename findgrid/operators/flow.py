@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.functions.shared import save_table
+from findgrid.functions.shared import before_it, in_order, save_table
 from findgrid.operators.anomaly import SANITIZERS as FILE_SANITIZERS
 from findgrid.operators.anomaly import SINKS as FILE_SINKS
 from findgrid.operators.anomaly import SOURCES as FILE_SOURCES
@@ -287,11 +287,22 @@ def trace(files: DataFrame, depth: int = 4, callees: int = 2, question: str = ""
     (function, tainted parameter) is entered once per level it is first seen at, by its least root."""
     funcs = save_table(functions(files), "functions")
     s = save_table(summaries(funcs, question), "summaries")
-    # the next state of each call: callee and parameter, resolved once
+    # the next state of each call: callee and parameter, resolved once; of the functions of a name only the first `callees` of
+    # each file and of all files can be meant, so a name that every file has is no product of all its calls and definitions
     target = funcs.select(F.lower("name").alias("target"), F.col("path").alias("t_path"), F.col("start_line").alias("t_line"), F.col("params").alias("t_params"))
-    calls = s.filter("kind = 'call'").join(target, "target").withColumn("near", F.col("path") == F.col("t_path"))
-    w = Window.partitionBy("path", "start_line", "entry", "line", "target", "arg")
-    ranked = calls.withColumn("any_near", F.max("near").over(w)).filter("near OR NOT any_near").withColumn("r", F.row_number().over(w.orderBy("t_path", "t_line"))).filter(F.col("r") <= callees)
+    place = F.row_number().over(Window.partitionBy("target", "t_path").orderBy("t_line"))
+    local = save_table(target.withColumn("r", place).filter(F.col("r") <= callees), "callees")
+    calls = save_table(s.filter("kind = 'call'"), "calls")
+    near = calls.join(local.withColumnRenamed("t_path", "path"), ["target", "path"]).withColumn("t_path", F.col("path"))
+    names = local.select("target", F.struct("t_path", "t_line", "t_params").alias("f"))
+    least = names.groupBy("target").agg(F.min("f").alias("f"))
+    anywhere = least.select("target", "f", F.lit(1).alias("k"))
+    for k in range(2, callees + 1):  # the next one of each name, by an aggregate that keeps one row a name
+        taken = anywhere.filter(F.col("k") == k - 1).select("target", F.col("f").alias("last"))
+        anywhere = anywhere.unionByName(names.join(taken, "target").filter("f > last").groupBy("target").agg(F.min("f").alias("f")).withColumn("k", F.lit(k)))
+    anywhere = save_table(anywhere.select("target", "f.*"), "first-callees")
+    far = calls.join(near.select("target", "path").distinct(), ["target", "path"], "left_anti").join(anywhere, "target")
+    ranked = near.select(*calls.columns, "t_path", "t_line", "t_params").unionByName(far.select(*calls.columns, "t_path", "t_line", "t_params"))
     step = save_table(ranked.select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("hops").alias("add"), "t_path", "t_line", F.get("t_params", F.col("arg").cast("int")).alias("t_entry")).filter("t_entry IS NOT NULL").distinct(), "steps")
     sinks = s.filter("kind = 'sink'").select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("line").alias("sink_line"), F.col("target").alias("sink"), F.col("hops").alias("last_hops"))
     # roots read untrusted input themselves
@@ -316,12 +327,11 @@ def trace(files: DataFrame, depth: int = 4, callees: int = 2, question: str = ""
 
 
 def dedup_paths(paths: DataFrame) -> DataFrame:
-    """Paths by falling risk, each that has the source and sink of the one before it dropped, numbered TRACE-n. A report's
-    rows: the order is global."""
-    w = Window.orderBy(F.desc("risk"), "source_path", "source_line", "sink_path", "sink_line", "sink")
+    """Paths by falling risk, each that has the source and sink of the one before it dropped, numbered TRACE-n."""
+    by = (F.desc("risk"), "source_path", "source_line", "sink_path", "sink_line", "sink")
     key = F.concat_ws("|", "source_path", "source_line", "sink_path", "sink_line")
-    kept = paths.withColumn("_k", key).withColumn("_p", F.lag("_k").over(w)).filter("_p IS NULL OR _p <> _k").drop("_k", "_p")
-    return kept.withColumn("id", F.concat(F.lit("TRACE-"), F.row_number().over(w).cast("string")))
+    kept = before_it(in_order(paths, *by), key, "_p").filter(F.col("_p").isNull() | (F.col("_p") != key)).select(paths.columns)
+    return in_order(kept, *by).withColumn("id", F.concat(F.lit("TRACE-"), F.col("_no").cast("string"))).drop("_no")
 
 
 def between_files(paths: DataFrame, source: str, sink: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrid.functions.scores import cascade, contains_any, ladder, strip
 from findgrid.functions.shared import save_table
+from findgrid.functions.web import resolve_url
 
 # Words and patterns that results depend on.
 AUTH_WORDS = ("auth", "jwt", "token", "session", "login", "guard", "passport", "oauth", "permission", "role", "admin", "protect", "secure", "credential", "sanctum", "acl", "mfa")
@@ -112,6 +115,7 @@ def rails_routes(lines: DataFrame) -> DataFrame:
     return verb.unionByName(table).withColumn("auth_required", F.lit(False)).withColumn("framework", F.lit("rails"))
 
 
+# Patterns of NestJS and Spring annotations.
 _IDENT = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
 _NEST = r"""@(Get|Post|Put|Delete|Patch|Options|Head)\s*(?:\(\s*['"]([^'"]*)['"]\s*\))?"""
 _SPRING = r"@(Get|Post|Put|Delete|Patch)Mapping"
@@ -151,43 +155,111 @@ def spring_routes(lines: DataFrame) -> DataFrame:
     return _annotated(lines, ("java", "kt"), _SPRING, r"@RequestMapping\s*\(", pre, t.rlike(r"@PreAuthorize|@Secured|@RolesAllowed"), F.upper(F.regexp_extract(t, _SPRING, 1)), F.when(path == "", "/").otherwise(path), "spring", False)
 
 
-_LARAVEL = r"""Route::(get|post|put|patch|delete|options)\s*\(\s*['"]([^'"]+)['"]"""
-_ACTIX = r"""#\[(get|post|put|delete|patch|head|options)\(\s*"([^"]+)"\s*\)\]"""
+# Patterns of Laravel and actix routes.
+_LARAVEL = r"""Route::(get|post|put|patch|delete|any)\s*\(\s*['"]([^'"]+)['"]"""
+_LARAVEL_RESOURCE = r"""Route::(?:apiResource|resource)\s*\(\s*['"]([^'"]+)['"]"""
+_LARAVEL_GROUP = r"""Route::middleware\s*\(\s*(\[[^\]]*\]|['"][^'"]+['"])"""
+_CLASS = r"([A-Za-z_\\]+)\s*::class"
+_CLASS_METHOD = r"""\[[A-Za-z_\\]+\s*::class\s*,\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]\]"""
+_AT_METHOD = r"""['"]([A-Za-z_\\]+@[a-zA-Z_][A-Za-z0-9_]*)['"]"""
+_QUOTED_NAME = r"""['"]([A-Za-z_][A-Za-z0-9_]*)['"]"""
+_RESOURCE_ROUTES = (("GET", "", "index"), ("GET", "/create", "create"), ("POST", "", "store"), ("GET", "/{id}", "show"), ("GET", "/{id}/edit", "edit"), ("PUT", "/{id}", "update"), ("PATCH", "/{id}", "update"), ("DELETE", "/{id}", "destroy"))
+_ACTIX = r"""#\[(get|post|put|delete|patch|head|options)\s*\(\s*["']([^"']+)["']\s*\)\]"""
+_ACTIX_FN = r"\b(?:async\s+)?fn\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
+_ACTIX_RESOURCE = r"""web::resource\s*\(\s*["']([^"']+)["']"""
+_ACTIX_TO = r"\.to\s*\(\s*([a-zA-Z_][a-zA-Z0-9_:]*)"
+
+
+def _or_null(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
 def laravel_routes(lines: DataFrame) -> DataFrame:
-    """Route::get('/x', [C::class, 'm']); middleware on the line, or of the group that is open above it, counts."""
-    l = lines.filter("ext = 'php'").select(F.col("path").alias("file"), "line_no", "line")
-    w = Window.partitionBy("file").orderBy("line_no")
-    opens = F.col("line").rlike(r"->group\s*\(|Route::group\s*\(")
-    group = F.last(F.when(opens, is_auth_word(F.regexp_extract("line", r"middleware['\"]?\s*(?:\(|=>)([^)]*)", 1))).when(F.col("line").rlike(r"^\s*\}\s*\)"), F.lit(False)), True).over(w)
-    l = l.withColumn("group_auth", F.coalesce(group, F.lit(False))).filter(F.col("line").rlike(_LARAVEL))
-    handler = F.regexp_extract("line", r"""['"]([A-Za-z_][A-Za-z0-9_@\\\\]*)['"]\s*\]?\s*\)""", 1)
-    auth = F.col("group_auth") | is_auth_word(F.regexp_extract("line", r"->middleware\(([^)]*)", 1))
-    return l.select(F.upper(F.regexp_extract("line", _LARAVEL, 1)).alias("method"), join_path(F.lit(""), F.regexp_extract("line", _LARAVEL, 2)).alias("path"), handler.alias("handler"), "file", "line_no", auth.alias("auth_required"), F.lit("laravel").alias("framework"))
+    """Verbs and resources. A group's middleware says whether the routes below it are guarded until all groups are closed: the
+    state after a line is that of the last line that set it, so it is a running window, not a loop."""
+    l = lines.filter("ext = 'php'").select(F.col("path").alias("file"), "line_no", strip(F.col("line")).alias("t"))
+    t, w = F.col("t"), Window.partitionBy("file").orderBy("line_no")
+    middleware, group = t.startswith("Route::middleware"), t.startswith("Route::group")
+    closes = ~middleware & ~group & (t.startswith("});") | t.startswith(");"))
+    l = l.withColumn("depth", F.sum(F.when(middleware | group, 1).when(closes, -1).otherwise(0)).over(w))
+    names = _or_null(F.regexp_extract(t, _LARAVEL_GROUP, 1))
+    sets = F.when(middleware & names.isNotNull(), is_auth_word(names)).when(group & t.contains("middleware") & is_auth_word(t), F.lit(True)).when(closes & (F.col("depth") == 0), F.lit(False))
+    l = l.withColumn("in_group", F.coalesce(F.last(sets, True).over(w), F.lit(False))).filter(~middleware & ~group & ~closes)
+    resource = F.regexp_extract(t, _LARAVEL_RESOURCE, 1)
+    rest = F.regexp_replace(t, "^.*?" + _LARAVEL_RESOURCE, "")
+    name = F.regexp_replace(resource, "^/+", "")
+    controller = F.coalesce(_or_null(F.regexp_extract(rest, _CLASS, 1)), _or_null(F.regexp_extract(rest, _QUOTED_NAME, 1)), name)
+    some = F.filter(F.array(*(F.struct(F.lit(a).alias("m"), F.lit(b).alias("p"), F.lit(c).alias("a")) for a, b, c in _RESOURCE_ROUTES)), lambda x: ~t.contains("apiResource") | ~x["a"].isin("create", "edit"))
+    out = ("method", "path", "handler", "file", "line_no", "auth_required")
+    table = l.filter(resource != "").select("file", "line_no", "in_group", name.alias("n"), controller.alias("c"), F.explode(some).alias("r"))
+    table = table.select(F.col("r.m").alias("method"), F.concat(F.lit("/"), "n", "r.p").alias("path"), F.concat("c", F.lit("@"), "r.a").alias("handler"), "file", "line_no", F.col("in_group").alias("auth_required"))
+    own = _or_null(F.regexp_extract(t, r"(->middleware\([^)]*)\)", 1))
+    method = _or_null(F.regexp_extract(t, _CLASS_METHOD, 1))
+    handler = F.coalesce(F.concat(F.regexp_extract(t, _CLASS, 1), F.lit("@"), method), F.regexp_extract(t, _AT_METHOD, 1))
+    verbs = l.filter((resource == "") & t.rlike(_LARAVEL)).select(F.upper(F.regexp_extract(t, _LARAVEL, 1)).alias("method"), F.regexp_extract(t, _LARAVEL, 2).alias("path"), handler.alias("handler"), "file", "line_no", F.when(own.isNotNull(), is_auth_word(own)).otherwise(F.col("in_group")).alias("auth_required"))
+    return verbs.select(*out).unionByName(table.select(*out)).withColumn("framework", F.lit("laravel"))
 
 
 def actix_routes(lines: DataFrame) -> DataFrame:
-    """#[get("/x")] and the next function; web::resource("/x") as GET, the compat behaviour."""
-    l = lines.filter("ext = 'rs'").select(F.col("path").alias("file"), "line_no", "line")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(1, 8)
-    name = F.regexp_extract("line", r"\bfn\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
-    l = l.withColumn("handler", F.coalesce(F.first(F.when(name != "", name), True).over(w), F.lit("")))
-    res = r"""web::resource\(\s*"([^"]+)"\s*\)"""
-    attr = F.col("line").rlike(_ACTIX)
-    l = l.filter(attr | F.col("line").rlike(res))
-    to = F.regexp_extract("line", r"\.to\(\s*([A-Za-z_][A-Za-z0-9_:]*)", 1)
-    return l.select(F.when(attr, F.upper(F.regexp_extract("line", _ACTIX, 1))).otherwise("GET").alias("method"), F.when(attr, F.regexp_extract("line", _ACTIX, 2)).otherwise(F.regexp_extract("line", res, 1)).alias("path"), F.when(attr, F.col("handler")).otherwise(to).alias("handler"), "file", "line_no", F.lit(False).alias("auth_required"), F.lit("actix").alias("framework"))
+    """Attribute lines and the next function, at its line; and web::resource up to the next .to(), over lines, as GET: the compat
+    behaviour. Lines between an attribute and its function hold no resource."""
+    l = lines.filter("ext = 'rs'").select(F.col("path").alias("file"), "line_no", strip(F.col("line")).alias("t"))
+    t, w = F.col("t"), Window.partitionBy("file").orderBy("line_no")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    attr = t.rlike(_ACTIX)
+    is_fn = ~attr & t.rlike(_ACTIX_FN)
+    l = l.withColumn("attr", F.last(F.when(attr, F.struct("line_no", F.upper(F.regexp_extract(t, _ACTIX, 1)).alias("m"), F.regexp_extract(t, _ACTIX, 2).alias("p"))), True).over(past)).withColumn("fn_at", F.last(F.when(is_fn, F.col("line_no")), True).over(past))
+    pending = F.col("attr").isNotNull() & (F.col("fn_at").isNull() | (F.col("fn_at") < F.col("attr.line_no")))
+    of_attr = l.filter(pending & is_fn).select(F.col("attr.m").alias("method"), F.col("attr.p").alias("path"), F.regexp_extract(t, _ACTIX_FN, 1).alias("handler"), "file", "line_no")
+    to = F.regexp_extract(t, _ACTIX_TO, 1)
+    free = l.filter(~pending & ~attr).withColumn("turn", F.coalesce(F.sum((to != "").cast("int")).over(past), F.lit(0)))
+    first = F.first(_or_null(F.regexp_extract(t, _ACTIX_RESOURCE, 1)), True).over(Window.partitionBy("file", "turn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    of_resource = free.withColumn("p", first).filter((to != "") & F.col("p").isNotNull()).select(F.lit("GET").alias("method"), F.col("p").alias("path"), to.alias("handler"), "file", "line_no")
+    return of_attr.unionByName(of_resource).withColumn("auth_required", F.lit(False)).withColumn("framework", F.lit("actix"))
+
+
+#: Extensions that any route parser reads.
+ROUTE_EXTS = ("py", "js", "ts", "jsx", "tsx", "rs", "go", "rb", "java", "kt", "php")
 
 
 def endpoints(lines: DataFrame) -> DataFrame:
-    """All routes, one for each method, path, file and line."""
+    """All routes, one for each method, path, file and line. The lines that any parser reads are written once for all parsers."""
+    lines = save_table(lines.filter(F.col("ext").isin(*ROUTE_EXTS)).select("path", "ext", "line_no", "line"), "code")
     out = python_routes(lines)
     for parse in (express_routes, axum_routes, gin_routes, rails_routes, nest_routes, spring_routes, laravel_routes, actix_routes):
         out = out.unionByName(parse(lines))
     return out.dropDuplicates(["method", "path", "file", "line_no"])
 
 
+# Patterns of names of guards, and of paths at which one logs in.
+MIDDLEWARE = r"(?i)([a-z_][a-z0-9_]*(?:auth|jwt|token|session|login|guard|permission|role|protect|secure|sanctum)[a-z0-9_]*)"
+LOGIN = r"(?i)(login|signin|sign-in|sign_in|authenticate|auth|token|session)"
+
+
+def guard_names(lines: DataFrame, most: int = 12) -> DataFrame:
+    """(name): the first `most` distinct names that read like guards, by path and line."""
+    names = lines.select("path", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(MIDDLEWARE), F.lit(1))).alias("pos", "name"))
+    return names.groupBy("name").agg(F.min(F.struct("path", "line_no", "pos")).alias("at")).orderBy("at", "name").limit(most).select("name", "at")
+
+
+def login_endpoints(ends: DataFrame, most: int = 10) -> DataFrame:
+    """(endpoint): the first `most` POST routes whose path reads like a login, by file and line."""
+    hit = ends.filter((F.col("method") == "POST") & F.col("path").rlike(LOGIN))
+    return hit.orderBy("file", "line_no", "path").limit(most).select(F.concat(F.lit("POST "), "path").alias("endpoint"), F.struct("file", "line_no", "path").alias("at"))
+
+
+def _joined(df: DataFrame, column: str, name: str) -> DataFrame:
+    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column]), ",").alias(name))
+
+
+def attack_surface(lines: DataFrame) -> DataFrame:
+    """One row: number of endpoints, frameworks, marks of authentication, secrets, guards and login endpoints."""
+    ends = save_table(endpoints(lines), "endpoints")
+    sums = ends.agg(F.count("*").alias("endpoints"), F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"))
+    out = sums.crossJoin(auth_marks(lines)).crossJoin(_joined(guard_names(lines), "name", "middleware"))
+    return out.crossJoin(_joined(login_endpoints(ends), "endpoint", "login_endpoints"))  # one row each
+
+
 def auth_marks(lines: DataFrame) -> DataFrame:
     """One row: whether lines show tokens, session cookies, API keys, OAuth, and the first ten names of secrets read from the environment."""
     flags = lines.agg(*(F.coalesce(F.bool_or(F.col("line").rlike(p)), F.lit(False)).alias(k) for k, p in AUTH_MARKS))
@@ -206,19 +278,33 @@ def mission(path: Column, method: Column) -> Column:
     return cascade([*rows, (idor, s(IDOR, "idor"))], s(GENERAL, "sqli", "xss"))
 
 
+ALL_CLASSES = ("sqli", "xss", "cmdi", "ssrf", "path-traversal", "idor", "auth")
+EMPTY_SURFACE = "General web exploitation"
+
+
 def plan(ends: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows (focus, n, classes): endpoints by mission; with `most`, the largest stay and the rest is one. A handful of rows."""
-    m = ends.select(mission(F.col("path"), F.col("method")).alias("m")).groupBy("m.focus").agg(F.count("*").alias("n"), F.first("m.classes").alias("classes"))
+    """Rows (focus, n, classes, seen): endpoints by mission, `seen` its place in the order in which missions are first met; with
+    `most`, the largest stay and the rest is one. One general mission of all classes without endpoints. A handful of rows."""
+    at = F.struct("file", "line_no", "path", "method") if {"file", "line_no"} <= set(ends.columns) else F.struct("path", "method")
+    m = ends.select(mission(F.col("path"), F.col("method")).alias("m"), at.alias("at")).groupBy("m.focus").agg(F.count("*").alias("n"), F.first("m.classes").alias("classes"), F.min("at").alias("at"))
+    m = m.withColumn("seen", F.row_number().over(Window.orderBy("at"))).drop("at")
+    general = ends.sparkSession.createDataFrame([(EMPTY_SURFACE, 0, list(ALL_CLASSES), 1)], "focus string, n long, classes array<string>, seen int")
+    m = m.unionByName(general.join(m.agg(F.count("*").alias("k")), F.col("k") == 0).drop("k"))
     if most is None:
         return m
     n_all = m.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "focus"))).withColumn("k", F.count("*").over(Window.partitionBy()))
     focus = F.when((F.col("k") <= most) | (F.col("r") < most), F.col("focus")).otherwise(REST)
-    return n_all.groupBy(focus.alias("focus")).agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"))
+    return n_all.groupBy(focus.alias("focus")).agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"), F.min("seen").alias("seen"))
 
 
 def restrict(missions: DataFrame, allowed: list[str]) -> DataFrame:
-    """Missions with the allowed classes only; those left without one go."""
-    return missions.withColumn("classes", F.array_intersect("classes", F.array(*map(F.lit, allowed)))).filter(F.size("classes") > 0)
+    """Missions with the allowed classes only; those left without one go; if none is left, one general mission of the allowed
+    classes. No allowed class: no restriction."""
+    if not allowed:
+        return missions
+    m = missions.withColumn("classes", F.array_intersect("classes", F.array(*map(F.lit, allowed)))).filter(F.size("classes") > 0)
+    general = missions.sparkSession.createDataFrame([(f"{EMPTY_SURFACE} (config-restricted)", 0, list(allowed), 1)], "focus string, n long, classes array<string>, seen int")
+    return m.unionByName(general.select(*missions.columns).join(m.agg(F.count("*").alias("k")), F.col("k") == 0).drop("k"))
 
 
 def concrete_path(path: Column) -> Column:
@@ -230,29 +316,62 @@ def path_params(path: Column) -> Column:
     return F.transform(F.regexp_extract_all(path, F.lit(r"(\{[^}]+\}|:[\p{IsAlphabetic}][\p{IsAlphabetic}\p{N}_]*)"), F.lit(1)), lambda x: F.regexp_replace(x, r"[{}:]", ""))
 
 
-def sweep_targets(ends: DataFrame, base: str) -> DataFrame:
-    """Rows (method, url, params): one for each method and URL, the first by place."""
-    from findgrid.functions.web import resolve_url
-
+def sweep_targets(ends: DataFrame, base: str, focus: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Rows (method, url, params): one for each method and URL, the first by place, of the URLs that the focus rules allow."""
     t = ends.filter("path <> '/'").select("method", resolve_url(F.lit(base), concrete_path(F.col("path"))).alias("url"), F.array_join(path_params(F.col("path")), ",").alias("params"), "file", "line_no")
+    t = t.filter(allows_url(F.col("url"), focus or []))
     return t.groupBy("method", "url").agg(F.min(F.struct("file", "line_no", "params")).alias("x")).select("method", "url", "x.params")
 
 
-def scope_allows(url: Column, avoid: list[tuple[str, str]], focus: list[tuple[str, str]]) -> Column:
-    """avoid wins; with focus one of its rules must hold; URLs that aren't http(s) are allowed. Rules: (url_path, segment),
-    (domain, name)."""
-    from findgrid.functions.web import host_of
+def url_parts(url: Column) -> Column:
+    """struct(host, path, query) of an http(s) URL, else null: the host in lower case without port, the path from the first slash
+    ("/" if there is none), the query after the first question mark behind it."""
+    rest = F.regexp_replace(url, "^https?://", "")
+    tail = F.when(rest.contains("/"), F.regexp_replace(rest, "^[^/]*", "")).otherwise("/")
+    host = F.lower(F.regexp_extract(rest, "^([^/:]*)", 1))
+    return F.when(url.rlike("^https?://"), F.struct(host.alias("host"), F.regexp_extract(tail, r"(?s)^([^?]*)", 1).alias("path"), F.regexp_extract(tail, r"(?s)\?(.*)$", 1).alias("query")))
+
+
+def _rule_holds(kind: str, value: str, parts: Column, method: Column, headers: Column) -> Column:
+    if kind == "url_path":
+        v = value.strip().strip("/")
+        return F.array_contains(F.split(parts["path"], "/"), v) if v else F.lit(True)
+    if kind in ("domain", "subdomain"):
+        v = value.strip().lstrip(".")
+        return (parts["host"] == v) | parts["host"].endswith("." + v)
+    if kind == "method":
+        return F.lower(method) == value.lower()
+    if kind == "header":
+        name, colon, want = value.partition(":")
+        if not colon:
+            return F.exists(headers, lambda h: F.lower(h["name"]) == value.lower())
+        return F.exists(headers, lambda h: (F.lower(h["name"]) == name.strip().lower()) & F.contains(F.lower(h["value"]), F.lit(want.strip().lower())))
+    if kind == "parameter":
+        return F.exists(F.split(parts["query"], "&"), lambda p: F.regexp_extract(p, r"(?s)^([^=]*)", 1) == value)
+    return F.lit(False)  # code_path: of files, not of requests
+
+
+def scope_allows(url: Column, avoid: list[tuple[str, str]], focus: list[tuple[str, str]], method: Column | None = None, headers: Column | None = None) -> Column:
+    """Whether a request may be sent: avoid wins; with focus one of its rules must hold; URLs that aren't http(s) are allowed.
+    Rules are (kind, value): url_path (a whole segment), domain, subdomain, method, header ("name" or "name: part of the
+    value"), parameter, code_path. headers: array of (name, value)."""
+    method = F.lit("GET") if method is None else method
+    headers = F.array().cast("array<struct<name:string,value:string>>") if headers is None else headers
+    either = lambda rules: any_of([F.coalesce(_rule_holds(*r, url_parts(url), method, headers), F.lit(False)) for r in rules])
+    ok = ~either(avoid) & (either(focus) if focus else F.lit(True))
+    return F.when(url.rlike("^https?://"), ok).otherwise(True)
 
-    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
 
-    def holds(kind: str, value: str) -> Column:
-        if kind == "url_path":
-            return F.array_contains(F.split(path, "/"), value.strip("/"))
-        return (host_of(url) == value) | host_of(url).endswith("." + value)
+def any_of(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, cols, F.lit(False))
 
-    either = lambda rules: F.coalesce(ladder(F.lit(True), [(holds(*r), True) for r in rules], False), F.lit(False)) if rules else F.lit(False)
-    ok = ~either(avoid) & (either(focus) if focus else F.lit(True))
-    return F.when(url.rlike("^https?://"), ok).otherwise(True)
+
+def allows_url(url: Column, focus: list[tuple[str, str]]) -> Column:
+    """Whether focus rules allow a URL: no rule allows all; a rule that a URL alone can't decide holds."""
+    if not focus:
+        return F.lit(True)
+    undecided = ("method", "header", "parameter", "code_path")
+    return any_of([F.lit(True) if k in undecided else F.coalesce(_rule_holds(k, v, url_parts(url), F.lit(""), F.lit(None)), F.lit(False)) for k, v in focus])
 
 
 def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2, most: int | None = 20) -> DataFrame:

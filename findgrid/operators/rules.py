@@ -61,9 +61,6 @@ SECRET_RULES = (
     Rule("Generic Token Assignment", "High", "Medium", "A07:2021", r"""(?i)\b(?:token|secret|api_?key)\s*[=:]\s*["'][A-Za-z0-9_\-]{16,}["']""", finding_type="Secret"),
 )
 
-#: Longest line that is matched whole; Java's regular expressions may backtrack, so longer lines are not matched by default.
-LONGEST_LINE = 10_000
-
 _registered: dict[str, list[Rule]] = {}
 
 
@@ -82,8 +79,9 @@ def is_comment_line(trimmed: Column) -> Column:
     return (trimmed == "") | trimmed.rlike(r"^(//|#|/\*|\*)")
 
 
-def match_rules(lines: DataFrame, rules: tuple[Rule, ...], source: str, ext: str = "ext", longest: int = LONGEST_LINE, skip_comments: bool = True) -> DataFrame:
-    """Findings of lines (path, ext, line_no, line): one row for each line and rule whose pattern it has, in rule order."""
+def match_rules(lines: DataFrame, rules: tuple[Rule, ...], source: str, ext: str = "ext", longest: int | None = None, skip_comments: bool = True) -> DataFrame:
+    """Findings of lines (path, ext, line_no, line): one row for each line and rule whose pattern it has, in rule order. Lines are
+    matched whole, however long; longest: leave out longer ones, if the caller asks for it."""
 
     def hit(k: int, r: Rule) -> Column:
         on = F.col("line").rlike(r.pattern)
@@ -93,7 +91,7 @@ def match_rules(lines: DataFrame, rules: tuple[Rule, ...], source: str, ext: str
             on &= ~F.col("line").rlike(r.unless)
         return F.when(on, F.struct(F.lit(k).alias("rule"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.owasp).alias("owasp_category"), F.lit(r.finding_type).alias("finding_type"), F.lit(r.remediation).alias("remediation")))
 
-    todo = lines.filter(F.length("line") <= longest)
+    todo = lines.filter(F.length("line") <= longest) if longest else lines
     if skip_comments:
         todo = todo.filter(~is_comment_line(scores.strip(F.col("line"))))
     hits = todo.select(F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), scores.strip(F.col("line")).alias("code_snippet"), F.explode(F.filter(F.array(*(hit(k, r) for k, r in enumerate(rules))), lambda x: x.isNotNull())).alias("r"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findgrid.sources.files import extension, language
+
 # Words that are not indexed.
 STOP_WORDS = tuple(
     """the is at which on a an and or but in with to for of by from as are was were been be has have had do does did will would could should may might can
@@ -114,3 +116,22 @@ def index_status(index: dict[str, DataFrame]) -> DataFrame:
 
 def token_estimate(text: Column) -> Column:
     return F.floor(F.octet_length(text) / 4) + 1
+
+
+def files_in_order(ranked: DataFrame, path: str = "path", rank: str = "rank") -> DataFrame:
+    """Rows (path, rank): distinct files of ranked chunks, each at its first place."""
+    return ranked.groupBy(path).agg(F.min(rank).alias(rank))
+
+
+def language_histogram(files: DataFrame) -> DataFrame:
+    """Rows (language, files) of all files that have one, before any is left out for its size."""
+    return files.select(language(F.col("path")).alias("language")).filter("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files"))
+
+
+def project_map(files: DataFrame, indexed: bool = True, most: int = 8) -> DataFrame:
+    """Rows (kind, name, files): the `most` frequent languages, or extensions of a project without an index."""
+    if indexed:
+        t = language_histogram(files).select(F.lit("language").alias("kind"), F.col("language").alias("name"), "files")
+    else:
+        t = files.select(extension(F.col("path")).alias("name")).filter("name <> ''").groupBy("name").agg(F.count("*").alias("files")).select(F.lit("extension").alias("kind"), "name", "files")
+    return t.orderBy(F.desc("files"), "name").limit(most)

@@ -62,10 +62,19 @@ def code_search(spark, sf_dir):
     return src.search_lines(code_lines(spark, sf_dir), "password|secret", True, "auth", 200).select("hit")
 
 
-@query(f"""{CODE_SQL} SELECT language, count(DISTINCT path)::BIGINT AS files, count(*)::BIGINT AS lines FROM (SELECT *, {_LANG} AS language FROM code) WHERE language IS NOT NULL GROUP BY language ORDER BY files DESC, language LIMIT 8""")
+@query(f"""{CODE_SQL} SELECT 'language' AS kind, language AS name, count(DISTINCT path)::BIGINT AS files FROM (SELECT *, {_LANG} AS language FROM code) WHERE language IS NOT NULL GROUP BY language ORDER BY files DESC, name LIMIT 8""")
 def project_map(spark, sf_dir):
-    l = code_lines(spark, sf_dir).select("path", src.language(F.col("path")).alias("language")).filter("language IS NOT NULL")
-    return l.groupBy("path", "language").agg(F.count("*").alias("k")).groupBy("language").agg(F.count("*").alias("files"), F.sum("k").alias("lines")).orderBy(F.desc("files"), "language").limit(8)
+    return search.project_map(code_lines(spark, sf_dir).select("path").distinct())
+
+
+@query(f"""{CODE_SQL} SELECT 'extension' AS kind, ext AS name, count(DISTINCT path)::BIGINT AS files FROM code GROUP BY ext ORDER BY files DESC, name LIMIT 8""")
+def project_extensions(spark, sf_dir):
+    return search.project_map(code_lines(spark, sf_dir).select("path").distinct(), indexed=False)
+
+
+@query(f"""{CODE_SQL} SELECT language, count(DISTINCT path)::BIGINT AS files FROM (SELECT path, {_LANG} AS language FROM code) WHERE language IS NOT NULL GROUP BY language""")
+def language_histogram(spark, sf_dir):
+    return search.language_histogram(code_lines(spark, sf_dir).select("path").distinct())
 
 
 _TOK = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda t: strlen(t) > 1)"

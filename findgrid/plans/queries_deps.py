@@ -99,7 +99,7 @@ tok AS (SELECT DISTINCT path, unnest(list_concat(quoted, list_transform(names, l
 
 @query(f"{CODE_SQL}, {_IMPORTS} SELECT token, count(*)::BIGINT AS n_files, min(path) AS first_file FROM tok GROUP BY token")
 def usage_index(spark, sf_dir):
-    return dep.usage_map(code_lines(spark, sf_dir)).select("token", F.size("files").cast("long").alias("n_files"), F.col("files")[0].alias("first_file"))
+    return dep.usage_counts(code_lines(spark, sf_dir)).select("token", "n_files", F.col("files")[0].alias("first_file"))
 
 
 @query(f"""{CODE_SQL}, {_IMPORTS}, p(name, exploitability) AS (VALUES ('lodash', 0.6::DOUBLE), ('requests', 0.8), ('serde', 0.9), ('golang.org/x/net', 0.4), ('Flask', 0.1)),

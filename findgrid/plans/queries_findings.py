@@ -150,10 +150,54 @@ def dedup_plain(spark, sf_dir):
     return fs.dedup(f.filter(~scores.is_credential_like(F.col("title")))).select("file_path", "line_number", "title", r6("risk").alias("risk"))
 
 
-@query()
+_SAME = "coalesce(list_position(list_transform(a, lambda e: e.t = x[1].t OR e.source <> x[1].source), true), 0)"
+_ORDERED = f"""{FOUND_SQL}, k AS (SELECT *, lower(title) AS t, {_any("lower(title)", scores.CREDENTIAL_WORDS)} AS cred, CASE source WHEN 'security-review' THEN 0 ELSE 1 END AS scan FROM found)"""
+_DEDUP = f"""{_ORDERED}, folded AS (SELECT file_path, line_number, list_reduce(list_transform(list({{'t': t, 'title': title, 'source': source, 'risk': risk, 'severity': severity, 'cwe_id': cwe_id}} ORDER BY scan, id), lambda x: [x]),
+    lambda a, x: CASE WHEN {_SAME} = 0 THEN list_concat(a, x) ELSE list_transform(a, lambda e, i: CASE WHEN i = {_SAME} AND x[1].risk > e.risk THEN x[1] ELSE e END) END) AS l FROM k WHERE cred GROUP BY ALL),
+dedup AS (SELECT file_path, line_number, title, source, risk, severity, cwe_id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line_number, t ORDER BY k.risk DESC, scan, id) AS rn FROM k WHERE NOT cred) WHERE rn = 1
+    UNION ALL SELECT file_path, line_number, x.title, x.source, x.risk, x.severity, x.cwe_id FROM (SELECT file_path, line_number, unnest(l) AS x FROM folded))"""
+
+
+def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """found with seq: scanner, then place."""
+    scan = F.when(F.col("source") == "security-review", 0).otherwise(1)
+    return found(spark, sf_dir).withColumn("seq", F.struct(scan.alias("scan"), "id"))
+
+
+@query(f"{_DEDUP} SELECT file_path, line_number, title, source, round(risk, 6) AS risk FROM dedup")
 def dedup_findings(spark, sf_dir):
-    f = found(spark, sf_dir).withColumn("seq", F.when(F.col("source") == "security-review", 0).otherwise(1).cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
-    return fs.dedup(f).select("file_path", "line_number", "title", "source", r6("risk").alias("risk"))
+    return fs.dedup(arrived(spark, sf_dir)).select("file_path", "line_number", "title", "source", r6("risk").alias("risk"))
+
+
+@query(f"{_DEDUP} SELECT count(*)::BIGINT AS n, round(sum(risk), 3) AS risk, count(DISTINCT file_path)::BIGINT AS files FROM dedup")
+def merged_scanners(spark, sf_dir):
+    """Findings of both scanners as merge_scanners() numbers them, deduplicated and ranked."""
+    both = [fs.with_risk(x).withColumn("id", F.concat_ws("|", "source", "title", "file_path", "line_number")) for x in (review_findings(spark, sf_dir), secret_findings(spark, sf_dir))]
+    return fs.merge_and_rank(fs.merge_scanners(*both)).agg(F.count("*").alias("n"), F.round(F.sum("risk"), 3).alias("risk"), F.count_distinct("file_path").alias("files"))
+
+
+@query(f"""{_ORDERED}, o AS (SELECT *, first(source) OVER (PARTITION BY file_path, line_number, CASE WHEN cred THEN '' ELSE t END ORDER BY k.risk DESC, scan, id) AS s1,
+row_number() OVER (PARTITION BY file_path, line_number, t, source ORDER BY k.risk DESC, scan, id) AS rs, row_number() OVER (PARTITION BY file_path, line_number, t ORDER BY k.risk DESC, scan, id) AS rn, cred AS c FROM k)
+SELECT id FROM o WHERE CASE WHEN c THEN source = s1 AND rs = 1 ELSE rn = 1 END""")
+def deduped_all(spark, sf_dir):
+    return fs.deduped_all(arrived(spark, sf_dir)).select("id")
+
+
+@query(f"""{_DEDUP} SELECT '[' || severity || '] ' || title || ' — ' || file_path || ':' || line_number || ' (CWE ' || coalesce(cwe_id, '-') || ')' AS line FROM dedup WHERE {SEV.format("severity")} >= 4""")
+def scanner_feed(spark, sf_dir):
+    return fs.feed_lines(fs.dedup(arrived(spark, sf_dir)), "high").select("line")
+
+
+@query(f"{FOUND_SQL} SELECT source AS layer, id, row_number() OVER (PARTITION BY source ORDER BY found.risk DESC, id)::BIGINT AS place, count(*) OVER (PARTITION BY source)::BIGINT AS total FROM found")
+def layer_order(spark, sf_dir):
+    f = found(spark, sf_dir).withColumn("layer", F.col("source")).withColumn("seq", F.col("id"))
+    return fs.by_layer(f).select("layer", "id", F.col("place").cast("long").alias("place"), "total")
+
+
+@query(f"""{_DEDUP}, s AS (SELECT source, severity FROM found UNION ALL SELECT 'total', severity FROM dedup) SELECT source, count(*)::BIGINT AS total, count(*) FILTER (severity = 'Critical')::BIGINT AS critical, count(*) FILTER (severity = 'High')::BIGINT AS high,
+CASE WHEN count(*) FILTER (severity IN ('Critical', 'High')) > 0 THEN 'fail' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status FROM s GROUP BY source""")
+def ci_totals(spark, sf_dir):
+    return fs.ci_totals(arrived(spark, sf_dir)).select("source", "total", "critical", "high", "status")
 
 
 @query(f"""{FOUND_SQL} SELECT source, count(*)::BIGINT AS total, count(*) FILTER (severity = 'Critical')::BIGINT AS critical, count(*) FILTER (severity = 'High')::BIGINT AS high,
@@ -194,7 +238,7 @@ def attack_chains(spark, sf_dir):
 
 
 @query(f"""{FOUND_SQL}, ends AS (SELECT file_path AS chain_id, file_path, min(line_number) AS lo, max(line_number) AS hi FROM found GROUP BY file_path HAVING count(*) > 2)
-SELECT chain_id, line, between_title, step::BIGINT AS step FROM (SELECT chain_id, f.line_number AS line, f.title AS between_title, row_number() OVER (PARTITION BY chain_id ORDER BY f.line_number, f.title) AS step
+SELECT chain_id, line, between_title, step::BIGINT AS step FROM (SELECT chain_id, f.line_number AS line, f.title AS between_title, row_number() OVER (PARTITION BY chain_id ORDER BY {_any('lower(f.title)', fs.THEME)} DESC, f.line_number, f.title) AS step
 FROM ends JOIN found f ON f.file_path = ends.file_path AND f.line_number > lo AND f.line_number < hi) WHERE step <= 3""")
 def chain_intermediates(spark, sf_dir):
     f = found(spark, sf_dir)

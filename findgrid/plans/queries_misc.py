@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from findgrid.functions import codes, web
@@ -13,7 +12,7 @@ from findgrid.operators import diffs, flow, search
 from findgrid.operators import exchange as ex
 from findgrid.operators import findings as fs
 from findgrid.plans.fixtures import CODE_SQL, code_lines, files
-from findgrid.plans.queries_findings import FOUND_SQL, SEV, found
+from findgrid.plans.queries_findings import FOUND_SQL, SEV, _chain_tags, found
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,15 +41,24 @@ def session_findings(spark, sf_dir):
     root = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
     f = found(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("line_number") % 3).cast("string")).alias("session"), "file_path", F.struct("title", "severity").alias("f"))
     f.groupBy("session", "file_path").agg(F.collect_list("f").alias("findings")).write.json(root)
-    s = spark.read.schema("session string, findings array<struct<title: string, severity: string>>").json(root)
-    return s.filter("session <> 's2'").select("session", F.explode("findings").alias("f")).groupBy("session").agg(F.count("*").alias("n"), F.count_distinct("f.title").alias("titles"))
+    s = fs.session_merge(spark.read.schema("session string, findings array<struct<title: string, severity: string>>").json(root))
+    return s.filter("session <> 's2'").groupBy("session").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"))
 
 
-@query()
+_CHAINS = f"""{FOUND_SQL}, e AS ({_chain_tags("entry")}), t AS ({_chain_tags("target")}),
+chains AS (SELECT e.chain, e.title AS entry_title, t.title AS target_title, max(least(10, (e.risk + t.risk) / 2 * e.factor * CASE WHEN e.file_path = t.file_path THEN 1.5::DOUBLE ELSE 1::DOUBLE END)) AS risk FROM e JOIN t ON e.chain = t.chain AND e.id <> t.id GROUP BY ALL)"""
+
+
+@query(f"{_CHAINS} SELECT chain, entry_title, target_title FROM chains WHERE contains(lower(chain), 'dataex') OR contains(replace(lower(chain), ' ', ''), 'dataex')")
 def chain_filter(spark, sf_dir):
-    c = fs.chains(found(spark, sf_dir))
-    want = "auth"
-    return c.filter(F.lower("chain").contains(want) | F.lower(F.replace("chain", F.lit(" "), F.lit(""))).contains(want)).select("chain", "entry_title", "target_title")
+    return fs.filter_chains(fs.chains(found(spark, sf_dir)), "DataEx").select("chain", "entry_title", "target_title")
+
+
+@query(f"""{_CHAINS}, m AS (SELECT DISTINCT c.chain, c.entry_title, c.target_title, f.id FROM chains c JOIN found f ON f.title = c.entry_title OR f.title = c.target_title)
+SELECT chain, entry_title, target_title, count(*)::BIGINT AS steps FROM m GROUP BY ALL""")
+def chain_members(spark, sf_dir):
+    f = found(spark, sf_dir)
+    return fs.chain_members(f, fs.chains(f)).groupBy("chain", "entry_title", "target_title").agg(F.count("*").alias("steps"))
 
 
 @query(r"""WITH u AS (SELECT o_orderkey AS k, ['GET https://api.Ok.test/a', 'post http://ok.test/b', 'https://bad.test/c', '  DELETE   /d  '][o_orderkey % 4 + 1] AS s FROM orders),
@@ -77,8 +85,7 @@ def inline_comments(spark, sf_dir):
     """The ten riskiest severe findings in changed files that have a patch."""
     f = found(spark, sf_dir)
     changed = f.select(F.col("file_path").alias("path")).distinct().filter(F.col("path").contains("lib/")).withColumn("patch", F.lit(_PATCH))
-    severe = fs.at_least(f, "High").filter("line_number IS NOT NULL").join(changed.filter("patch IS NOT NULL").select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    return severe.orderBy(F.desc("risk"), "id").limit(10).select("id")
+    return diffs.inline_candidates(f, changed).select("id")
 
 
 @query(f"""{CODE_SQL}, l AS (SELECT path, list(line ORDER BY line_no) AS l FROM code GROUP BY path) SELECT path, array_to_string(l[2:4], chr(10)) AS snippet, list_contains(string_split_regex(lower(l[1]), '[^\\p{{L}}\\p{{N}}_]+'), 'password') AS uses FROM l""")
@@ -92,12 +99,7 @@ def snippets(spark, sf_dir):
 def chain_flow(spark, sf_dir):
     """All chains; the risk of those whose files a taint path connects is raised by 1.5, 10 at most."""
     f = found(spark, sf_dir)
-    c = fs.chains(f)
-    paths = flow.trace(files(spark, sf_dir)).select("source_path", "sink_path").distinct()
-    at = f.select("title", "file_path").distinct()
-    hit = paths.join(at.select(F.col("title").alias("entry_title"), F.col("file_path").alias("source_path")), "source_path").join(at.select(F.col("title").alias("target_title"), F.col("file_path").alias("sink_path")), "sink_path")
-    hit = hit.groupBy("entry_title", "target_title").agg(F.count("*").alias("paths"))
-    return c.join(hit, ["entry_title", "target_title"], "left").select("chain", "entry_title", "target_title", F.when(F.col("paths") > 0, F.least(F.col("risk") + 1.5, F.lit(10.0))).otherwise(F.col("risk")).alias("risk"), F.coalesce("paths", F.lit(0)).alias("paths"))
+    return fs.with_flow(fs.chains(f), f, flow.trace(files(spark, sf_dir))).select("chain", "entry_title", "target_title", "risk", "paths")
 
 
 @query()
@@ -106,11 +108,11 @@ def line_differences(spark, sf_dir):
     return d.select("doc_id", "pos", "d.op").groupBy("doc_id", "op").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'assistant' AND contains(lower(left(text, 200)), 'the')) WHERE rn = 1")
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'assistant' AND contains(lower(text), 'thing')) WHERE rn = 1")
 def latest_messages(spark, sf_dir):
-    """The newest message of each thread from a sender whose head has a word."""
-    m = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'").filter(F.lower(F.left("text", F.lit(200))).contains("the"))
-    return m.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("rn = 1").select("conv_id", "turn")
+    """The newest message of each thread from a sender, whose text, as all there is of a subject here, has a word."""
+    m = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("subject"))
+    return ex.newest_message(m, "conv_id", "turn", subject="thing", sender="assistant").select("conv_id", "turn")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Secret' WHEN 1 THEN 'BusinessLogic' WHEN 2 THEN 'Injection' ELSE 'Vulnerability' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'y' WHEN 2 THEN 'plain' ELSE '' END AS code FROM part")
@@ -122,6 +124,5 @@ def reply_cleaning(spark, sf_dir):
 @query(f"""{FOUND_SQL} SELECT id, count(*)::BIGINT AS n FROM found JOIN (SELECT DISTINCT regexp_extract(path, '([^/]*)$', 1) AS base FROM code) ON regexp_extract(file_path, '([^/]*)$', 1) = base GROUP BY id""")
 def resolved_paths(spark, sf_dir):
     """Findings whose path ends in a known file name, by equality on every suffix of the path."""
-    base = code_lines(spark, sf_dir).select(F.regexp_extract("path", "([^/]*)$", 1).alias("suffix")).distinct()
-    keyed = found(spark, sf_dir).select("id", F.explode(diffs._suffixes(F.col("file_path"))).alias("suffix"))
-    return keyed.join(base.select(F.lower("suffix").alias("suffix")), "suffix").groupBy("id").agg(F.count("*").alias("n"))
+    base = code_lines(spark, sf_dir).select(F.regexp_extract("path", "([^/]*)$", 1).alias("path")).distinct()
+    return diffs.resolve_paths(found(spark, sf_dir), base).groupBy("id").agg(F.count("*").alias("n"))

@@ -78,12 +78,26 @@ def capped_plan(spark, sf_dir):
     return recon.plan(synthetic_endpoints(spark, sf_dir), 3).select("focus", "n")
 
 
-@query()
+_ALLOWED = ("auth", "xss", "idor")
+_CLASSES = "CASE focus " + " ".join(f"WHEN {_q(f)} THEN [{_q(c)}]" for f, c, _ in recon.MISSIONS) + f" WHEN {_q(recon.IDOR)} THEN ['idor'] ELSE ['sqli', 'xss'] END"
+
+
+@query(f"""{_SYN_SQL}, m AS (SELECT {_mission()} AS focus, count(*)::BIGINT AS n FROM e GROUP BY focus) SELECT focus, n, classes FROM (SELECT focus, n, array_to_string(list_filter({_CLASSES}, lambda c: list_contains([{', '.join(map(_q, _ALLOWED))}], c)), ',') AS classes FROM m) WHERE classes <> ''""")
 def restricted_plan(spark, sf_dir):
-    p = recon.restrict(recon.plan(synthetic_endpoints(spark, sf_dir)), ["auth", "xss", "idor"])
+    p = recon.restrict(recon.plan(synthetic_endpoints(spark, sf_dir)), list(_ALLOWED))
     return p.select("focus", "n", F.array_join("classes", ",").alias("classes"))
 
 
+@query(f"""{_SYN_SQL}, m AS (SELECT {_mission()} AS focus, min(row('f', line_no, path, method)) AS place FROM e GROUP BY 1) SELECT focus, row_number() OVER (ORDER BY place)::BIGINT AS seen FROM m
+UNION ALL SELECT 'empty: {recon.EMPTY_SURFACE}', 7 UNION ALL SELECT 'restricted: {recon.EMPTY_SURFACE} (config-restricted)', 1""")
+def missions_in_order(spark, sf_dir):
+    """Missions in the order in which they are first met, and the general ones that stand for none."""
+    e = synthetic_endpoints(spark, sf_dir)
+    empty = recon.plan(e.limit(0)).select(F.concat(F.lit("empty: "), "focus").alias("focus"), F.size("classes").cast("long").alias("seen"))
+    none = recon.restrict(recon.plan(e), ["no-such"]).select(F.concat(F.lit("restricted: "), "focus").alias("focus"), F.size("classes").cast("long").alias("seen"))
+    return recon.plan(e).select("focus", F.col("seen").cast("long").alias("seen")).unionByName(empty).unionByName(none)
+
+
 _CONC = r"regexp_replace(regexp_replace(path, '\{[^}]+\}', '1', 'g'), ':[\p{L}][\p{L}\p{N}_]*', '1', 'g')"
 
 
@@ -106,14 +120,15 @@ def auth_surface(spark, sf_dir):
     return recon.auth_marks(code_lines(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey * 7) % 200 AS dst FROM orders WHERE o_orderkey % 40 = 0),
-b(url, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT l.dst, b.depth + 1 FROM b JOIN l ON l.src = b.url WHERE b.depth < 2)
+@query("""WITH RECURSIVE n AS (SELECT max(c_custkey) AS n FROM customer), l AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % n + 1 AS dst FROM orders, n),
+b(url, depth) AS (SELECT min(o_custkey), 0 FROM orders UNION SELECT l.dst, b.depth + 1 FROM b JOIN l ON l.src = b.url JOIN customer ON c_custkey = l.dst WHERE b.depth < 2)
 SELECT url, min(depth)::BIGINT AS depth FROM b GROUP BY url""")
 def offline_crawl(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    links = o.filter("o_orderkey % 40 = 0").select((F.col("o_custkey") % 200).alias("src"), (F.col("o_orderkey") * 7 % 200).alias("dst")).distinct()
-    pages = spark.range(200).withColumnRenamed("id", "url")
-    return recon.crawl(pages, links, pages.filter("url = 3"), 2, None).select("url", F.col("depth").cast("long").alias("depth"))
+    """All customers are pages and all orders links between them."""
+    pages = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("url"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("k"))
+    links = o.crossJoin(F.broadcast(pages.agg(F.max("url").alias("n")))).select("src", (F.col("k") * 7 % F.col("n") + 1).alias("dst")).distinct()  # one row
+    return recon.crawl(pages, links, o.agg(F.min("src").alias("url")), 2, None).select("url", F.col("depth").cast("long").alias("depth"))
 
 
 @query()
@@ -143,7 +158,7 @@ def taint_trace(spark, sf_dir):
 
 @query()
 def sarif_document(spark, sf_dir):
-    return reports.sarif(found(spark, sf_dir))
+    return reports.sarif(found(spark, sf_dir)).select("part", "line")
 
 
 @query("""WITH d AS (SELECT event_type || ':' || (user_id % 400) AS fingerprint, day(ts) % 3 AS b FROM events)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from findgrid.operators import exchange as ex
 from findgrid.functions import web
 from findgrid.plans.queries_findings import _any, _q
 
@@ -96,11 +97,11 @@ _CODES = ", ".join(f"nullif(regexp_extract(text, '(?:^|[^0-9])([0-9]{{{n}}})(?:[
 
 
 @query(rf"""SELECT doc_id, coalesce({_CODES}) AS code, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 80) || '… (' || (length(text) - 80) || ' more chars)' END AS excerpt,
-regexp_replace(regexp_replace(translate(left(text, 60), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", web.extract_code(t).alias("code"), web.excerpt(t, 80).alias("excerpt"), web.slugify(F.left(t, F.lit(60))).alias("slug"), web.html_escape(F.left(t, F.lit(60))).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", web.extract_code(t).alias("code"), web.excerpt(t, 80).alias("excerpt"), web.slugify(t).alias("slug"), web.html_escape(t).alias("escaped"))
 
 
 _HEAD = ("Set-Cookie", "Authorization", "Accept", "X-Api-Key")
@@ -121,11 +122,9 @@ def json_extraction(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(web.json_object(note), "$.k").cast("long").alias("k"), web.json_object(note).alias("object"))
 
 
-@query("""SELECT conv_id, string_agg(role || ': ' || left(text, 40), chr(10) ORDER BY turn) AS history, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id""")
 def conversation_history(spark, sf_dir):
-    line = F.struct("turn", F.concat("role", F.lit(": "), F.left("text", F.lit(40))).alias("l"))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("x"), F.count("*").alias("turns"))
-    return g.select("conv_id", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("history"), "turns")
+    return ex.history(table(spark, sf_dir, "conversations"))
 
 
 @query()

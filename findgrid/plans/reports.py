@@ -1,8 +1,9 @@
-"""Documents for people and tools, from bounded rows: SARIF, Markdown, JSON. Large results stay DataFrames."""
+"""Documents for people and tools: SARIF as rows, Markdown, HTML and JSON from counts and the riskiest rows."""
 
 from __future__ import annotations
 
 import json
+from html import escape as html_text
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +11,26 @@ from pyspark.sql import functions as F
 from findgrid.functions import scores
 from findgrid.operators import findings as fs
 
-#: Rows that a rendered report holds at most; the counts in it are of all rows.
-MOST_ROWS = 10_000
-
-
 def sarif(f: DataFrame, tool: str = "findgrid") -> DataFrame:
-    """One row with a SARIF 2.1.0 document of the riskiest MOST_ROWS findings."""
-    top = fs.top(f.withColumn("seq", F.col("id")), MOST_ROWS)
+    """Rows (part, id, line) of a SARIF 2.1.0 document with a result for every finding: written as text in the order of part and id
+    (`.orderBy("part", "id").select("line").write.text`) they are the document."""
     loc = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.coalesce("cwe_id", "title").alias("ruleId"), scores.sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(loc).alias("locations"))
-    r = top.select("id", result.alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "r"))), lambda x: x["r"]).alias("results"))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"), F.col("results"))
-    return r.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    first = f.agg(F.min("id").alias("first"))  # one row; a comma comes before every other result
+    results = f.select("id", F.to_json(result).alias("r")).crossJoin(F.broadcast(first))
+    results = results.select(F.lit(1).alias("part"), "id", F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), "r").alias("line"))
+    head = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool}}, "results": []}]})
+    ends = f.sparkSession.createDataFrame([(0, "", head[:-4]), (2, "", head[-4:])], "part int, id string, line string")
+    return ends.unionByName(results)
+
+
+def sarif_with_rules(f: DataFrame, tool: str = "findgrid") -> DataFrame:
+    """The other shape: rule ids by weakness class, with a help anchor, the risk category and the confidence as properties."""
+    rule = scores.report_class(F.col("cwe_id"), F.col("finding_type"))
+    slug = F.regexp_replace(F.lower(rule), r"[^a-z0-9]+", "-")
+    properties = F.struct(F.col("owasp_category").alias("owasp"), F.lower("confidence").alias("confidence"), F.array(F.concat(F.lit("external/owasp/"), F.lower("owasp_category"))).alias("tags"))
+    out = F.struct(rule.alias("ruleId"), scores.sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.concat(F.lit("#"), slug).alias("helpUri"), properties.alias("properties"))
+    return f.select("id", F.to_json(out).alias("line"))
 
 
 def grade(score: float) -> str:
@@ -43,3 +52,42 @@ def ci_json(f: DataFrame, fail_on: str | None = None) -> str:
     """Counts by scanner, totals and the gate's verdict."""
     g = fs.gate(f, fail_on).first()
     return json.dumps({"steps": [r.asDict() for r in fs.step_table(f).orderBy("source").collect()], "failing": g["n"], "failed": g["fails"]}, sort_keys=True)
+
+
+def executive(f: DataFrame, title: str = "Summary") -> str:
+    """Score, counts by severity and type, and the three riskiest issues, without places."""
+    score = f.agg(scores.security_score(F.col("severity"), F.col("exploitability"), F.col("business_impact")).alias("s")).first()["s"]
+    counts = {r["severity"]: r["n"] for r in fs.summary(f, "severity").collect()}
+    kinds = fs.summary(f, "finding_type").orderBy(F.desc("n"), "finding_type").limit(5).collect()
+    out = [f"# {title}", "", f"Security score: {score:.0f} of 100 ({grade(score)})", ""]
+    out += [f"* {s}: {counts.get(s, 0)}" for s in ("Critical", "High", "Medium", "Low", "Info")]
+    out += ["", "Most frequent kinds: " + ", ".join(f"{r['finding_type']} ({r['n']})" for r in kinds), "", "Riskiest:"]
+    best = f.groupBy("title").agg(F.max("risk").alias("risk"), F.count("*").alias("n")).orderBy(F.desc("risk"), "title").limit(3)
+    out += [f"1. {r['title']} ({r['n']} places, risk {r['risk']:.1f})" for r in best.collect()]
+    return "\n".join(out)
+
+
+def html(f: DataFrame, title: str = "Findings", rows: int = 100) -> str:
+    """A page with the counts and a table of the riskiest rows; all text is escaped."""
+    cell = lambda x: html_text(str(x if x is not None else ""))
+    counts = {r["severity"]: r["n"] for r in fs.summary(f, "severity").collect()}
+    score = f.agg(scores.security_score(F.col("severity"), F.col("exploitability"), F.col("business_impact")).alias("s")).first()["s"]
+    body = "".join(f"<tr class=\"{cell(r['severity']).lower()}\"><td>{cell(r['severity'])}</td><td>{cell(r['title'])}</td><td>{cell(r['file_path'])}:{cell(r['line_number'])}</td><td>{r['risk']:.1f}</td></tr>" for r in fs.top(f.withColumn("seq", F.col("id")), rows).collect())
+    sums = "".join(f"<li>{s}: {counts.get(s, 0)}</li>" for s in ("Critical", "High", "Medium", "Low", "Info"))
+    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{cell(title)}</title></head><body><h1>{cell(title)}</h1><p>Security score: {score:.0f} ({grade(score)})</p><ul>{sums}</ul><table><tr><th>Severity</th><th>Title</th><th>Place</th><th>Risk</th></tr>{body}</table></body></html>"
+
+
+def pull_request(f: DataFrame, new: DataFrame, rows: int = 15) -> str:
+    """Counts of new and earlier findings, the riskiest new ones, and what to do about the first five."""
+    n, total = new.count(), f.count()
+    cell = lambda x: str(x if x is not None else "").replace("|", "\\|").replace("\n", " ")
+    top = fs.top(new.withColumn("seq", F.col("id")), rows).collect()
+    out = [f"## {n} new findings, {total - n} from before", "", "| Severity | Title | Place |", "|-|-|-|"]
+    out += [f"| {r['severity']} | {cell(r['title'])} | {cell(r['file_path'])}:{cell(r['line_number'])} |" for r in top]
+    fixes = [(r["title"], r.asDict().get("remediation")) for r in top if r.asDict().get("remediation")][:5]
+    return "\n".join([*out, *(["", "### Fixes", *(f"* {cell(t)}: {cell(x)}" for t, x in fixes)] if fixes else [])])
+
+
+def save_text(spark, text: str, path: str) -> None:
+    """A rendered report as one text file in a folder that Spark reaches."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
