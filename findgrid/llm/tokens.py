@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 DEFAULT = "word_bpe_49k.json"
 #: Words a cache holds before it starts anew.
-MOST = 1_000_000
+MOST = 250_000
 _BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are split at once, and from which on a single text is cut at blanks.
 AT_ONCE = 4 << 20
