@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command in ("review", "secrets"):
         mine = found.filter(F.col("source") == ("security-review" if a.command == "review" else "secret-scanner"))
         if a.format == "sarif":
-            for r in reports.sarif(mine).orderBy("part", "id").select("line").toLocalIterator():
+            for r in reports.sarif(mine).orderBy("part", "ord").select("line").toLocalIterator():
                 print(r["line"])
         else:
             show(fs.top(mine.withColumn("seq", F.col("id")), a.max_findings, a.min_severity, a.min_confidence).select("severity", "title", "file_path", "line_number", "risk"), a.max_findings or 10_000)

@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores
+from findgrid.functions.shared import in_order
 from findgrid.operators import findings as fs
 
 def sarif(f: DataFrame, tool: str = "findgrid") -> DataFrame:
-    """Rows (part, id, line) of a SARIF 2.1.0 document with a result for every finding: written as text in the order of part and id
-    (`.orderBy("part", "id").select("line").write.text`) they are the document."""
+    """Rows (part, ord, line) of a SARIF 2.1.0 document with a result for every finding: written as text in the order of part and ord
+    (`.orderBy("part", "ord").select("line").write.text`) they are the document."""
     loc = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.coalesce("cwe_id", "title").alias("ruleId"), scores.sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(loc).alias("locations"))
-    first = f.agg(F.min("id").alias("first"))  # one row; a comma comes before every other result
-    results = f.select("id", F.to_json(result).alias("r")).crossJoin(F.broadcast(first))
-    results = results.select(F.lit(1).alias("part"), "id", F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), "r").alias("line"))
+    results = in_order(f.select("id", F.to_json(result).alias("r")), "id", "r", number="ord")
+    results = results.select(F.lit(1).alias("part"), "ord", F.concat(F.when(F.col("ord") == 1, "").otherwise(","), "r").alias("line"))
     head = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool}}, "results": []}]})
-    ends = f.sparkSession.createDataFrame([(0, "", head[:-4]), (2, "", head[-4:])], "part int, id string, line string")
+    ends = f.sparkSession.createDataFrame([(0, 0, head[:-4]), (2, 0, head[-4:])], "part int, ord long, line string")
     return ends.unionByName(results)
 
 

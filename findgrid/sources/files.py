@@ -30,6 +30,8 @@ LANGUAGES = (
 )
 BINARY_OVER, SNIFF = 10 * 1024 * 1024, 512
 MAX_DEPTH = 30
+#: Folders that hold no sources: the history, and the index that this library writes.
+OWN_FOLDERS = (".git", ".findgrid")
 
 
 def file_name(path: Column) -> Column:
@@ -109,22 +111,22 @@ def _is_ignored(rel: str, folder: bool, rules: list) -> bool:
     return False
 
 
-def _listing(fs, base: str, rel: str, rules: list, depth: int):
-    """Files (path, rel_path, size) and folders (rel_path, rules) right below a folder, ignored ones left out."""
+def _listing(fs, base: str, rel: str, rules: list | None, depth: int):
+    """Files (path, rel_path, size) and folders (rel_path, rules) right below a folder, ignored ones left out (rules None: none)."""
     from pyarrow import fs as pafs
 
     found = fs.get_file_info(pafs.FileSelector(f"{base}/{rel}".rstrip("/")))
     for f in found:
-        if f.base_name == ".gitignore" and f.type == pafs.FileType.File:
+        if rules is not None and f.base_name == ".gitignore" and f.type == pafs.FileType.File:
             with fs.open_input_stream(f.path) as r:
                 rules = [*rules, *_ignore_rules(r.read().decode("utf-8", "replace"), rel)]
     files, folders = [], []
     for f in sorted(found, key=lambda f: f.base_name):
         at, folder = rel + f.base_name, f.type == pafs.FileType.Directory
-        if at.count("/") + 1 <= depth and not _is_ignored(at, folder, rules):
-            if folder:
+        if at.count("/") + 1 <= depth and not _is_ignored(at, folder, rules or []):
+            if folder and f.base_name not in OWN_FOLDERS:
                 folders.append((at + "/", rules))
-            elif f.type == pafs.FileType.File:
+            elif not folder and f.type == pafs.FileType.File:
                 files.append((f.path, at, int(f.size or 0)))
     return files, folders
 
@@ -136,24 +138,24 @@ def listing(spark: SparkSession, root: str, depth: int = MAX_DEPTH, gitignore: b
     from pyarrow import fs as pafs
 
     fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
-    files, todo = [], [("", [])]
+    files, todo = [], [("", [] if gitignore else None)]
     for _ in range(3):
         if len(todo) >= 256:
             break
-        below = [_listing(fs, base, rel, rules if gitignore else [], depth) for rel, rules in todo]
+        below = [_listing(fs, base, rel, rules, depth) for rel, rules in todo]
         files += [x for f, _ in below for x in f]
-        todo = [x for _, d in below for x in d if not x[0].endswith(".git/")]
+        todo = [x for _, d in below for x in d]
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(uri)
         for b in batches:
             for rel, rules in zip(b["rel"], b["rules"], strict=True):
-                stack = [(rel, [tuple(x) for x in json.loads(rules)])]
+                stack = [(rel, json.loads(rules))]
                 while stack:
                     rel, rules = stack.pop()
                     files, folders = _listing(fs, base, rel, rules, depth)
-                    stack += [x for x in folders if not x[0].endswith(".git/")]
+                    stack += [x for x in folders]
                     yield pd.DataFrame([(p, r, n) for p, r, n in files], columns=["path", "rel_path", "size"])
 
     out = spark.createDataFrame(files, _LISTED)

@@ -219,7 +219,7 @@ def test_annotated_routes(spark):
     e = {(r.framework, r.method, r.path, r.handler, r.auth_required) for r in recon.endpoints(spark.createDataFrame(rows, "path string, ext string, line_no long, line string")).collect()}
     assert {("nestjs", "GET", "/users/:id", "findOne", True), ("nestjs", "POST", "/users", "create", True)} <= e
     assert {("spring", "GET", "/api/x", "x", True), ("spring", "POST", "/api/", "y", False)} <= e
-    assert {("laravel", "GET", "/a", "index", False), ("laravel", "POST", "/b", "save", True)} <= e
+    assert {("laravel", "GET", "/a", "C@index", False), ("laravel", "POST", "/b", "C@save", True)} <= e
     assert {("actix", "GET", "/h", "h", False), ("actix", "GET", "/r", "r", False)} <= e
 
 
@@ -232,3 +232,104 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["review", str(tmp_path)]) == 0
     assert "Hardcoded Credentials" in capsys.readouterr().out
     assert cli.main(["deps", str(tmp_path)]) == 0 and "flask" in capsys.readouterr().out
+
+
+def test_walk_keeps_hidden_names_and_minds_ignore_files(spark, tmp_path):
+    texts = {
+        "__init__.py": "x", "_private/b.py": "x", ".hidden/c.py": "x", "a/_util.py": "x", "a/skip.log": "x", "a/keep.log": "x", "a/deep/x/gen/out.py": "x", "a/deep/gen.py": "x",
+        "logs/d.py": "x", "a/logs/e.py": "x", "only/here.txt": "x", "a/only/here.txt": "x", "empty.py": "", "node_modules/m.js": "x", "w1.tmp": "x", "w12.tmp": "x",
+        ".gitignore": "# c\n*.log\n!keep.log\n/logs/\n/only\ngen/\nw?.tmp\n", "a/.gitignore": "deep/gen.py\n",
+    }
+    for k, v in texts.items():
+        (tmp_path / k).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / k).write_text(v)
+    want = ["__init__.py", "_private/b.py", ".hidden/c.py", "a/_util.py", "a/keep.log", "a/logs/e.py", "a/only/here.txt", "w12.tmp"]
+    assert sorted(r.rel_path for r in src.walk(spark, str(tmp_path)).collect()) == sorted(want)
+    assert {"a/skip.log", "logs/d.py"} <= {r.rel_path for r in src.walk(spark, f"file://{tmp_path}", gitignore=False).collect()}
+    assert [r.rel_path for r in src.walk(spark, str(tmp_path), depth=1, glob="*.py").collect()] == ["__init__.py"]
+    assert src.listing(spark, str(tmp_path), depth=2).filter("rel_path LIKE 'a/deep/%'").count() == 0
+
+
+def test_files_of_the_walk_are_read_in_deep_folders(spark, tmp_path):
+    at = tmp_path
+    for k in range(6):
+        at = at / f"d{k}"
+        at.mkdir()
+        (at / f"f{k}.py").write_text(f"print({k})\n")
+    assert {(r.rel_path.count("/"), r.content) for r in src.walk(spark, str(tmp_path)).collect()} == {(k + 1, f"print({k})\n") for k in range(6)}
+
+
+def test_sarif_is_one_document_of_all_findings(spark):
+    import json
+
+    from findgrid.plans import reports
+
+    f = table(spark, [finding(f"T{k}", k, "r", seq=k) for k in range(40)]).withColumn("cwe_id", F.lit("CWE-1"))
+    for part in (f, f.limit(1), f.limit(0)):
+        doc = json.loads("".join(r.line for r in reports.sarif(part).orderBy("part", "ord").collect()))
+        assert len(doc["runs"][0]["results"]) == part.count() and doc["version"] == "2.1.0"
+
+
+def test_reports(spark):
+    from findgrid.plans import reports
+
+    f = table(spark, [finding("<b>|x", 1, "r"), finding("Other", 2, "r", "Low", 0.2, seq=1)]).withColumn("remediation", F.lit("do"))
+    page = reports.html(f, "A & B")
+    assert "&lt;b&gt;|x" in page and "<title>A &amp; B</title>" in page and "<li>Critical: 1</li>" in page
+    assert "Low: 1" in reports.executive(f)
+    pull = reports.pull_request(f, f.filter("severity = 'Critical'"))
+    assert "1 new findings, 1 from before" in pull and "<b>\\|x" in pull and "### Fixes" in pull
+
+
+def test_merged_scanners_are_deduplicated(spark):
+    a, b = (table(spark, [finding("Hardcoded Credentials", 5, s, e, 0.5)]).drop("seq") for s, e in (("one", "High"), ("two", "Critical")))
+    kept = fs.dedup(fs.merge_scanners(a, b)).collect()
+    assert [(r.source, r.severity) for r in kept] == [("two", "Critical")]
+    assert [r.source for r in fs.merge_and_rank(fs.merge_scanners(a, b)).collect()] == ["two"]
+
+
+def test_long_lines_are_matched(spark):
+    l = spark.createDataFrame([("a.js", "js", 1, "x" * 50_000 + " password = 'abc12345'")], "path string, ext string, line_no long, line string")
+    assert rules.match_rules(l, rules.rule_table("secrets"), "s", skip_comments=False).count() == 1
+
+
+def test_in_order_numbers_all_rows(spark):
+    from findgrid.functions.shared import before_it, in_order
+
+    d = spark.range(500).select((F.col("id") * 7919 % 500).alias("v")).repartition(7)
+    rows = before_it(in_order(d, F.desc("v")), F.col("v"), "prev").orderBy("_no").collect()
+    assert [r.v for r in rows] == list(range(499, -1, -1)) and [r.prev for r in rows] == [None, *range(499, 0, -1)]
+    assert in_order(d.limit(0), "v").count() == 0
+
+
+def test_trace_takes_the_first_functions_of_a_name(spark):
+    entry = "def start(req):\n    q = request.args\n    go(q)\n"
+    callee = "def go(q):\n    cursor.execute(q)\n"
+    f = spark.createDataFrame([("m.py", entry), *((f"f{k}.py", callee) for k in range(9))], "path string, content string").withColumn("ext", F.lit("py"))
+    assert {r.sink_path for r in flow.trace(f).collect()} <= {"f0.py", "f1.py"}
+    near = f.unionByName(spark.createDataFrame([("m2.py", entry + callee, "py")], "path string, content string, ext string"))
+    assert {r.sink_path for r in flow.trace(near).collect() if r.source_path == "m2.py"} <= {"m2.py"}
+
+
+def test_numbered_file_refuses_paths_outside(spark):
+    f = spark.createDataFrame([("a.py", "1\n2\n3\n")], "rel_path string, content string")
+    assert [r.shown for r in src.numbered_file(f, "a.py", 2, 1).collect()] == ["     2 | 2", "... (1 more lines — read_file with start_line=3)"]
+    for path in ("/etc/x", "../x", "a/../../x"):
+        with pytest.raises(ValueError):
+            src.numbered_file(f, path)
+
+
+def test_retest_of_one_finding(spark):
+    from findgrid.operators import exchange as ex
+
+    p = spark.createDataFrame([("SQLi in x", "/a", "sqli"), ("sqli IN X", "/b", "sqli"), ("Other", "/a", "xss")], "title string, endpoint string, bug_class string")
+    got = {(r.endpoint, r.verdict) for r in ex.retest_finding("sqli in x", p, p.filter("endpoint = '/a'")).collect()}
+    assert got == {("/a", "STILL VULNERABLE"), ("/b", "FIXED")}
+
+
+def test_dependency_scan(spark):
+    deps = spark.createDataFrame([("lodash", "4.17.0", "npm", "package.json"), ("safe", "9.0.0", "npm", "package.json")], "name string, version string, ecosystem string, manifest_file string")
+    known = spark.createDataFrame([("npm", "Lodash", "<4.17.21", "CVE-1: x", "High")], "ecosystem string, name string, constraint string, description string, severity string")
+    lines = spark.createDataFrame([(f"f{k}.js", "js", 1, "import x from 'lodash'") for k in range(6)], "path string, ext string, line_no long, line string")
+    got = dep.dependency_findings(deps, known, lines).collect()
+    assert [(r.name, r.n_files, r.usage, r.cve_id) for r in got] == [("lodash", 6, "used in 6 file(s): f0.js, f1.js, f2.js, f3.js (+2 more)", "CVE-1")]
