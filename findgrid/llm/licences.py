@@ -53,7 +53,12 @@ LEAST = 0.6  # calibrated probability of a family
 CONFIRM = 0.7  # share of a template's words
 #: Words of a stretch of a wrapped paragraph, and from one to the next.
 STRETCH, STEP = 96, 48
-STOP = ("the", "of", "and", "to", "in", "a", "is", "or", "any", "this", "for", "by", "be", "are", "may", "with", "on", "as", "an", "not", "no", "at", "all", "you", "v")
+#: Words that are no n-gram by themselves: a statement that has only these in common with a template says nothing.
+STOP = (
+    "the", "of", "and", "to", "in", "a", "is", "or", "any", "this", "for", "by", "be", "are", "may", "with", "on", "as", "an", "not", "no", "at", "all", "you", "v",
+    "it", "its", "can", "if", "that", "from", "have", "has", "had", "was", "were", "will", "shall", "must", "which", "who", "their", "they", "he", "she", "his", "her", "we", "our", "your",
+    "so", "but", "do", "does", "other", "either", "more", "one", "use", "used", "these", "such", "into", "than", "when", "out", "up", "there", "been", "would", "could", "should", "des", "de", "la", "die", "der",
+)
 
 
 @dataclass
@@ -155,7 +160,11 @@ def scan(docs: DataFrame, m: Model, least: float = LEAST) -> DataFrame:
     the prediction if a template confirms it, else unknown."""
     speaks = [g for g, w in zip(m.grams, m.weights, strict=True) if w.max() > 0]
     words = sorted({max((w for w in g.split() if w not in STOP), key=len) for g in speaks})
-    gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in words) + r")(?![a-z0-9])" if words else r"$^"
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    # by first letter, so that most places of a text are passed after one look
+    gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + r")(?![a-z0-9])" if words else r"$^"
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\0"), x)), "\n")
     # a number for each row, as rows may repeat
     numbered_rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text").filter(F.col("text").rlike(gate))
