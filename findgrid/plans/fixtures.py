@@ -13,7 +13,7 @@ EXTS = ("py", "js", "ts", "go", "rb", "php", "rs", "java", "yaml", "md", "cs", "
 DIRS = ("src/app", "src/payment", "lib/auth", "tests/unit", "src/build", "pkg/core", "examples", "app/admin")
 LINES = (
     'cursor.execute("SELECT name FROM users WHERE id = {user_id}")', "rows = db.rawQuery(sql_text)", "os.system(f'ls ${target}'); subprocess.run(${cmd})",
-    "fs.readFile('/srv/' + name)", "page = jinja2.Template(request.args)", "digest = md5(password)", "h = sha1(data)", "cipher = DES.new(key)",
+    "fs.readFile('/srv/' + name)", "page = jinja2.Template(request.args)", "digest = md5(password)", "h = sha1(data)", "box = DES.new(key)",
     'mode = "AES/ECB/PKCS5Padding"', 'secret_key = "QUJDREVGR0hJSktMTU5PUA=="', 'password = "abc12345"', 'jwt_secret = "super-long-signing-value"',
     'response.set_cookie("sid", "abc")', 'set_cookie("sid", "abc", HttpOnly)', "debug = true", "Access-Control-Allow-Origin: *", "user = User.find_by_id(params[:id])",
     "obj = pickle.loads(blob)", 'console.log("user password", password)', "user.update_attributes(params)", "requests.get(url, verify=false)",
