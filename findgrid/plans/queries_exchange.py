@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from findgrid.operators import configs
 from findgrid.operators import exchange as ex
 from findgrid.plans.queries_findings import CWE, SEV, _any, _q
 
@@ -119,3 +120,19 @@ def packed_queries(spark, sf_dir):
 def resumed_missions(spark, sf_dir):
     m = spark.createDataFrame([("a",), ("b",), ("c",)], "focus string")
     return ex.missions_to_resume(m, m.filter("focus = 'b'"))
+
+
+_RUNS = {"sev": ("high", "info", "Bogus", "Critical"), "conf": ("low", "sure", "HIGH"), "cls": ("sqli", "Cross-Site-Scripting", "other"), "live": ("true", "false", "null"), "login": ("form", "email", "sso"), "rule": ("url_path", "color")}
+_RUN_BY = {"sev": 1, "conf": 4, "cls": 12, "live": 2, "login": 3, "rule": 5}
+_RUN_JSON = '{"vuln_classes": ["%s", "ssrf"], "exploit": %s, "authentication": {"login_type": "%s"}, "rules": {"avoid": [{"type": "%s", "value": "x"}]}, "report": {"min_severity": "%s", "min_confidence": "%s"}}'
+
+
+@query(f"""WITH v AS (SELECT o_orderkey AS k, {", ".join(f"[{', '.join(map(_q, _RUNS[c]))}][(o_orderkey // {by}) % {len(_RUNS[c])} + 1] AS {c}" for c, by in _RUN_BY.items())} FROM orders),
+e AS (SELECT *, (sev IN ('info', 'Bogus'))::INT + (conf = 'sure')::INT + (login = 'sso')::INT + (rule = 'color')::INT AS n FROM v)
+SELECT k, n = 0 AS valid, n::BIGINT AS n_errors, ((cls = 'other')::INT + (login = 'email')::INT)::BIGINT AS n_warnings, CASE cls WHEN 'sqli' THEN 'sqli,' WHEN 'other' THEN '' ELSE 'xss,' END || 'ssrf' AS classes, live <> 'false' AS live FROM e""")
+def run_configs(spark, sf_dir):
+    """A configuration file of a run for each order, checked."""
+    field = {c: _pick(_RUNS[c], "o_orderkey", by) for c, by in _RUN_BY.items()}
+    text = F.format_string(_RUN_JSON, *(field[c] for c in ("cls", "live", "login", "rule", "sev", "conf")))
+    r = configs.checked(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("path"), text.alias("text")))
+    return r.select(F.col("path").alias("k"), "valid", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), F.array_join("classes", ",").alias("classes"), "live")

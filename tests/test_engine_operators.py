@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores, web
+from findgrid.operators import configs
 from findgrid.operators import dependencies as dep
 from findgrid.operators import diffs, flow, recon, rules, search
 from findgrid.operators import findings as fs
@@ -333,3 +334,25 @@ def test_dependency_scan(spark):
     lines = spark.createDataFrame([(f"f{k}.js", "js", 1, "import x from 'lodash'") for k in range(6)], "path string, ext string, line_no long, line string")
     got = dep.dependency_findings(deps, known, lines).collect()
     assert [(r.name, r.n_files, r.usage, r.cve_id) for r in got] == [("lodash", 6, "used in 6 file(s): f0.js, f1.js, f2.js, f3.js (+2 more)", "CVE-1")]
+
+
+def test_run_configs(spark):
+    auth = '"authentication": {"login_type": "%s", "credentials": {"username": "ann", "password": ""}, "email": {"imap_host": " %s", "password": "pw"}}'
+    texts = [None, "", "{", "[1]", "{}", '{"report": {"min_severity": "info", "min_confidence": "Low"}}', "{%s}" % (auth % ("email", "")), "{%s}" % (auth % ("email", "mx")), '{"exploit": "often"}', '{"vuln_classes": ["idor", "nope", null], "rules": {"focus": [{"type": "domain"}]}}']
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {int(r.path): r for r in configs.checked(rows).collect()}
+    assert [got[i].valid for i in range(len(texts))] == [False, False, False, False, True, False, True, True, False, False]
+    assert got[4].live and got[4].classes == got[4].warnings == got[4].secrets == []
+    assert got[5].errors == ["report.min_severity 'info' is invalid; expected critical|high|medium|low"]
+    assert len(got[6].warnings) == 1 and got[7].warnings == [] and got[7].secrets == ["ann", "pw"]
+    assert got[9].classes == ["idor"] and len(got[9].warnings) == 2 and got[9].errors == ["a rule needs a known type and a value"]
+
+
+def test_run_config_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("exploit: false\nvuln_classes:\n  - sqli\nreport:\n  min_severity: high\n")
+    (tmp_path / "b.json").write_text('{"report": {"min_confidence": "sure"}}')
+    (tmp_path / "c.yml").write_text("a: [1")
+    got = {r.path[-6:]: r for r in configs.read(spark, *(str(tmp_path / n) for n in ("a.yaml", "b.json", "c.yml"))).collect()}
+    assert (got["a.yaml"].valid, got["a.yaml"].live, got["a.yaml"].classes) == (True, False, ["sqli"])
+    assert not got["b.json"].valid and not got["/c.yml"].valid
