@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findgrid.llm import knn, langid, licences, minhash, mixing, packing, passages, quality, tokencounts, toxicity
+from findgrid.llm import knn, langid, licences, minhash, mixing, packing, passages, quality, sharding, spelling, tokencounts, toxicity, trie
 from findgrid.llm.common import SPACE, documents, id_mod, n_words, save, shared_dir, small_batches
 from findgrid.llm.tokens import word_ids
 
@@ -83,6 +83,18 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(documents(spark, sf_dir)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(*trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -94,9 +106,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_shards": op13_shards,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE,
     "op9_top_k": knn.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }
