@@ -9,15 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new temporary folder if all runs on this machine, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="findgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """This application's folder in spark.checkpoint.dir; where that is unset, in a new temporary folder if all runs on this machine,
+    else an error. It is deleted as the application's JVM ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _DIRS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="findgrid-")
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/findgrid-{sc.applicationId}-{uuid.uuid4().hex[:8]}")
+        store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _DIRS[sc.applicationId] = path.toString()
+    return _DIRS[sc.applicationId]
 
 
 def save_table(df: DataFrame, tag: str) -> DataFrame:
