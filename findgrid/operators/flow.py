@@ -236,7 +236,8 @@ def _uses(text: str, names) -> str | None:
 
 
 def _summary(name, params, body, entry, focus):
-    """Events of a body when `entry` is tainted: (kind, line, target, argument, hops); hops are the steps in the function."""
+    """Events of a body when `entry` is tainted: (kind, line, target, argument, hops, detail); hops counts the steps in the function
+    so far. A step is an event too: of kind source or flow, and hops its number from 1."""
     tainted = [entry] if entry else []
     hops = 0
     for line, t in body:
@@ -248,26 +249,28 @@ def _summary(name, params, body, entry, focus):
             if left not in tainted:
                 tainted.append(left)
                 hops += 1
+                yield "source", line, left, -1, hops, f"untrusted input enters '{left}'"
             continue
         clean = any(s in low for s in SANITIZERS)  # stops flow and sinks on the line, not calls
-        if not clean and left and "(" not in left and left not in tainted and _uses(right, tainted):
+        if not clean and left and "(" not in left and left not in tainted and (origin := _uses(right, tainted)):
             tainted.append(left)
             hops += 1
+            yield "flow", line, left, -1, hops, f"'{left}' takes tainted '{origin}'"
         sink = next((s for s in (*focus, *SINKS) if s in low), None)
         if not clean and sink and _uses(t, tainted):
-            yield "sink", line, sink, -1, hops
+            yield "sink", line, sink, -1, hops, f"tainted data reaches '{sink}'"
             continue
         for callee, args in calls_of(t):
             for k, a in enumerate(args):
                 if _uses(a, tainted):
-                    yield "call", line, callee.lower(), k, hops
+                    yield "call", line, callee.lower(), k, hops, f"calls {callee}({a}) with tainted data"
 
 
 def summaries(funcs: DataFrame, question: str = "") -> DataFrame:
-    """Rows (path, name, start_line, entry, kind, line, target, arg, hops): what a function does with taint that enters by the
+    """Rows (path, name, start_line, entry, kind, line, target, arg, hops, detail): what a function does with taint that enters by the
     parameter `entry`, or that it reads itself (entry null)."""
     focus = focus_words(question)
-    cols = ["path", "name", "start_line", "entry", "kind", "line", "target", "arg", "hops"]
+    cols = ["path", "name", "start_line", "entry", "kind", "line", "target", "arg", "hops", "detail"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -278,52 +281,88 @@ def summaries(funcs: DataFrame, question: str = "") -> DataFrame:
                     rows += [(f.path, f.name, f.start_line, entry, *e) for e in _summary(f.name, f.params, body, entry, focus)]
             yield pd.DataFrame(rows, columns=cols)
 
-    return funcs.mapInPandas(run, "path string, name string, start_line long, entry string, kind string, line long, target string, arg long, hops long")
+    return funcs.mapInPandas(run, "path string, name string, start_line long, entry string, kind string, line long, target string, arg long, hops long, detail string")
 
 
-def trace(files: DataFrame, depth: int = 4, callees: int = 2, question: str = "") -> DataFrame:
-    """Rows (source_path, source_line, sink_path, sink_line, sink, risk, calls): taint that reaches a sink over at most `depth`
-    calls. A call goes to functions of its name in the same file, else to any; the first `callees` by place. A state
-    (function, tainted parameter) is entered once per level it is first seen at, by its least root."""
+_STATE = ("path", "start_line", "entry")
+
+
+def _callees(calls: DataFrame, funcs: DataFrame, most: int) -> DataFrame:
+    """calls with the functions that they can mean (t_path, t_line, t_params): the first `most` of the callee's name in the same
+    file, or if there is none, of all files. Windows keep that many rows a name before they are shuffled."""
+    target = funcs.select(F.lower("name").alias("target"), F.col("path").alias("t_path"), F.col("start_line").alias("t_line"), F.col("params").alias("t_params"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("t_path", "t_line"))
+    local = target.withColumn("r", first("target", "t_path")).filter(F.col("r") <= most).drop("r")
+    anywhere = target.withColumn("r", first("target")).filter(F.col("r") <= most).drop("r")
+    near = calls.join(local.withColumn("path", F.col("t_path")), ["target", "path"])
+    far = calls.join(target.select("target", F.col("t_path").alias("path")).distinct(), ["target", "path"], "left_anti").join(anywhere, "target")
+    cols = (*calls.columns, "t_path", "t_line", "t_params")
+    return near.select(*cols).unionByName(far.select(*cols))
+
+
+def taint_paths(files: DataFrame, depth: int = 4, callees: int = 2, question: str = "") -> tuple[DataFrame, DataFrame]:
+    """Paths (path_id, source_path, source_line, sink_path, sink_line, sink, risk, calls) of taint that reaches a sink over at most
+    `depth` calls, and their steps (path_id, step, file, line, function, action, detail).
+
+    The source is the line where input enters, the first step of the path. A state (function, tainted parameter) is entered once, at
+    the level it is first seen at, from the caller with the least (steps, source); that caller stays as its back-pointer. Steps are
+    rebuilt from the sinks backwards, a join for each level: the steps of each function up to the call or the sink, the calls
+    between. The risk counts the steps of the function that holds the sink."""
     funcs = save_table(functions(files), "functions")
     s = save_table(summaries(funcs, question), "summaries")
-    # the next state of each call: callee and parameter, resolved once; of the functions of a name only the first `callees` of
-    # each file and of all files can be meant, so a name that every file has is no product of all its calls and definitions
-    target = funcs.select(F.lower("name").alias("target"), F.col("path").alias("t_path"), F.col("start_line").alias("t_line"), F.col("params").alias("t_params"))
-    place = F.row_number().over(Window.partitionBy("target", "t_path").orderBy("t_line"))
-    local = save_table(target.withColumn("r", place).filter(F.col("r") <= callees), "callees")
-    calls = save_table(s.filter("kind = 'call'"), "calls")
-    near = calls.join(local.withColumnRenamed("t_path", "path"), ["target", "path"]).withColumn("t_path", F.col("path"))
-    names = local.select("target", F.struct("t_path", "t_line", "t_params").alias("f"))
-    least = names.groupBy("target").agg(F.min("f").alias("f"))
-    anywhere = least.select("target", "f", F.lit(1).alias("k"))
-    for k in range(2, callees + 1):  # the next one of each name, by an aggregate that keeps one row a name
-        taken = anywhere.filter(F.col("k") == k - 1).select("target", F.col("f").alias("last"))
-        anywhere = anywhere.unionByName(names.join(taken, "target").filter("f > last").groupBy("target").agg(F.min("f").alias("f")).withColumn("k", F.lit(k)))
-    anywhere = save_table(anywhere.select("target", "f.*"), "first-callees")
-    far = calls.join(near.select("target", "path").distinct(), ["target", "path"], "left_anti").join(anywhere, "target")
-    ranked = near.select(*calls.columns, "t_path", "t_line", "t_params").unionByName(far.select(*calls.columns, "t_path", "t_line", "t_params"))
-    step = save_table(ranked.select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("hops").alias("add"), "t_path", "t_line", F.get("t_params", F.col("arg").cast("int")).alias("t_entry")).filter("t_entry IS NOT NULL").distinct(), "steps")
-    sinks = s.filter("kind = 'sink'").select(F.col("path").alias("s_path"), F.col("start_line").alias("s_line"), F.col("entry").alias("s_entry"), F.col("line").alias("sink_line"), F.col("target").alias("sink"), F.col("hops").alias("last_hops"))
+    calls = s.filter("kind = 'call'").select(*_STATE, "line", "target", "arg", "hops", "detail")
+    step = _callees(calls, funcs.select("name", "path", "start_line", "params"), callees)
+    step = step.select(*(F.col(c).alias(f"s_{c}") for c in _STATE), "line", "hops", "detail", "t_path", "t_line", F.get("t_params", F.col("arg").cast("int")).alias("t_entry"))
+    step = save_table(step.filter("t_entry IS NOT NULL"), "calls")
+    sinks = s.filter("kind = 'sink'").select(*(F.col(c).alias(f"s_{c}") for c in _STATE), F.col("line").alias("sink_line"), F.col("target").alias("sink"), F.col("hops").alias("sink_hops"), F.col("detail").alias("sink_detail"))
+    on = (F.col("path") == F.col("s_path")) & (F.col("start_line") == F.col("s_start_line")) & F.col("entry").eqNullSafe(F.col("s_entry"))
     # roots read untrusted input themselves
-    root = s.filter("entry IS NULL").select("path", "start_line", "entry").distinct()
-    front = root.select("path", "start_line", "entry", F.lit(0).cast("long").alias("hops"), F.col("path").alias("r_path"), F.col("start_line").alias("r_line"))
-    at = (F.col("path") == F.col("s_path")) & (F.col("start_line") == F.col("s_line")) & F.col("entry").eqNullSafe(F.col("s_entry"))
-    seen, found = front.select("path", "start_line", "entry"), None
-    for level in range(depth + 1):
-        here = front.join(sinks, at).select("r_path", "r_line", F.col("s_path").alias("sink_path"), "sink_line", "sink", (F.col("hops") + F.col("last_hops")).alias("hops"), F.lit(level).alias("calls"))
-        found = here if found is None else found.unionByName(here)
-        if level == depth:
-            break
-        moved = front.join(step, at).select(F.col("t_path").alias("path"), F.col("t_line").alias("start_line"), F.col("t_entry").alias("entry"), (F.col("hops") + F.col("add") + 1).alias("hops"), "r_path", "r_line")
-        moved = moved.groupBy("path", "start_line", "entry").agg(F.min(F.struct("hops", "r_path", "r_line")).alias("m")).select("path", "start_line", "entry", "m.hops", "m.r_path", "m.r_line")
-        front = save_table(moved.join(seen, ["path", "start_line", "entry"], "left_anti"), "frontier")
+    root = s.filter("entry IS NULL AND kind = 'source' AND hops = 1").select(*_STATE, F.lit(0).cast("long").alias("so_far"), F.col("path").alias("r_path"), F.col("line").alias("r_line"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("b_path", "string"), ("b_start_line", "long"), ("b_entry", "string"), ("b_line", "long"), ("b_hops", "long"), ("b_detail", "string"))]
+    fronts = [save_table(root.select("*", *none), "frontier")]
+    seen = fronts[0].select(*_STATE)
+    while len(fronts) <= depth:
+        back = F.struct((F.col("so_far") + F.col("hops") + 1).alias("so_far"), "r_path", "r_line", F.col("s_path").alias("b_path"), F.col("s_start_line").alias("b_start_line"), F.col("line").alias("b_line"), F.col("s_entry").alias("b_entry"), F.col("hops").alias("b_hops"), F.col("detail").alias("b_detail"))
+        moved = fronts[-1].select(*_STATE, "so_far", "r_path", "r_line").join(step, on).groupBy(F.col("t_path").alias("path"), F.col("t_line").alias("start_line"), F.col("t_entry").alias("entry")).agg(F.min(back).alias("m"))
+        front = save_table(moved.join(seen, list(_STATE), "left_anti").select(*_STATE, "m.*").select(fronts[0].columns), "frontier")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("path", "start_line", "entry"))
+        fronts.append(front)
+        seen = seen.unionByName(front.select(*_STATE))
+    found = None
+    for level, front in enumerate(fronts):
+        here = front.join(sinks, on).select(*_STATE, "r_path", "r_line", "sink_line", "sink", "sink_hops", "sink_detail", F.lit(level).cast("long").alias("calls"))
+        found = here if found is None else found.unionByName(here)
     k = F.col("sink")
     base = F.when(k.isin("exec", "system", "eval"), 9.0).when(k.isin("is_admin", "admin", "grant"), 8.5).when(k.contains("query") | k.isin("open", "write"), 7.5).otherwise(6.0)
-    return found.select(F.col("r_path").alias("source_path"), F.col("r_line").alias("source_line"), "sink_path", "sink_line", "sink", F.least(base + F.col("hops") * 0.3, F.lit(10.0)).alias("risk"), F.col("calls").cast("long").alias("calls"))
+    path_id = F.sha2(F.concat_ws("|", "path", "start_line", F.coalesce("entry", F.lit("")), "sink_line"), 256)
+    found = save_table(found.withColumn("path_id", path_id).withColumn("risk", F.least(base + F.col("sink_hops") * 0.3, F.lit(10.0))), "paths")
+    paths = found.select("path_id", F.col("r_path").alias("source_path"), F.col("r_line").alias("source_line"), F.col("path").alias("sink_path"), "sink_line", "sink", "risk", "calls")
+
+    # backwards: (path_id, the state, the steps of it that count, what ends it)
+    named = funcs.select(F.col("path").alias("f_path"), F.col("start_line").alias("f_line"), F.col("name").alias("function"))
+    own = s.filter("kind IN ('source', 'flow')").select(*(F.col(c).alias(f"s_{c}") for c in _STATE), "line", "kind", F.col("hops").alias("no"), "detail")
+    at = found.select("path_id", F.col("calls").alias("level"), *_STATE, F.col("sink_hops").alias("upto"), F.col("sink_line").alias("end_line"), F.lit("sink").alias("end"), F.col("sink_detail").alias("end_detail"))
+    parts, late = [], None
+    for level in range(len(fronts) - 1, -1, -1):
+        here = at.filter(F.col("level") == level)
+        here = save_table(here if late is None else here.unionByName(late), "walk")
+        parts.append(here.join(own, on).filter(F.col("no") <= F.col("upto")).select("path_id", "level", "no", F.col("path").alias("file"), "start_line", "line", F.col("kind").alias("action"), "detail"))
+        parts.append(here.select("path_id", "level", (F.col("upto") + 1).alias("no"), F.col("path").alias("file"), "start_line", F.col("end_line").alias("line"), F.col("end").alias("action"), F.col("end_detail").alias("detail")))
+        if level:
+            prev = here.join(fronts[level].select(*_STATE, "b_path", "b_start_line", "b_entry", "b_line", "b_hops", "b_detail"), list(_STATE))
+            late = prev.select("path_id", F.lit(level - 1).cast("long").alias("level"), F.col("b_path").alias("path"), F.col("b_start_line").alias("start_line"), F.col("b_entry").alias("entry"), F.col("b_hops").alias("upto"), F.col("b_line").alias("end_line"), F.lit("call").alias("end"), F.col("b_detail").alias("end_detail"))
+    steps = parts[0]
+    for p in parts[1:]:
+        steps = steps.unionByName(p)
+    number = F.row_number().over(Window.partitionBy("path_id").orderBy("level", "no")).cast("long")  # a path's few steps
+    steps = steps.withColumn("step", number).join(named, (F.col("file") == F.col("f_path")) & (F.col("start_line") == F.col("f_line")), "left")
+    return paths, steps.select("path_id", "step", "file", "line", "function", "action", "detail")
+
+
+def trace(files: DataFrame, depth: int = 4, callees: int = 2, question: str = "") -> DataFrame:
+    """The paths of taint_paths()."""
+    return taint_paths(files, depth, callees, question)[0]
 
 
 def dedup_paths(paths: DataFrame) -> DataFrame:

@@ -156,6 +156,36 @@ def taint_trace(spark, sf_dir):
     return flow.dedup_paths(flow.trace(files(spark, sf_dir), depth=4, question="read data"))
 
 
+def _step_states() -> str:
+    """CTEs l1..l4: the functions that taint enters at each level, each with its caller and its handler."""
+    out = "l1 AS (SELECT c // 2 AS x, arg_min(c, 'app/f' || c || '.py') AS prev, min('app/f' || c || '.py') AS r FROM c WHERE c % 8 = 7 AND c // 2 IN (SELECT c FROM c) GROUP BY 1)"
+    for k in (2, 3, 4):
+        seen = " UNION ".join(f"SELECT x FROM l{j}" for j in range(1, k))
+        out += f", l{k} AS (SELECT x // 2 AS x, arg_min(x, r) AS prev, min(r) AS r FROM l{k - 1} WHERE x % 3 <> 0 AND x // 2 IN (SELECT c FROM c) AND x // 2 NOT IN ({seen}) GROUP BY 1)"
+    return out
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS c FROM customer), {_step_states()}, st AS ({" UNION ALL ".join(f"SELECT {k} AS level, * FROM l{k}" for k in (1, 2, 3, 4))}),
+walk AS (SELECT x AS sink, level, x, prev FROM st WHERE x % 3 = 0 UNION ALL SELECT w.sink, s.level, s.x, s.prev FROM walk w JOIN st s ON s.level = w.level - 1 AND s.x = w.prev),
+b AS (SELECT *, CASE WHEN x % 8 = 7 THEN 5 ELSE 1 END AS first, 'app/f' || x || '.py' AS file, 'step_' || x AS function FROM walk)
+SELECT 'app/f' || sink || '.py' AS sink_path, step::BIGINT AS step, file, line::BIGINT AS line, function, action, detail FROM (
+SELECT sink, 2 * level + 2 AS step, file, first + 1 AS line, function, 'flow' AS action, '''part'' takes tainted ''value''' AS detail FROM b
+UNION ALL SELECT sink, 2 * level + 3, file, first + 2, function, CASE WHEN x = sink THEN 'sink' ELSE 'call' END, CASE WHEN x = sink THEN 'tainted data reaches ''exec''' ELSE 'calls step_' || (x // 2) || '(part) with tainted data' END FROM b
+UNION ALL SELECT sink, v.n, 'app/f' || prev || '.py', v.n + 1, 'handle_' || prev, v.action, CASE v.n WHEN 1 THEN 'untrusted input enters ''name''' WHEN 2 THEN '''data'' takes tainted ''name''' ELSE 'calls step_' || (prev // 2) || '(data) with tainted data' END
+FROM b, (VALUES (1, 'source'), (2, 'flow'), (3, 'call')) v(n, action) WHERE level = 1)""")
+def taint_steps(spark, sf_dir):
+    """The chains of taint, step by step, through a file for each customer: every eighth has a handler that reads input, all have a
+    function that runs it (every third) or hands it on to the function of half the number."""
+    c = F.col("c_custkey")
+    half = F.floor(c / 2).cast("string")
+    handler = F.when(c % 8 == 7, F.concat(F.lit("def handle_"), c, F.lit("(req):\n    name = request.args.get('k')\n    data = name.strip()\n    step_"), half, F.lit("(data)\n"))).otherwise("")
+    last = F.when(c % 3 == 0, F.lit("    exec(part)\n")).otherwise(F.concat(F.lit("    step_"), half, F.lit("(part)\n")))
+    code = F.concat(handler, F.lit("def step_"), c, F.lit("(value):\n    part = value + '!'\n"), last)
+    f = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("app/f"), c, F.lit(".py")).alias("path"), F.lit("py").alias("ext"), code.alias("content"))
+    paths, steps = flow.taint_paths(f)
+    return steps.join(paths.select("path_id", "sink_path"), "path_id").select("sink_path", "step", "file", "line", "function", "action", "detail")
+
+
 @query()
 def sarif_document(spark, sf_dir):
     return reports.sarif(found(spark, sf_dir)).select("part", "line")

@@ -150,6 +150,34 @@ def test_trace_over_a_call(spark):
     assert ("app.js", "lib.js", 1) in got
 
 
+def test_taint_steps_of_three_files(spark):
+    code = {
+        "app.js": "function handle(req) {\n  let id = 7;\n  note(id);\n  let name = req.body.name;\n  let full = name + id;\n  passOn(full);\n}\n",
+        "mid.js": "function passOn(value) {\n  // exec(value)\n  let kept = value;\n  runIt(1, kept);\n}\n",
+        "lib.js": "function runIt(n, cmd) {\n  exec(cmd);\n}\n",
+    }
+    f = spark.createDataFrame([(p, "js", t) for p, t in code.items()], "path string, ext string, content string")
+    paths, steps = flow.taint_paths(f)
+    found = paths.collect()
+    assert [(r.source_path, r.source_line, r.sink_path, r.sink_line, r.sink, r.risk, r.calls) for r in found] == [("app.js", 4, "lib.js", 2, "exec", 9.0, 2)]
+    assert [(r.step, r.file, r.line, r.function, r.action) for r in sorted(steps.collect(), key=lambda r: r.step)] == [
+        (1, "app.js", 4, "handle", "source"), (2, "app.js", 5, "handle", "flow"), (3, "app.js", 6, "handle", "call"),
+        (4, "mid.js", 3, "passOn", "flow"), (5, "mid.js", 4, "passOn", "call"), (6, "lib.js", 2, "runIt", "sink"),
+    ]
+    assert {r.path_id for r in steps.select("path_id").distinct().collect()} == {found[0].path_id}
+
+
+def test_taint_source_is_where_input_enters(spark):
+    f = spark.createDataFrame([("a.py", "py", "def run(x):\n    y = 1\n    z = 2\n    cmd = request.args.get('c')\n    w = 3\n    exec(cmd)\n")], "path string, ext string, content string")
+    assert [(r.source_line, r.sink_line, r.risk) for r in flow.trace(f).collect()] == [(4, 6, 9.3)]
+    assert flow.trace(f.limit(0)).count() == 0 and flow.taint_paths(f.limit(0))[1].count() == 0
+
+
+def test_between_files(spark):
+    p = spark.createDataFrame([("/proj/src/app.js", "/proj/lib.js"), ("/proj/src/lib.js", "x.js")], "source_path string, sink_path string")
+    assert flow.between_files(p, "src/app.js", "lib.js").count() == 1 and flow.between_files(p, "/a/proj/src/app.js", "lib.js").count() == 1 and flow.between_files(p, "other.js", "lib.js").count() == 0
+
+
 def test_silent_catch_and_complexity(spark):
     body = "function f(a) {\n" + "  if (a) { b() }\n" * 8 + "  x()\n" * 90 + "}\n"
     catch = "try {\n  a()\n} catch (e) {\n}\n"
