@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findgrid.functions import web
+from findgrid.functions.html import page_analysis
 from findgrid.functions.scores import cascade, contains_any, ladder, strip
 from findgrid.functions.shared import save_table
 from findgrid.functions.web import resolve_url
@@ -386,3 +388,57 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2,
             break
         seen = seen.unionByName(front)
     return seen.orderBy("depth", "url").limit(most) if most else seen
+
+
+def crawl_sites(pages: DataFrame, seeds: DataFrame, depth: int = 2, most: int | None = 20) -> tuple[DataFrame, DataFrame]:
+    """A crawl of each site through saved pages (url, html), breadth first from its seeds (site, url, ord).
+
+    The link graph is drawn from the pages as they are reached: targets of anchors, resolved, of the page's own origin, without a
+    fragment. A level is a join of its frontier with the pages, so only pages that are reached are parsed; the queue's order is
+    (visit of the page that links, place of the link), a URL counts where it first stands, and a site's first `most` pages count.
+    Returns pages (site, visit, url, depth, title, forms, links) and what a sweep would try: targets (site, method, url, params) of
+    forms and links, each (method, url) once and a link only if no form or link had its URL before."""
+    key = web.strip_fragment(F.col("url"))
+    there = save_table(pages.filter("url IS NOT NULL").select(key.alias("url"), F.struct("url", "html").alias("p")).groupBy("url").agg(F.min("p").alias("p")).select("url", "p.html"), "pages")
+    queue = seeds.select("site", web.strip_fragment(F.trim("url")).alias("url"), F.struct(F.lit(0).cast("long").alias("visit"), F.col("ord").cast("long").alias("no")).alias("place"))
+    seen = counts = None
+    visited, wanted = [], []
+    for d in range(depth + 1):
+        front = queue.groupBy("site", "url").agg(F.min("place").alias("place"))
+        if seen is not None:
+            front = front.join(seen, ["site", "url"], "left_anti")
+        front = save_table(front, "frontier")
+        if front.isEmpty():
+            break
+        seen = front.select("site", "url") if seen is None else seen.unionByName(front.select("site", "url"))
+        here = front.join(there, "url")
+        if most is not None:
+            order = F.row_number().over(Window.partitionBy("site").orderBy("place")).cast("long")
+            here = here.withColumn("r", order).filter(F.col("r") <= most)
+            if counts is not None:
+                here = here.join(counts, "site", "left").withColumn("r", F.col("r") + F.coalesce("n", F.lit(0))).filter(F.col("r") <= most).drop("n")
+        else:
+            here = here.withColumn("r", F.xxhash64("site", "url"))  # no order is needed where all pages count
+        here = save_table(here.select("site", "url", F.col("r").alias("visit"), page_analysis("html").alias("a")), "crawled")
+        visited.append(here.select("site", "visit", "url", F.lit(d).alias("depth"), "a.title", F.size("a.forms").alias("forms"), F.size("a.links").alias("links")))
+        if most is not None:
+            upto = here.groupBy("site").agg(F.max("visit").alias("n"))
+            counts = upto if counts is None else save_table(counts.unionByName(upto).groupBy("site").agg(F.max("n").alias("n")), "counts")
+        at = lambda kind: F.struct(F.lit(d).alias("depth"), "visit", F.lit(kind).alias("kind"), F.col("no").cast("long").alias("no"))
+        form = here.select("site", "visit", F.col("url").alias("page"), F.posexplode("a.forms").alias("no", "f"))
+        params = F.transform(F.filter("f.inputs", lambda i: i["name"] != ""), lambda i: F.struct(i["name"].alias("name"), i["value"].alias("value")))
+        wanted.append(form.select("site", "page", at(0).alias("at"), F.when(F.lower("f.method") == "get", "GET").otherwise("POST").alias("method"), web.resolve_url(F.col("page"), F.col("f.action")).alias("url"), params.alias("params")).filter(web.same_origin(F.col("page"), F.col("url"))))
+        link = here.select("site", "visit", F.col("url").alias("page"), F.posexplode("a.links").alias("no", "l")).withColumn("url", web.resolve_url(F.col("page"), F.col("l")))
+        link = link.filter(web.same_origin(F.col("page"), F.col("url")) & ~F.col("url").contains("#"))
+        wanted.append(link.select("site", "page", at(1).alias("at"), F.lit("GET").alias("method"), "url", web.query_params(F.col("url")).alias("params")))
+        queue = link.select("site", "url", F.struct("visit", F.col("no").cast("long").alias("no")).alias("place"))
+    if not visited:
+        visited, wanted = [front.select("site", F.lit(0).cast("long").alias("visit"), "url", F.lit(0).alias("depth"), F.lit("").alias("title"), F.lit(0).alias("forms"), F.lit(0).alias("links"))], None
+    out = reduce(DataFrame.unionByName, visited)
+    if wanted is None:
+        return out, front.select("site", F.lit("").alias("method"), "url", F.array().cast("array<struct<name: string, value: string>>").alias("params"))
+    every = save_table(reduce(DataFrame.unionByName, wanted).drop("page"), "wanted")
+    first = every.groupBy("site", "url").agg(F.min("at").alias("first"))
+    valid = every.join(first, ["site", "url"]).filter((F.col("at.kind") == 0) | (F.col("at") == F.col("first")))
+    targets = valid.groupBy("site", "method", "url").agg(F.min_by("params", "at").alias("params"))
+    return out, targets
