@@ -261,9 +261,24 @@ def ci_totals(f: DataFrame, n_chains: DataFrame | None = None) -> DataFrame:
 
 def intermediates(ends: DataFrame, f: DataFrame, depth: int) -> DataFrame:
     """Findings strictly between two lines of one file: rows of ends (chain_id, file_path, lo, hi) with the first depth - 2
-    findings between lo and hi, those of the theme first, then by line."""
-    x = f.select("file_path", F.col("line_number").alias("line"), F.col("title").alias("between_title"))
-    j = ends.join(x, "file_path").filter((F.col("line") > F.col("lo")) & (F.col("line") < F.col("hi")))
-    themed = scores.contains_any(F.lower("between_title"), THEME)
-    w = Window.partitionBy("chain_id").orderBy(F.desc(themed.cast("int")), "line", "between_title")
-    return j.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= max(0, depth - 2))
+    findings between lo and hi, those of the theme first, then by line.
+
+    An interval join by blocks of lines: block (level, i) holds the lines from i * 2**level up to the next one. Each finding is in one
+    block of each level, of which a block keeps its first depth - 2; an open interval is the union of at most two blocks a level,
+    and meets those alone. So neither a file's findings nor the lines between two ends multiply out."""
+    most = max(0, depth - 2)
+    x = f.filter("file_path IS NOT NULL AND line_number >= 0").select("file_path", F.col("line_number").alias("line"), F.col("title").alias("between_title"))
+    x = x.withColumn("off", (~F.coalesce(scores.contains_any(F.lower("between_title"), THEME), F.lit(False))).cast("int"))
+    top = ends.agg(F.max("hi")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(top).bit_length()))
+    by = ("off", "line", "between_title")
+    blocks = x.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(line, level)"))
+    first = F.row_number().over(Window.partitionBy("file_path", "level", "block").orderBy(*by))
+    blocks = blocks.withColumn("r", first).filter(F.col("r") <= most).drop("r")
+    low, high = "shiftright(lo + shiftleft(1L, l), l)", "shiftright(hi, l)"  # first block that starts after lo, first that ends after hi
+    cover = F.expr(f"""flatten(transform(sequence(0, {int(top).bit_length()}), l -> filter(array(
+        IF({low} < {high} AND {low} % 2 = 1, named_struct('level', l, 'block', {low}), null), IF({low} < {high} AND {high} % 2 = 1, named_struct('level', l, 'block', {high} - 1), null)), b -> b IS NOT NULL)))""")
+    wanted = ends.withColumn("c", F.explode(cover)).select(*ends.columns, "c.level", "c.block")
+    j = wanted.join(blocks, ["file_path", "level", "block"]).drop("level", "block")
+    w = Window.partitionBy("chain_id").orderBy(*by)
+    return j.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= most).drop("off")

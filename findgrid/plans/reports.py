@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 from html import escape as html_text
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores
-from findgrid.functions.shared import in_order
+from findgrid.functions.shared import in_order, save_table
 from findgrid.operators import findings as fs
 
+# Fixed value: where the format is published.
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+
+
 def sarif(f: DataFrame, tool: str = "findgrid") -> DataFrame:
     """Rows (part, ord, line) of a SARIF 2.1.0 document with a result for every finding: written as text in the order of part and ord
     (`.orderBy("part", "ord").select("line").write.text`) they are the document."""
@@ -25,7 +29,7 @@ def sarif(f: DataFrame, tool: str = "findgrid") -> DataFrame:
 
 
 def sarif_with_rules(f: DataFrame, tool: str = "findgrid") -> DataFrame:
-    """The other shape: rule ids by weakness class, with a help anchor, the risk category and the confidence as properties."""
+    """Properties of the results of the other shape: rule ids by weakness class, with a help anchor, the risk category and the confidence as properties."""
     rule = scores.report_class(F.col("cwe_id"), F.col("finding_type"))
     slug = F.regexp_replace(F.lower(rule), r"[^a-z0-9]+", "-")
     properties = F.struct(F.col("owasp_category").alias("owasp"), F.lower("confidence").alias("confidence"), F.array(F.concat(F.lit("external/owasp/"), F.lower("owasp_category"))).alias("tags"))
@@ -33,6 +37,34 @@ def sarif_with_rules(f: DataFrame, tool: str = "findgrid") -> DataFrame:
     return f.select("id", F.to_json(out).alias("line"))
 
 
+def sarif_rules(f: DataFrame, rule: Column | None = None, tool: str = "findgrid", by: str = "id", run: dict | None = None) -> DataFrame:
+    """Rows (part, ord, line), in the order of part and ord, of a SARIF 2.1.0 document with a rules table: a rule for each value of
+    `rule` (by default the weakness class), in the order of its first finding, with that one's risk category as a tag; results point
+    at it by ruleIndex. A run without findings declares one rule. run: further properties."""
+    rule = scores.report_class(F.col("cwe_id"), F.col("finding_type")) if rule is None else rule
+    numbered = save_table(in_order(f.withColumn("_rule", rule), by), "results")
+    first = numbered.groupBy("_rule").agg(F.min("_no").alias("_first"), F.min_by("owasp_category", "_no").alias("_owasp"))
+    rules = save_table(in_order(first, "_first", number="_index").withColumn("_index", F.col("_index") - 1), "rules")
+    tag = F.when(F.col("_owasp").isNotNull(), F.concat(F.lit("external/owasp/"), F.lower("_owasp")))
+    shape = F.struct(F.col("_rule").alias("id"), F.struct(F.col("_rule").alias("text")).alias("shortDescription"), F.struct(F.array_compact(F.array(F.lit("security"), tag)).alias("tags")).alias("properties"))
+    region = F.when(F.col("line_number").isNotNull(), F.struct(F.col("line_number").alias("startLine")))
+    place = F.struct(F.struct(F.struct(F.coalesce("file_path", F.lit("")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    advice = F.when(F.col("remediation") != "", F.concat(F.lit("\n\n**Remediation:** "), F.col("remediation"))) if "remediation" in f.columns else F.lit(None)
+    text = F.concat(F.col("description") if "description" in f.columns else F.col("title"), F.coalesce(advice, F.lit("")))
+    result = F.struct(F.col("_rule").alias("ruleId"), F.col("_index").alias("ruleIndex"), scores.sarif_level(F.col("severity")).alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("id").alias("primaryLocationLineHash")).alias("partialFingerprints"))
+    comma = F.when(F.col("ord") == 1, "").otherwise(",")
+    lines = rules.select(F.lit(1).alias("part"), (F.col("_index") + 1).alias("ord"), F.to_json(shape).alias("line"))
+    lines = lines.unionByName(numbered.join(rules.select("_rule", "_index"), "_rule").select(F.lit(3).alias("part"), F.col("_no").alias("ord"), F.to_json(result).alias("line")))
+    lines = lines.withColumn("line", F.concat(comma, "line"))
+    n = numbered.count()
+    clean = json.dumps({"id": f"{tool}/clean", "shortDescription": {"text": "No findings"}})
+    document = {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": ["RULES"]}}, "results": ["RESULTS"], "columnKind": "utf16CodeUnits", "properties": {"totalFindings": n} | (run or {})}]}
+    head, rest = json.dumps(document).split('"RULES"')
+    middle, tail = rest.split('"RESULTS"')
+    fixed = [(0, 0, head), (2, 0, middle), (4, 0, tail), *([(1, 0, clean)] if not n else [])]
+    return f.sparkSession.createDataFrame(fixed, "part int, ord long, line string").unionByName(lines)
+
+
 def grade(score: float) -> str:
     return "good" if score >= 80 else "fair" if score >= 50 else "poor"
 
