@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,7 +17,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from findgrid.functions.shared import save_table as save
 from findgrid.functions.shared import shared_dir
 
-__all__ = ["any_of", "appended", "documents", "id_mod", "let", "n_words", "packed", "raw_texts", "save", "shared_dir", "small_batches", "unpacked", "words"]
+__all__ = ["any_of", "appended", "documents", "free_memory", "id_mod", "let", "n_words", "packed", "raw_texts", "released", "save", "shared_dir", "small_batches", "unpacked", "words"]
 
 #: Java and RE2 class body of the separators of all word rules here: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
@@ -37,6 +40,26 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+def released(run: Callable) -> Callable:
+    """run(batches) for mapInArrow or mapInPandas, at whose end, or if it is given up, the worker hands free memory back to the system:
+    idle workers are kept for later tasks, and what they hold counts against the executor."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return tidy
+
+
+def free_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow column of strings, without decoding."""
     return column.cast(pa.binary()).to_pylist()
@@ -53,7 +76,7 @@ def packed(docs: DataFrame, column: str = "text") -> DataFrame:
             yield b.set_column(i, pa.field(column, pa.binary()), z)
 
     schema = StructType([StructField(f.name, BinaryType(), True) if f.name == column else f for f in docs.schema])
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(released(run), schema)
 
 
 def unpacked(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -67,7 +90,7 @@ def unpacked(docs: DataFrame, column: str = "text") -> DataFrame:
             yield b.set_column(i, pa.field(column, pa.string()), t)
 
     schema = StructType([StructField(f.name, StringType(), True) if f.name == column else f for f in docs.schema])
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(released(run), schema)
 
 
 def appended(docs: DataFrame, carry: tuple[str, ...], ddl: str, types: dict[str, pa.DataType], make: Callable[[], Callable[[list[str | None]], list[tuple]]]) -> DataFrame:
@@ -82,7 +105,7 @@ def appended(docs: DataFrame, carry: tuple[str, ...], ddl: str, types: dict[str,
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *made], [*carry, *types])
 
     kinds = dict(docs.dtypes)
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in carry), "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + ddl)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in carry), "text").mapInArrow(released(run), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + ddl)
 
 
 def let(value: Column, body) -> Column:

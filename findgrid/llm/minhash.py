@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import packed, raw_texts, save, small_batches, unpacked
+from findgrid.llm.common import packed, raw_texts, released, save, small_batches, unpacked
 from findgrid.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows] or [np.empty(0, np.int64)]), _INT64))
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], _INT64) for i in range(4)), bands], [*_KEYS, "bands"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
 
 def _sets(z: DataFrame, words: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(z: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(unpack.decompress(t), words).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "set"])
 
-    return small_batches(z).mapInArrow(run, "doc long, set binary")
+    return small_batches(z).mapInArrow(released(run), "doc long, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -160,7 +160,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_b = small_batches(pairs).select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-    return with_b.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return with_b.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for doc, n, comp, x in zip(p["doc"], p["n"], p["comp"], p["set"], strict=True):
                 yield pd.DataFrame({"doc": doc, "n": n, "comp": comp, "e": np.frombuffer(x, np.int64)})
 
-    rows = save(docs.join(sets, "doc").mapInPandas(elements, "doc long, n long, comp long, e long"), "elements")
+    rows = save(docs.join(sets, "doc").mapInPandas(released(elements), "doc long, n long, comp long, e long"), "elements")
     often = rows.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
     # an element of one document can't be shared, but it takes its place at the front
     at = F.row_number().over(Window.partitionBy("doc").orderBy("df", "e")) - 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import save, small_batches
+from findgrid.llm.common import released, save, small_batches
 from findgrid.llm.tokens import DEFAULT, word_ids
 
 CAPACITY = 4096
@@ -108,9 +108,8 @@ def pieces(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY,
                     size.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, length, crc, size))], _PIECE)
         ids.clear()
-        pa.default_memory_pool().release_unused()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), ", ".join(f"{c} long" for c in _PIECE))
 
 
 def pack(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -141,4 +140,4 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY, en
     w = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "row")
     ranked = p.withColumn("rn", F.row_number().over(w)).join(cells.select("length", "bucket", "before"), ["length", "bucket"])
     ranked = ranked.select(*_PIECE, (F.col("before") + F.col("rn") - 1).alias("rank"))
-    return ranked.mapInArrow(place, ", ".join(f"{c} long" for c in (*_PIECE, "sequence_id", "offset")))
+    return ranked.mapInArrow(released(place), ", ".join(f"{c} long" for c in (*_PIECE, "sequence_id", "offset")))

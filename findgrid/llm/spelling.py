@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import raw_texts, save, small_batches
+from findgrid.llm.common import raw_texts, released, save, small_batches
 from findgrid.llm.trie import sql_crc32
 
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -65,7 +65,7 @@ def words(docs: DataFrame, least_length: int = 6, least_n: int = 5, damage: int
                     yield out()
         yield out()
 
-    counted = small_batches(docs.select("doc_id", "text")).mapInArrow(run, "word string, n long")
+    counted = small_batches(docs.select("doc_id", "text")).mapInArrow(released(run), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_n)
 
 
@@ -168,7 +168,7 @@ def near(vocabulary: DataFrame, crowded: int = CROWDED) -> DataFrame:
         yield out(_found(shard))
 
     dealt = ready.select("key", *_ROW).repartition(max(1, n_rows // (8 * SHARD), int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key").sortWithinPartitions("key")
-    once = save(dealt.mapInArrow(run, "word string, n long, other string, m long").distinct(), "near")
+    once = save(dealt.mapInArrow(released(run), "word string, n long, other string, m long").distinct(), "near")
     return once.unionByName(once.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
 
 

@@ -21,7 +21,7 @@ DEFAULT = "word_bpe_49k.json"
 MOST = 250_000
 _BLANK = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are split at once, and from which on a single text is cut at blanks.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 class WordIds:

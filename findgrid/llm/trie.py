@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import n_words, save, small_batches
+from findgrid.llm.common import n_words, released, save, small_batches
 
 #: Bits of a conv_id that its block of the members' digest leaves out.
 BLOCK_BITS = 12
@@ -90,7 +90,7 @@ def _digests(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([digest.hexdigest()], pa.string())], ["rep", "digest"])
 
     blocks = members.groupBy("rep", F.shiftright("conv_id", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
-    return small_batches(blocks).repartition("rep").sortWithinPartitions("rep", "block").select("rep", "ids").mapInArrow(run, "rep long, digest string")
+    return small_batches(blocks).repartition("rep").sortWithinPartitions("rep", "block").select("rep", "ids").mapInArrow(released(run), "rep long, digest string")
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
