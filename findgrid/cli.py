@@ -1,4 +1,7 @@
-"""Command line over the operators: python -m findgrid.cli COMMAND PATH [options]. Output is a report's rows, never a whole table."""
+"""Command line over the operators: python -m findgrid.cli COMMAND PATH [options].
+
+Rows are printed whole, as JSON lines, --limit of them (0: all); --output writes all rows or the whole report to a folder instead.
+"""
 
 from __future__ import annotations
 
@@ -9,73 +12,115 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findgrid.functions import web
-from findgrid.operators import anomaly, dependencies, flow, recon, rules, search
+from findgrid.functions.shared import save_table
+from findgrid.operators import anomaly, dependencies, diffs, flow, index, recon
 from findgrid.operators import findings as fs
-from findgrid.plans import reports
+from findgrid.plans import reports, scan
 from findgrid.sources import files as src
 
+COMMANDS = ("init", "ask", "status", "review", "secrets", "deps", "sbom", "zeroday", "trace", "attack", "report", "pr", "ci", "plan", "redact")
 
-def scanned(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files, lines, and the findings of the rule and secret scans."""
-    f = src.walk(spark, root).withColumn("path", F.col("rel_path"))
-    lines = src.lines(f)
-    found = rules.match_rules(lines, rules.rule_table("review"), "security-review").unionByName(rules.match_rules(lines, rules.rule_table("secrets"), "secret-scanner", skip_comments=False))
-    found = fs.with_risk(found).withColumn("id", F.concat_ws("|", "source", "title", "file_path", "line_number"))
-    return f, lines, found
 
+def _rows(df: DataFrame, a: argparse.Namespace) -> None:
+    """Prints or writes rows: nothing is cut."""
+    if a.output:
+        df.write.mode("overwrite").json(a.output)
+        return
+    for r in (df.limit(a.limit) if a.limit else df).toJSON().toLocalIterator():
+        print(r)
 
-def main(argv: list[str] | None = None) -> int:
+
+def _lines(df: DataFrame, a: argparse.Namespace) -> None:
+    """Prints or writes a document of rows (part, ord, line)."""
+    lines = df.orderBy("part", "ord").select("line")
+    if a.output:
+        lines.write.mode("overwrite").text(a.output)
+        return
+    for r in lines.toLocalIterator():
+        print(r["line"])
+
+
+def _text(spark: SparkSession, text: str, a: argparse.Namespace) -> None:
+    if a.output:
+        reports.save_text(spark, text, a.output)
+    else:
+        print(text)
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="findgrid")
-    p.add_argument("command", choices=["init", "ask", "status", "review", "secrets", "deps", "sbom", "zeroday", "trace", "attack", "report", "ci", "plan", "redact"])
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("path")
     p.add_argument("question", nargs="*")
     p.add_argument("--min-severity")
     p.add_argument("--min-confidence")
-    p.add_argument("--max-findings", type=int, default=30, help="0: all")
+    p.add_argument("--max-findings", type=int, default=30, help="of review and secrets; 0: all")
     p.add_argument("--fail-on")
-    p.add_argument("--top", type=int, default=10)
+    p.add_argument("--top", type=int, default=10, help="chunks that ask shows")
     p.add_argument("--depth", type=int, default=4)
-    p.add_argument("--format", choices=["text", "json", "sarif"], default="text")
-    a = p.parse_args(argv)
+    p.add_argument("--format", choices=["rows", "json", "sarif", "markdown", "html", "executive", "spdx", "cyclonedx"])
+    p.add_argument("--limit", type=int, default=50, help="rows printed; 0: all")
+    p.add_argument("--output", help="folder to write to instead of printing")
+    p.add_argument("--changed", help="JSON lines (path, patch) of a pull request")
+    p.add_argument("--allow", help="JSON lines (fingerprint) of secrets that may stay")
+    p.add_argument("--scanners", nargs="*", default=list(scan.SCANNERS), choices=scan.SCANNERS)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("findgrid").getOrCreate()
-    f, lines, found = scanned(spark, a.path)
-    index = f"{a.path.rstrip('/')}/.findgrid"
-    show = lambda d, n=50: d.show(n, truncate=100)
-    if a.command == "init":
-        search.save_index(f, index)
-    elif a.command == "status":
-        show(search.index_status(search.load_index(spark, index)))
-    elif a.command == "ask":
-        show(search.search(search.chunks(f).withColumn("chunk", F.concat_ws("#", "path", F.col("ord").cast("string"))), "chunk", "content", "path", " ".join(a.question), a.top))
+    f = src.walk(spark, a.path).withColumn("path", F.col("rel_path"))
+    lines = src.lines(f)
+    allowed = spark.read.schema("fingerprint string").json(a.allow) if a.allow else None
+    found = lambda *only: scan.scan(spark, f, lines, only or tuple(a.scanners), allowed, " ".join(a.question))
+    kept = index.Index(spark, f"{a.path.rstrip('/')}/.findgrid")
+    if a.command in ("init", "ask", "status"):
+        if a.command == "init" or kept.live().isEmpty():
+            kept.update(f)
+        if a.command == "status":
+            _rows(kept.status(), a)
+        if a.command == "ask":
+            _rows(kept.contents(kept.search(" ".join(a.question), a.top)).orderBy(F.desc("score"), "path", "ord"), a)
     elif a.command in ("review", "secrets"):
-        mine = found.filter(F.col("source") == ("security-review" if a.command == "review" else "secret-scanner"))
+        mine = found("rules" if a.command == "review" else "secrets")
         if a.format == "sarif":
-            for r in reports.sarif(mine).orderBy("part", "ord").select("line").toLocalIterator():
-                print(r["line"])
+            _lines(reports.sarif(mine), a)
         else:
-            show(fs.top(mine.withColumn("seq", F.col("id")), a.max_findings, a.min_severity, a.min_confidence).select("severity", "title", "file_path", "line_number", "risk"), a.max_findings or 10_000)
-    elif a.command in ("deps", "sbom"):
+            a.limit = 0  # the number of findings is its own option
+            _rows(fs.top(mine, a.max_findings, a.min_severity, a.min_confidence).select("severity", "confidence", "title", "file_path", "line_number", "risk"), a)
+    elif a.command == "deps":
+        _rows(found("dependencies").drop("seq").orderBy(F.desc("risk"), "id"), a)
+    elif a.command == "sbom":
         d = dependencies.parse_manifests(f)
-        if a.command == "sbom":
-            print(dependencies.cyclonedx(d).first()["document"])
-        else:
-            show(dependencies.annotate_usage(dependencies.vulnerable(d, dependencies.advisories(spark)).withColumn("exploitability", F.lit(0.5)), lines))
+        _text(spark, (dependencies.spdx(d) if a.format == "spdx" else dependencies.cyclonedx(d)).first()["document"], a)
     elif a.command == "zeroday":
-        show(anomaly.rated(anomaly.line_anomalies(lines.filter(F.col("ext").isin(*src.ANOMALY_EXTS)))))
+        _rows(anomaly.rated(anomaly.line_anomalies(lines.filter(F.col("ext").isin(*src.ANOMALY_EXTS)))), a)
     elif a.command == "trace":
-        show(flow.dedup_paths(flow.trace(f.filter(F.col("ext").isin(*src.TRACE_EXTS)), a.depth, question=" ".join(a.question))))
+        paths, steps = flow.taint_paths(f.filter(F.col("ext").isin(*src.TRACE_EXTS)), a.depth, question=" ".join(a.question))
+        chain = steps.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("step", "file", "line", "function", "action", "detail"))).alias("steps"))  # a path's few steps
+        _rows(flow.dedup_paths(paths).join(chain, "path_id").drop("path_id").orderBy(F.desc("risk"), "id"), a)
     elif a.command == "attack":
-        show(fs.chains(found).orderBy(F.desc("risk")))
-    elif a.command == "report":
-        print(reports.markdown(found))
-    elif a.command == "ci":
-        out = reports.ci_json(found, a.fail_on)
-        print(out)
-        return int('"failed": true' in out)
+        _rows(fs.chains(save_table(fs.deduped_all(found()), "findings")).orderBy(F.desc("risk")), a)
     elif a.command == "plan":
-        show(recon.plan(recon.endpoints(lines)))
+        _rows(recon.plan(recon.endpoints(lines)), a)
+    elif a.command == "redact":
+        _rows(f.select("path", web.redact_text(F.col("content")).alias("content")), a)
     else:
-        show(f.select("path", web.redact_text(F.col("content")).alias("content")))
+        every = save_table(fs.at_least(fs.deduped_all(found()), a.min_severity, a.min_confidence), "findings")  # reports read it several times
+        if a.command == "ci":
+            out = reports.ci_json(every, a.fail_on)
+            _text(spark, out, a)
+            return int('"failed": true' in out)
+        if a.command == "pr":
+            changed = spark.read.schema("path string, patch string").json(a.changed)
+            _text(spark, reports.pull_request(every, diffs.split_findings(every, changed).filter("in_diff").drop("in_diff")), a)
+        elif a.format == "sarif":
+            _lines(reports.sarif_rules(every), a)
+        elif a.format in ("rows", "json"):
+            _rows(every.drop("seq").orderBy(F.desc("risk"), "id"), a)
+        else:
+            _text(spark, {"html": reports.html, "executive": reports.executive}.get(a.format, reports.markdown)(every), a)
     return 0
 
 

@@ -182,8 +182,9 @@ def test_silent_catch_and_complexity(spark):
     body = "function f(a) {\n" + "  if (a) { b() }\n" * 8 + "  x()\n" * 90 + "}\n"
     catch = "try {\n  a()\n} catch (e) {\n}\n"
     files = spark.createDataFrame([("a.js", "js", body), ("b.js", "js", "try {\n a()\n}\ncatch (e)\n{ x() } }\n" + catch)], "path string, ext string, content string")
-    assert flow.silent_catches(files).filter("path = 'b.js'").count() >= 1
-    assert flow.complex_functions(files).count() >= 0
+    # only lines that start with the word open a block; "} catch (e) {" is one, its end is the next line
+    assert sorted((r.path, r.line_no, r.lines) for r in flow.silent_catches(files).collect()) == [("b.js", 4, 2), ("b.js", 8, 2)]
+    assert sorted((r.path, r.line_no, r.name, r.kind, r.n) for r in flow.complex_functions(files).collect()) == [("a.js", 1, "f", "branches", 8), ("a.js", 1, "f", "lines", 99)]
 
 
 def test_routes(spark):
@@ -252,17 +253,6 @@ def test_annotated_routes(spark):
     assert {("actix", "GET", "/h", "h", False), ("actix", "GET", "/r", "r", False)} <= e
 
 
-def test_cli(spark, tmp_path, capsys):
-    from findgrid import cli
-
-    (tmp_path / "a.py").write_text("password = 'abc12345'\nrequests.get(u, verify=False)\n")
-    (tmp_path / "requirements.txt").write_text("flask==1.0.0\n")
-    assert cli.main(["ci", str(tmp_path), "--fail-on", "critical"]) == 1
-    assert cli.main(["review", str(tmp_path)]) == 0
-    assert "Hardcoded Credentials" in capsys.readouterr().out
-    assert cli.main(["deps", str(tmp_path)]) == 0 and "flask" in capsys.readouterr().out
-
-
 def test_walk_keeps_hidden_names_and_minds_ignore_files(spark, tmp_path):
     texts = {
         "__init__.py": "x", "_private/b.py": "x", ".hidden/c.py": "x", "a/_util.py": "x", "a/skip.log": "x", "a/keep.log": "x", "a/deep/x/gen/out.py": "x", "a/deep/gen.py": "x",
