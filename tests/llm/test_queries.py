@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from findgrid.llm import mixing, queries
@@ -31,7 +32,8 @@ def test_sql(spark, name):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
-    plain = lambda d: sorted(tuple(str(x) for x in r) for r in d[cols].itertuples(index=False))
+    one = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+    plain = lambda d: sorted(tuple(map(one, r)) for r in d[cols].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
 
 
