@@ -8,7 +8,7 @@ to the cells that it needs, and queries, lying in blocks by their own cells, are
 queries that needs its cell, not once for each group. Units are (cell, slice, block), so a cell that holds a third of all
 vectors is still many tasks; each gives its k best, and the k best of those are the answer.
 
-Vectors that are null or hold a null or non-finite component take no part. Vectors of unequal length are compared as if the
+Vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id. Vectors of unequal length are compared as if the
 shorter one ended in zeros. Products that doubles can't hold exactly are computed with whole numbers, and scores beyond 64
 bits are the nearest such number. Repeated vectors tie and go by vec_id; a table with fewer candidates than k gives all; empty
 gives no rows. Other columns are not read.

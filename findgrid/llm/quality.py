@@ -2,7 +2,8 @@
 
 Rows in, the same rows out plus measures and verdicts. Null or empty text: all counts 0, so the base rule rejects it.
 Repeated rows and ties: each row is judged alone. Extra columns of the input are not carried by quality_rules(), only
-doc_id is. Equal 8-word windows are recognised by a 64-bit hash.
+doc_id is. Equal 8-word windows are recognised by a 64-bit hash. A very long text is one row's arrays, some tens of bytes a word,
+in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Phase 1 starts from groups of equal first symbols and takes the groups in descending order. With prev(s), the nearest
 suffix before s in a lower group, every suffix p that is prev of k members moves up behind its group: its Lyndon prefix
 grows by k copies of the group's. Phase 2 emits suffixes in order: suffix s fixes those whose Lyndon prefix ends at s,
-which are s-1 and its prev pointers as long as they end there. No renaming and no recursion.
+which are s-1 and its prev pointers as long as they end there. No renaming and no recursion. First symbols and the members of a
+group by k are put in order by Python's sort, so a bound of n log n holds where one group has many different k.
 """
 
 from __future__ import annotations

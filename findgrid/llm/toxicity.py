@@ -14,7 +14,8 @@ are fetched, by a broadcast of at most 2 * per_class ids.
 
 Null and empty texts have no segment and get the lowest score. Very long texts are scanned whole, one at a time. Repeated rows
 get equal scores; of rows that repeat a sampled doc_id one text is learnt from, the least. Extra columns are carried as they
-are. An empty table gives no rows; without labelled rows of both classes every score is 0.
+are. The prior lies between the sample's share of toxic documents and one half, so scores lean towards the rarer class. An empty
+table gives no rows; without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
