@@ -1,9 +1,11 @@
 """Page analysis over a stack of elements, and crawls of saved pages."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from findgrid.functions import html
 from findgrid.operators import recon
+from findgrid.plans import queries_pages
 
 
 def names(page):
@@ -74,3 +76,24 @@ def test_crawl_sites(spark):
     assert [r.url for r in recon.crawl_sites(p, seeds, 2, 3)[0].orderBy("visit").collect()] == ["http://a.test", "http://a.test/x", "http://a.test/y?k=1"]
     assert recon.crawl_sites(p, seeds, 0, 20)[0].count() == 1 and recon.crawl_sites(p, seeds, 9, None)[0].count() == 6
     assert recon.crawl_sites(p.limit(0), seeds)[0].count() == 0 and recon.crawl_sites(p, seeds.filter(F.lit(False)))[1].count() == 0
+
+
+def test_strict_references_need_their_semicolon(spark):
+    page = '<title> a &amp b &ampc; &lt;i&gt; &eacute; &#33; &amp</title><a href="/q?x=1&amp;y=2&amp">x</a>'
+    loose, strict = html.analyse(page), html.analyse(page, strict=True)
+    assert (loose["title"], loose["links"]) == ("a & b &c; <i> é ! &", ["/q?x=1&y=2&"])
+    assert (strict["title"], strict["links"]) == ("a &amp b &ampc; <i> é ! &amp", ["/q?x=1&y=2&amp"])
+    assert spark.createDataFrame([(page,)], "h string").select(html.page_analysis("h", strict=True)["title"]).first()[0] == strict["title"]
+
+
+def _sf_of_pages(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"SET threads = 1; CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    return str(tmp_path), lambda name: sorted(map(str, c.sql(queries_pages.ORACLE_SQL[name]).fetchall()))
+
+
+def test_cut_titles_match_sql(spark, tmp_path):
+    sf, sql = _sf_of_pages(spark, tmp_path, [(1, "http://a.test/x", '<html><title>of &amp; that &amp</title><a href="/y">y</a></html>'), (2, "http://a.test/y", "<title>whole</title>")])
+    for name in ("page_structure",):
+        assert sorted(str(tuple(r)) for r in queries_pages.QUERIES[name](spark, sf).collect()) == sql(name)
