@@ -95,5 +95,5 @@ def _sf_of_pages(spark, tmp_path, rows):
 
 def test_cut_titles_match_sql(spark, tmp_path):
     sf, sql = _sf_of_pages(spark, tmp_path, [(1, "http://a.test/x", '<html><title>of &amp; that &amp</title><a href="/y">y</a></html>'), (2, "http://a.test/y", "<title>whole</title>")])
-    for name in ("page_structure",):
+    for name in ("page_structure", "crawled_pages"):
         assert sorted(str(tuple(r)) for r in queries_pages.QUERIES[name](spark, sf).collect()) == sql(name)
