@@ -97,3 +97,11 @@ def test_cut_titles_match_sql(spark, tmp_path):
     sf, sql = _sf_of_pages(spark, tmp_path, [(1, "http://a.test/x", '<html><title>of &amp; that &amp</title><a href="/y">y</a></html>'), (2, "http://a.test/y", "<title>whole</title>")])
     for name in ("page_structure", "crawled_pages"):
         assert sorted(str(tuple(r)) for r in queries_pages.QUERIES[name](spark, sf).collect()) == sql(name)
+
+
+def test_first_page_of_a_url_counts(spark, tmp_path):
+    """Pages with one URL: the first by page_id is crawled, which is the one that SQL takes in the order of the table."""
+    sf, sql = _sf_of_pages(spark, tmp_path, [(1, "http://a.test/x", '<a href="/zebra">z</a>'), (2, "http://a.test/x", '<a href="/ant">a</a>'), (3, "http://a.test/x#f", '<a href="/bee">b</a>')])
+    for name in ("crawl_targets", "crawled_pages"):
+        assert sorted(str(tuple(r)) for r in queries_pages.QUERIES[name](spark, sf).collect()) == sql(name)
+    assert [r.url for r in queries_pages.crawl_targets(spark, sf).collect()] == ["http://a.test/x/zebra"]
