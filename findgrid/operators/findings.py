@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores
-from findgrid.functions.shared import save_table
+from findgrid.functions.shared import dealt, save_table, tasks_for
 
 
 def with_risk(f: DataFrame) -> DataFrame:
@@ -72,14 +72,27 @@ def dedup(f: DataFrame) -> DataFrame:
     """One finding of each issue: the riskiest, earliest of equals, in the place (`seq`) of the first.
 
     Outside the credential bucket all findings of a key have one title, so a partial maximum suffices. In it, titles may differ
-    and only those of different scanners collapse, in order of arrival: a fold over the few credentials of one line."""
-    cols = [c for c in f.columns if c != "seq"]
-    f = f.select("*", *_key())
+    and only those of different scanners collapse, in order of arrival: a fold over the few credentials of one line.
+
+    The findings are written once, and those that have a place are dealt out by it into tasks of bounded size; those without are
+    many of few keys, of which each task keeps its best before they are shuffled."""
+    return _dedup(_keyed(f))
+
+
+def _keyed(f: DataFrame) -> DataFrame:
+    return save_table(f.select("*", *_key()), "keyed")
+
+
+def _dedup(f: DataFrame) -> DataFrame:
+    """dedup() of a table of _keyed()."""
     keys = ["k_path", "k_line", "k_bucket"]
-    row = F.struct(*cols)
-    plain = f.filter("k_bucket <> 'credential'").groupBy(*keys).agg(F.min("seq").alias("seq"), F.min_by(row, F.struct((-F.col("risk")).alias("r"), "seq")).alias("r"))
+    row = F.struct(*(c for c in f.columns if c not in ("seq", *keys)))
+    best = lambda x: x.groupBy(*keys).agg(F.min("seq").alias("seq"), F.min_by(row, F.struct((-F.col("risk")).alias("r"), "seq")).alias("r"))
+    placed, n = F.col("file_path").isNotNull() & F.col("line_number").isNotNull(), f.count()
+    at_place = lambda x: dealt(x, "k_path", "k_line", rows=n)
+    plain = best(at_place(f.filter(placed & (F.col("k_bucket") != "credential")))).unionByName(best(f.filter(~placed)))
     item = F.struct("seq", "risk", F.lower("title").alias("t"), F.col("source").alias("s"), row.alias("r"))
-    lists = f.filter("k_bucket = 'credential'").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    lists = at_place(f.filter(placed & (F.col("k_bucket") == "credential"))).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("l"))
     same = lambda a, x: (a["t"] == x["t"]) | (a["s"] != x["s"])
 
     def place(acc: Column, x: Column) -> Column:
@@ -107,8 +120,9 @@ def deduped_all(f: DataFrame) -> DataFrame:
 
 
 def merge_and_rank(f: DataFrame) -> DataFrame:
-    """dedup(), riskiest first, equals by seq."""
-    return dedup(f).orderBy(F.desc("risk"), "seq")
+    """dedup(), riskiest first, equals by seq. Ranges of bounded size are sorted each."""
+    by, kept = (F.desc("risk"), F.col("seq")), save_table(dedup(f), "kept")
+    return kept.repartitionByRange(tasks_for(f.sparkSession, kept.count()), *by).sortWithinPartitions(*by)
 
 
 def scanner_feed(f: DataFrame, min_severity: str = "medium", most: int = 100) -> DataFrame:
@@ -249,8 +263,9 @@ def session_merge(sessions: DataFrame, name: str | None = None) -> DataFrame:
 
 def ci_totals(f: DataFrame, n_chains: DataFrame | None = None) -> DataFrame:
     """step_table(), with a step for chains if their table is given, and a total of the findings that are left after dedup()."""
+    f = _keyed(f)
     t = step_table(f)
-    total = step_table(dedup(f).withColumn("source", F.lit("total")))
+    total = step_table(_dedup(f).withColumn("source", F.lit("total")))
     out = t.unionByName(total)
     if n_chains is not None:
         k = n_chains.agg(F.count("*").alias("total"))
@@ -267,18 +282,20 @@ def intermediates(ends: DataFrame, f: DataFrame, depth: int) -> DataFrame:
     block of each level, of which a block keeps its first depth - 2; an open interval is the union of at most two blocks a level,
     and meets those alone. So neither a file's findings nor the lines between two ends multiply out."""
     most = max(0, depth - 2)
-    x = f.filter("file_path IS NOT NULL AND line_number >= 0").select("file_path", F.col("line_number").alias("line"), F.col("title").alias("between_title"))
+    x = save_table(f.filter("file_path IS NOT NULL AND line_number >= 0").select("file_path", F.col("line_number").alias("line"), F.col("title").alias("between_title")), "within")
     x = x.withColumn("off", (~F.coalesce(scores.contains_any(F.lower("between_title"), THEME), F.lit(False))).cast("int"))
+    ends = save_table(ends, "ends")
     top = ends.agg(F.max("hi")).first()[0] or 0
     levels = F.sequence(F.lit(0), F.lit(int(top).bit_length()))
+    n = tasks_for(f.sparkSession, x.count() * (int(top).bit_length() + 1))
     by = ("off", "line", "between_title")
-    blocks = x.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(line, level)"))
+    blocks = x.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(line, level)")).repartition(n, "file_path", "level", "block")
     first = F.row_number().over(Window.partitionBy("file_path", "level", "block").orderBy(*by))
     blocks = blocks.withColumn("r", first).filter(F.col("r") <= most).drop("r")
     low, high = "shiftright(lo + shiftleft(1L, l), l)", "shiftright(hi, l)"  # first block that starts after lo, first that ends after hi
     cover = F.expr(f"""flatten(transform(sequence(0, {int(top).bit_length()}), l -> filter(array(
         IF({low} < {high} AND {low} % 2 = 1, named_struct('level', l, 'block', {low}), null), IF({low} < {high} AND {high} % 2 = 1, named_struct('level', l, 'block', {high} - 1), null)), b -> b IS NOT NULL)))""")
     wanted = ends.withColumn("c", F.explode(cover)).select(*ends.columns, "c.level", "c.block")
-    j = wanted.join(blocks, ["file_path", "level", "block"]).drop("level", "block")
+    j = wanted.repartition(n, "file_path", "level", "block").join(blocks, ["file_path", "level", "block"]).drop("level", "block").repartition(n, "chain_id")
     w = Window.partitionBy("chain_id").orderBy(*by)
     return j.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= most).drop("off")

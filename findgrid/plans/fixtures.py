@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findgrid.functions.shared import dealt
+
 EXTS = ("py", "js", "ts", "go", "rb", "php", "rs", "java", "yaml", "md", "cs", "tsx")
 DIRS = ("src/app", "src/payment", "lib/auth", "tests/unit", "src/build", "pkg/core", "examples", "app/admin")
 LINES = (
@@ -36,9 +38,11 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
     ext = pick(EXTS, c)
-    o = orders(spark, sf_dir).select(
+    every = orders(spark, sf_dir)
+    o = every.select(
         F.concat(pick(DIRS, F.floor(c / 7)), F.lit("/f"), c.cast("string"), F.lit("."), ext).alias("path"), ext.alias("ext"), k.alias("k"), pick(LINES, k * 7 + F.floor(k / 64)).alias("line")
     )
+    o = dealt(o, "path", rows=every.count())  # the files of a task don't grow in number with the input
     return o.select("path", "ext", F.row_number().over(Window.partitionBy("path").orderBy("k")).cast("long").alias("line_no"), "line")
 
 
