@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findgrid.functions import scores
+from findgrid.functions.shared import save_table
 from findgrid.operators import findings as fs
 from findgrid.operators import rules
 from findgrid.plans.fixtures import CODE_SQL, code_lines
@@ -241,7 +242,7 @@ def attack_chains(spark, sf_dir):
 SELECT chain_id, line, between_title, step::BIGINT AS step FROM (SELECT chain_id, f.line_number AS line, f.title AS between_title, row_number() OVER (PARTITION BY chain_id ORDER BY {_any('lower(f.title)', fs.THEME)} DESC, f.line_number, f.title) AS step
 FROM ends JOIN found f ON f.file_path = ends.file_path AND f.line_number > lo AND f.line_number < hi) WHERE step <= 3""")
 def chain_intermediates(spark, sf_dir):
-    f = found(spark, sf_dir)
+    f = save_table(found(spark, sf_dir).select("file_path", "line_number", "title"), "found")
     ends = f.groupBy("file_path").agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi"), F.count("*").alias("n")).filter("n > 2").withColumn("chain_id", F.col("file_path"))
     return fs.intermediates(ends, f, 5).select("chain_id", "line", "between_title", F.col("step").cast("long").alias("step"))
 
@@ -283,6 +284,6 @@ SELECT id, NOT patched OR line_number IN (4, 5, 22) AS in_diff FROM hit""")
 def split_by_diff(spark, sf_dir):
     from findgrid.operators import diffs
 
-    f = found(spark, sf_dir)
+    f = save_table(found(spark, sf_dir).select("id", "file_path", "line_number"), "found")  # used four times
     changed = f.select(F.col("file_path").alias("path")).distinct().filter(F.col("path").contains("src/")).withColumn("patch", F.lit(_PATCH))
     return diffs.split_findings(f, changed).select("id", "in_diff")
