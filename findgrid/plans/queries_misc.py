@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from findgrid.functions import codes, web
-from findgrid.functions.shared import shared_dir
+from findgrid.functions.shared import save_table, shared_dir
 from findgrid.operators import diffs, flow, search
 from findgrid.operators import exchange as ex
 from findgrid.operators import findings as fs
@@ -98,7 +98,7 @@ def snippets(spark, sf_dir):
 @query()
 def chain_flow(spark, sf_dir):
     """All chains; the risk of those whose files a taint path connects is raised by 1.5, 10 at most."""
-    f = found(spark, sf_dir)
+    f = save_table(found(spark, sf_dir).select("id", "title", "file_path", "risk"), "found")
     return fs.with_flow(fs.chains(f), f, flow.trace(files(spark, sf_dir))).select("chain", "entry_title", "target_title", "risk", "paths")
 
 
