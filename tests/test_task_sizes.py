@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from findgrid.functions import shared
 from findgrid.operators import findings as fs
+from findgrid.operators import flow
 from findgrid.plans.fixtures import code_lines
 from findgrid.plans.queries_findings import arrived
 
@@ -36,3 +37,15 @@ def test_findings_are_dealt_out_and_none_is_lost(spark, tasks):
     assert kept.filter("title = 'no place'").count() == 1 and kept.count() == fs.dedup(f).count() + 1
     ranked = [(-r.risk, r.seq) for r in fs.merge_and_rank(f).select("risk", "seq").collect()]
     assert ranked == sorted(ranked)
+
+
+def test_files_and_functions_are_dealt_out_before_they_are_parsed(spark, tasks, monkeypatch):
+    monkeypatch.setattr(flow, "tasks_for", shared.tasks_for, raising=False)
+    seen = []
+    for name in ("functions", "summaries"):
+        parse = getattr(flow, name)
+        monkeypatch.setattr(flow, name, lambda x, *a, parse=parse: seen.append(x.rdd.getNumPartitions()) or parse(x, *a))
+    code = "def run(x):\n    cmd = request.args.get('c')\n    exec(cmd)\n"
+    one = spark.createDataFrame([(f"f{i}.py", "py", code) for i in range(50)], "path string, ext string, content string").coalesce(1)
+    assert flow.trace(one).count() == 50
+    assert seen == [tasks, tasks]
