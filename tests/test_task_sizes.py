@@ -7,7 +7,8 @@ from findgrid.functions import shared
 from findgrid.operators import findings as fs
 from findgrid.operators import flow
 from findgrid.plans.fixtures import code_lines
-from findgrid.plans.queries_findings import arrived
+from findgrid.plans.queries_findings import arrived, found
+from findgrid.plans.queries_misc import session_findings
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,11 @@ def test_files_and_functions_are_dealt_out_before_they_are_parsed(spark, tasks,
     one = spark.createDataFrame([(f"f{i}.py", "py", code) for i in range(50)], "path string, ext string, content string").coalesce(1)
     assert flow.trace(one).count() == 50
     assert seen == [tasks, tasks]
+
+
+def test_sessions_are_written_by_tasks_of_bounded_rows(spark, tasks, monkeypatch):
+    read, merge = [], fs.session_merge
+    monkeypatch.setattr(fs, "session_merge", lambda s, *a: read.append(s) or merge(s, *a))
+    n = session_findings(spark, SF).agg(F.sum("n")).first()[0]
+    assert len(read[0].inputFiles()) > tasks // 2  # a file for each task that has rows, not one for each shuffle partition
+    assert n == found(spark, SF).filter("line_number % 3 <> 2").count()
