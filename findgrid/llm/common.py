@@ -17,7 +17,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from findgrid.functions.shared import save_table as save
 from findgrid.functions.shared import shared_dir
 
-__all__ = ["any_of", "appended", "documents", "free_memory", "id_mod", "let", "n_words", "packed", "raw_texts", "released", "save", "shared_dir", "small_batches", "unpacked", "words"]
+__all__ = ["any_of", "appended", "documents", "free_memory", "id_mod", "let", "n_words", "packed", "raw_texts", "released", "released_group", "save", "shared_dir", "small_batches", "unpacked", "words"]
 
 #: Java and RE2 class body of the separators of all word rules here: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
@@ -40,20 +40,35 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
-def released(run: Callable) -> Callable:
+def released(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
     """run(batches) for mapInArrow or mapInPandas, at whose end, or if it is given up, the worker hands free memory back to the system:
-    idle workers are kept for later tasks, and what they hold counts against the executor."""
+    idle workers are kept for later tasks, and what they hold counts against the executor. forget: a function of a module
+    that empties the tables which the module keeps from call to call; it is called first."""
 
     def tidy(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            free_memory()
+            free_memory(forget)
 
     return tidy
 
 
-def free_memory() -> None:
+def released_group(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """run(rows) for applyInPandas, with what released() does after each group."""
+
+    def tidy(rows):
+        try:
+            return run(rows)
+        finally:
+            free_memory(forget)
+
+    return tidy
+
+
+def free_memory(forget: Callable[[], None] | None = None) -> None:
+    if forget:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it

@@ -102,6 +102,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def _forget() -> None:
+    _CIRCLE.clear()
+    _POWERS.clear()
+
+
 def _bands(sig: np.ndarray) -> np.ndarray:
     rows = sig.astype(_U).reshape(BANDS, ROWS)
     h = np.arange(BANDS, dtype=_U)
@@ -127,7 +132,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[4] for r in rows] or [np.empty(0, np.int64)]), _INT64))
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], _INT64) for i in range(4)), bands], [*_KEYS, "bands"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(released(run, _forget), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
 
 def _sets(z: DataFrame, words: int) -> DataFrame:
@@ -139,7 +144,7 @@ def _sets(z: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(unpack.decompress(t), words).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "set"])
 
-    return small_batches(z).mapInArrow(released(run), "doc long, set binary")
+    return small_batches(z).mapInArrow(released(run, _forget), "doc long, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from findgrid.llm.common import n_words, save
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
+_PLAN = pa.schema([("source", pa.string()), ("_step", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("whole", pa.int64()), ("p", pa.float64()), ("rest", pa.float64())])
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_COPIES) -> dict[str | None, float]:
@@ -106,7 +108,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = S
         certain = {k: math.floor(e + 1e-9) for k, e in expected.items()}
         rest = max(0.0, want[source] - sum(certain[k] * n for k, n in by.items()))
         rows += [(source, k, sizes[source], float(want[source]), certain[k], max(0.0, expected[k] - certain[k]), rest) for k in by]
-    plan = spark.createDataFrame(rows, "source string, _step int, source_size long, target double, whole long, p double, rest double")
+    # as an Arrow table: rows of a list would go through Python workers of another kind, which stay beside the others
+    plan = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PLAN.types, strict=True)], schema=_PLAN))
     cells = 1 << max(8, math.ceil(math.log2(max(2, sum(r["n"] for r in sums))) / 2))
     # a row for each source and step of the odds
     d = d.join(F.broadcast(plan), d["source"].eqNullSafe(plan["source"]) & (d["_step"] == plan["_step"])).drop(plan["source"]).drop(plan["_step"])

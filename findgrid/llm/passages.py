@@ -30,12 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findgrid.llm.common import packed, released, save, small_batches
+from findgrid.llm.common import packed, released, released_group, save, small_batches
 from findgrid.llm.suffixes import suffix_array
 
 WINDOW, ANCHOR, CONTEXT = 50, 20, 35
 #: Bytes of text for each shard of anchors (about one anchor in 16 bytes), and of one suffix sort.
-SHARD, SORT = 24 << 20, 1 << 20
+SHARD, SORT = 24 << 20, 1 << 18
 #: Bytes of text of one batch of blocks, and of one stretch of a long text.
 BATCH, STRETCH = 8 << 20, 1 << 19
 #: Stands for no doc_id.
@@ -67,6 +67,10 @@ def _powers(n: int = STRETCH + 2 * WINDOW) -> list[np.ndarray]:
     return _POWERS
 
 
+def _forget() -> None:
+    _POWERS.clear()
+
+
 def blocks(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     """Arrays by block of a text's bytes: first and last window start, anchor position, anchor hash, block hash."""
     parts = [_blocks(raw[i : i + STRETCH + WINDOW - 1], i) for i in range(0, max(1, len(raw) - WINDOW + 1), STRETCH)]
@@ -341,16 +345,16 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), text: bool = Fa
     n = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(8, -(-n // SHARD))
     src = small_batches(docs).select(doc, rid, "text")
-    dealt = src.mapInPandas(released(_deal(shards)), _DEALT)
-    answers = dealt.groupBy("shard").applyInPandas(_settle, _ANSWER)
+    dealt = src.mapInPandas(released(_deal(shards), _forget), _DEALT)
+    answers = dealt.groupBy("shard").applyInPandas(released_group(_settle), _ANSWER)
     answers = save(answers, "answers")
     kinds = dict(docs.dtypes)
     extra = [(f"c{i}", c) for i, c in enumerate(carry)]
     # both joins below take all columns of `small` on the same keys, so that its texts are shuffled once for both
     small = packed(docs.select(doc, rid, *(F.col(f"`{c}`").alias(k) for k, c in extra), "text"))
     asked = answers.filter(F.col("kind") == SHOW).groupBy(F.col("doc").alias("doc_id"), "rid").agg(F.collect_list("b").alias("asked"))
-    pieces = small.join(asked, ["doc_id", "rid"], "left").mapInArrow(released(_pieces(shards)), "shard long, key long, doc long, rid long, pos long, piece binary")
-    starts = pieces.groupBy("shard").applyInPandas(_compare, _ANSWER)
+    pieces = small.join(asked, ["doc_id", "rid"], "left").mapInArrow(released(_pieces(shards), _forget), "shard long, key long, doc long, rid long, pos long, piece binary")
+    starts = pieces.groupBy("shard").applyInPandas(released_group(_compare, _forget), _ANSWER)
     both = answers.filter(F.col("kind") == WHOLE).unionByName(starts)
     both = both.groupBy(F.col("doc").alias("doc_id"), "rid").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("b"))).alias(a) for k, a in ((WHOLE, "whole"), (2, "starts"))))
 
@@ -386,7 +390,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), text: bool = Fa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(k) for k, _ in extra), *made], ["doc_id", *(k for k, _ in extra), *_MADE[: len(made)]])
 
     schema = "doc_id long, " + "".join(f"{k} {kinds[c]}, " for k, c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
-    done = small.join(both, ["doc_id", "rid"], "left").mapInArrow(released(cut), schema)
+    done = small.join(both, ["doc_id", "rid"], "left").mapInArrow(released(cut, _forget), schema)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
