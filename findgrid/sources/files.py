@@ -208,8 +208,11 @@ def numbered_file(files: DataFrame, path: str, start: int = 1, most: int = 100)
     return l.select(F.inline(F.concat(shown, F.coalesce(more, F.array().cast("array<struct<line_no:bigint,shown:string>>")))))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines without their ends; a final line end adds no empty line."""
+def split_lines(text: Column, feeds_only: bool = False) -> Column:
+    """Lines without their ends; a final line end adds no empty line. feeds_only: lines end at line feeds alone, carriage returns
+    stay in them, and an empty text is one empty line."""
+    if feeds_only:
+        return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     l = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
     return F.when(F.element_at(l, -1) == "", F.slice(l, 1, F.greatest(F.size(l) - 1, F.lit(0)))).otherwise(l)
 
