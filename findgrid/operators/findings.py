@@ -245,12 +245,15 @@ def filter_chains(c: DataFrame, want: str) -> DataFrame:
     return c.filter(low.contains(want.lower()) | F.replace(low, F.lit(" "), F.lit("")).contains(want.lower()))
 
 
-def with_flow(c: DataFrame, f: DataFrame, paths: DataFrame, bonus: float = 1.5) -> DataFrame:
-    """All chains with `paths`, the number of taint paths (source_path, sink_path) from a file of the entry's title to one of the
-    target's; the risk of those that have one is raised, 10 at most."""
-    at = f.select("title", "file_path").distinct()
-    hit = paths.select("source_path", "sink_path").distinct().join(at.select(F.col("title").alias("entry_title"), F.col("file_path").alias("source_path")), "source_path")
-    hit = hit.join(at.select(F.col("title").alias("target_title"), F.col("file_path").alias("sink_path")), "sink_path").groupBy("entry_title", "target_title").agg(F.count("*").alias("paths"))
+def with_flow(c: DataFrame, f: DataFrame, sources: DataFrame, sinks: DataFrame, links: DataFrame, bonus: float = 1.5) -> DataFrame:
+    """All chains with `paths`, the number of pairs of files (of a source and of a sink) that a taint path connects, from a file of
+    the entry's title to one of the target's; the risk of those that have one is raised, 10 at most.
+
+    Pairs come as flow.linked_files() gives them and are counted by class: files of a title times files of a title."""
+    at = f.select("title", F.col("file_path").alias("path")).distinct()
+    n_from = at.join(sources, "path").groupBy(F.col("title").alias("entry_title"), "from_class").agg(F.count("*").alias("n_from"))
+    n_to = at.join(sinks, "path").groupBy(F.col("title").alias("target_title"), "to_class").agg(F.count("*").alias("n_to"))
+    hit = links.join(n_from, "from_class").join(n_to, "to_class").groupBy("entry_title", "target_title").agg(F.sum(F.col("n_from") * F.col("n_to")).alias("paths"))
     j = c.join(hit, ["entry_title", "target_title"], "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
     return j.withColumn("risk", F.when(F.col("paths") > 0, F.least(F.col("risk") + bonus, F.lit(10.0))).otherwise(F.col("risk")))
 

@@ -97,9 +97,10 @@ def snippets(spark, sf_dir):
 
 @query()
 def chain_flow(spark, sf_dir):
-    """All chains; the risk of those whose files a taint path connects is raised by 1.5, 10 at most."""
+    """All chains; the risk of those whose files a taint path connects is raised by 1.5, 10 at most. All pairs of files count, over
+    any number of calls and all functions of a name."""
     f = save_table(found(spark, sf_dir).select("id", "title", "file_path", "risk"), "found")
-    return fs.with_flow(fs.chains(f), f, flow.trace(files(spark, sf_dir))).select("chain", "entry_title", "target_title", "risk", "paths")
+    return fs.with_flow(fs.chains(f), f, *flow.linked_files(files(spark, sf_dir))).select("chain", "entry_title", "target_title", "risk", "paths")
 
 
 @query()
